@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -72,7 +73,7 @@ class BpeCodec:
         self.leaves = Cache(self.merged)
         self.pairs = Cache(self._fit)
         self.pieces = Cache(self._piece)
-        self.rest = Cache(lambda part: self._whole(" " + part))
+        self.rest = Cache(self._part)
 
     def merged(self, data: bytes) -> tuple[int, ...]:
         """Merges neighbours of the lowest rank, the leftmost first, until none is left."""
@@ -101,7 +102,8 @@ class BpeCodec:
         reach = 1
         while True:
             a, b = max(0, len(left) - reach), min(len(right), reach)
-            window = self.merged(b"".join(map(self.bytes.__getitem__, left[a:] + right[:b])))
+            data = b"".join(map(self.bytes.__getitem__, left[a:] + right[:b]))
+            window = self.leaves[data] if len(data) <= 2 * LEAF else self.merged(data)
             if (not a or self.pairs[left[a - 1], window[0]]) and (b == len(right) or self.pairs[window[-1], right[b]]):
                 return left[:a] + window + right[b:]
             reach *= 2
@@ -113,7 +115,10 @@ class BpeCodec:
         if len(data) <= LEAF:
             return self.leaves[data]
         middle = len(data) // 2
-        return self.join(self.encode(data[:middle]), self.encode(data[middle:]))
+        left, right = data[:middle], data[middle:]
+        if len(right) <= LEAF:
+            return self.join(self.leaves[left], self.leaves[right])
+        return self.join(self.encode(left), self.encode(right))
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         return self.encode(piece.encode())
@@ -122,6 +127,14 @@ class BpeCodec:
         """The ids of text: those of its pieces, between which nothing merges, concatenated."""
         return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
 
+    def _part(self, part: str) -> tuple[int, ...]:
+        """The ids of a part after its space. Letters alone, or before one mark, need no pattern search."""
+        if part.isalpha():
+            return self.pieces[" " + part]
+        if part[:-1].isalpha() and part[-1] in ".,;:":
+            return self.pieces[" " + part[:-1]] + self.pieces[part[-1]]
+        return self._whole(" " + part)
+
     def encode_text(self, text: str) -> list[int]:
         parts = parts_of(text)
         if parts is None:
@@ -136,6 +149,12 @@ class BpeCodec:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
+@lru_cache(maxsize=2)
+def codec_of(ranks_path: str, pattern: str) -> BpeCodec:
+    """The codec of a worker, with its caches: later tasks of the same worker go on with them."""
+    return BpeCodec(read_ranks(ranks_path), pattern)
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
     """docs with the token ids of text in the column to (array of int).
 
@@ -145,7 +164,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     """
 
     def make():
-        codec = BpeCodec(read_ranks(ranks_path), pattern)
+        codec = codec_of(ranks_path, pattern)
         return lambda texts: {to: _ids(map(codec.encode_text, (x or "" for x in texts)))}
 
     return with_columns(docs, text, make, f"`{to}` array<int>")
@@ -163,7 +182,7 @@ def decode_documents(docs: DataFrame, ranks_path: str, ids: str = "ids", to: str
     """docs with the bytes of ids in the column to. Null ids: no bytes."""
 
     def make():
-        codec = BpeCodec(read_ranks(ranks_path), "")
+        codec = codec_of(ranks_path, "")
         return lambda lists: {to: [codec.decode(x or []) for x in lists]}
 
     return with_columns(docs, ids, make, f"`{to}` binary")
