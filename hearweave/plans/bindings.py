@@ -136,7 +136,7 @@ def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     names = F.array(*map(F.lit, ("elevenlabs", "openai", "microsoft", "assemblyai", "deepgram")))
     return e.select(
-        "event_id", "ts", F.element_at(names, (F.col("user_id") % 5 + 1).cast("int")).alias("provider"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.element_at(names, (F.col("user_id") % 5 + 1).cast("int")).alias("provider"),
         F.element_at(F.array(*map(F.lit, ("en", "de", "af"))), (F.col("event_id") % 3 + 1).cast("int")).alias("language"),
         (F.col("value") > 50).alias("is_numeric"), (F.col("event_id") % 7 == 0).alias("is_proper_noun"),
         F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("c"), (F.col("event_id") % 2).cast("string"))).alias("category"),
@@ -211,7 +211,7 @@ REQUESTS = """requests AS (
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loudness by time: recording, t (seconds since its first event), level."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("recording"), "event_id", "ts", "value")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("recording"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     first = e.groupBy("recording").agg(F.min("ts").alias("first"))
     t = (F.unix_micros("ts") - F.unix_micros("first")) / 1e6
     return e.join(first, "recording").select("recording", "event_id", F.round(t, 6).alias("t"), F.round("value", 6).alias("level"))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from hearweave.plans import catalog_review, catalog_words
+from hearweave.plans import catalog_jobs, catalog_review, catalog_words
 
-ALL = {**catalog_words.QUERIES, **catalog_review.QUERIES}
+ALL = {**catalog_words.QUERIES, **catalog_review.QUERIES, **catalog_jobs.QUERIES}

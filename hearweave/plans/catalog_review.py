@@ -213,7 +213,7 @@ def g8_mistake_categories(spark, d):
 
 
 def _wrongs(spark, d):
-    return B.provider_tokens(spark, d).where("provider = 'microsoft' and pos % 13 = 0").select("provider", F.col("text").alias("right"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit(" "), F.upper("text"))).otherwise(F.reverse("text")).alias("wrong"), (F.col("recording") * 1000000 + F.col("pos")).alias("at"))
+    return B.provider_tokens(spark, d).where("provider = 'microsoft' and pos % 13 = 0").select("provider", F.col("text").alias("right"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit(" "), F.translate("text", "abcdefghij", "ABCDEFGHIJ"))).otherwise(F.reverse("text")).alias("wrong"), (F.col("recording") * 1000000 + F.col("pos")).alias("at"))
 
 
 def g9_learned_corrections(spark, d):
@@ -528,7 +528,7 @@ SELECT provider, chosen, corrected, round(CASE WHEN chosen > 0 THEN corrected /
   CASE WHEN chosen >= 500 THEN 'strong' WHEN chosen >= 50 THEN 'fair' WHEN chosen >= 30 THEN 'some' ELSE 'too little' END AS evidence FROM j"""),
     "g7_repeated_mistakes": (g7_repeated_mistakes, _O + " SELECT form, language, count(*) AS n FROM occ WHERE reviewed GROUP BY 1, 2 HAVING count(*) >= 2"),
     "g8_mistake_categories": (g8_mistake_categories, None),
-    "g9_learned_corrections": (g9_learned_corrections, _T + """, w AS (SELECT text AS rt, CASE WHEN pos % 2 = 0 THEN ' ' || upper(text) ELSE reverse(text) END AS wr, recording * 1000000 + pos AS moment FROM tokens WHERE provider = 'microsoft' AND pos % 13 = 0),
+    "g9_learned_corrections": (g9_learned_corrections, _T + """, w AS (SELECT text AS rt, CASE WHEN pos % 2 = 0 THEN ' ' || translate(text, 'abcdefghij', 'ABCDEFGHIJ') ELSE reverse(text) END AS wr, recording * 1000000 + pos AS moment FROM tokens WHERE provider = 'microsoft' AND pos % 13 = 0),
 f AS (SELECT *, lower(trim(wr)) AS wf, lower(trim(rt)) AS rf FROM w), c AS (SELECT wf, rf, arg_min(rt, moment) AS rt, count(*) AS n FROM f WHERE wf <> rf GROUP BY 1, 2)
 SELECT rf AS right_form, min(rt) AS term, sum(n)::BIGINT AS n, string_agg(DISTINCT wf, '|' ORDER BY wf) AS wrong_forms FROM c WHERE n >= 2 GROUP BY 1"""),
     "g10_confidence_distribution": (g10_confidence_distribution, _F + f""", dim(category) AS (VALUES ('high'), ('review_suggested'), ('review_required'), ('unresolved')), f AS (SELECT recording, {_CATEGORY} AS category FROM finals WHERE strength IS NOT NULL),
