@@ -33,8 +33,8 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PACKAGE_BYTES = 32 << 20
 #: Payloads below this many bytes are never revisits.
 LEAST_BYTES = 100
-#: Records that one task reads at a time.
-RANGE = 2_000
+#: Records of a range, and the most tasks that ranges are dealt to.
+RANGE, MOST_TASKS = 2_000, 20_000
 
 # Signatures of the ZIP format.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -244,6 +244,7 @@ def read_packages(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     Each task takes ranges of RANGE records: it parses the package's directory, reads the index,
     and then the bytes of its records only.
     """
+    tasks = manifest.agg(F.sum(F.ceil(F.col("records") / RANGE)).alias("n")).first()["n"] or 1
     ranges = manifest.select("path", F.explode(F.sequence(F.lit(0), F.col("records") - 1, F.lit(RANGE))).alias("start"))
     fields = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     schema = fields + (", payload binary" if payloads else "")
@@ -266,7 +267,7 @@ def read_packages(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                         rows.append(parsed(reader.at(base + int(offset), int(length))))
                 yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in rows], arrow)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, schema)
+    return ranges.repartition(min(int(tasks), MOST_TASKS), "path", "start").mapInArrow(run, schema)
 
 
 def archived(pages: DataFrame) -> DataFrame:
