@@ -2,12 +2,14 @@
 
 Documents with equal shingle sets form a class. Two classes can only link if they share one of the
 first shingles of both in a common order (frequent shingles last, then by hash), so each class meets
-its possible partners in the buckets of these few shingles. A bucket is searched with a signature
-tree: nodes hold the OR of their sets' bitmaps and their range of sizes, and a dual traversal drops
+its possible partners in the buckets of these few shingles. With somewhat more of the first shingles
+links must share several of them, so a class with fewer shared ones is left out from the start. A
+bucket is searched with a signature tree: nodes hold the OR of their sets' bitmaps and their range of sizes, and a dual traversal drops
 node pairs whose maximum possible overlap is too small. What remains is verified on whole sets.
 
-Before that, classes with the same least shingle are joined within their group, on whole sets, so
-that buckets skip pairs that are connected already; large groups of near copies then cost little.
+Before that, classes with the same least shingle, in either of two orders, are joined within their
+group, on whole sets, so that buckets skip pairs that are connected already; large groups of near
+copies then cost little.
 Groups and buckets are cut into blocks of bounded size; no task gets an unbounded one.
 """
 
@@ -23,16 +25,20 @@ from pyspark.sql import functions as F
 
 from hearweave.llm.bpe_codec import Cache
 from hearweave.llm.common import slices, stored, with_columns
+from hearweave.llm.url_filter import possible
 
 #: Classes of a block of a group or bucket.
 GROUP, BUCKET = 1024, 1024
 #: The order's frequent shingles: seen in so many documents of a slice, in all of so many; their number.
 HOT_LOCAL, HOT_ALL, HOT_ROWS = 4, 48, 200_000
+#: Linked sets must share one of so many shingles of the smaller among their first ones.
+SHARED = 20
 #: Bits of a set's bitmap: the power of two from its size on, within these.
 LEAST_BITS, MOST_BITS = 128, 4096
+#: Bits for each shingle of the wider bitmap that pairs are held against before whole sets are sent.
+WIDE = 4
 #: Children of a tree node; pairs handled at a time.
 FAN, PAIRS = 8, 1 << 18
-_MASK = (1 << 64) - 1
 _MULTIPLY, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
 
 
@@ -56,13 +62,20 @@ class Shingler:
         return np.unique(made)
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length()))
+def bitmap(shingles: np.ndarray, each: int = 1, most: int = MOST_BITS) -> np.ndarray:
+    bits = min(most, max(LEAST_BITS, 1 << (each * len(shingles) - 1).bit_length()))
     marks = np.zeros(bits, np.uint8)
     marks[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(marks, bitorder="little").view(np.uint64)
 
 
+def leasts(shingles: np.ndarray) -> list[int]:
+    """The least shingle in two orders."""
+    other = shingles * _MULTIPLY
+    other ^= other >> np.uint64(31)
+    return [int(shingles.min().view(np.int64)), int((other * _MULTIPLY).min().view(np.int64))]
+
+
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
     """A bitmap on fewer words: halves are OR-combined."""
     while len(bits) > words:
@@ -212,36 +225,37 @@ def hot_shingles(docs: DataFrame, text: str, words: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, key: str, text: str, words: int, num: int, den: int) -> DataFrame:
-    """key, n, d1, d2 (a digest of the set), prefix, bits, low for each row."""
+    """key, n, d1, d2 (a digest of the set), prefix, bits, lows for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, text, words))
 
     def make():
         shingle, hot = Shingler(words), shared.value
 
         def run(texts: list[str | None]) -> dict:
-            out: dict[str, list] = {k: [] for k in ("n", "d1", "d2", "prefix", "bits", "low")}
+            out: dict[str, list] = {k: [] for k in ("n", "d1", "d2", "prefix", "bits", "lows")}
             for x in texts:
                 s = shingle(x)
                 digest = xxhash.xxh128(s.tobytes()).digest()
                 d1, d2 = np.frombuffer(digest, np.int64).tolist()
                 n = len(s)
-                length = n + (num * n) // -den + 1 if n else 0
+                length = n + (num * n) // -den + max(1, n // SHARED) if n else 0
                 if n and len(hot):
                     often = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
                     s = np.concatenate([s[~often], s[often]])
-                for k, v in zip(out, (n, d1, d2, s[:length].view(np.int64), bitmap(s).tobytes() if n else b"", int(s.min().view(np.int64)) if n else 0)):
+                for k, v in zip(out, (n, d1, d2, s[:length].view(np.int64), bitmap(s).tobytes() if n else b"", leasts(s) if n else [])):
                     out[k].append(v)
             return out
 
         return run
 
-    return with_columns(docs.select(key, text), text, make, "n long, d1 long, d2 long, prefix array<long>, bits binary, low long", (text,))
+    return with_columns(docs.select(key, text), text, make, "n long, d1 long, d2 long, prefix array<long>, bits binary, lows array<long>", (text,))
 
 
 def _sets(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """id, n, bits, low, shingles of classes, from the text of one of their documents each."""
-    wanted = classes.select("id", "n", "bits", "low", "d1", "d2", "rep").hint("shuffle_hash")
-    found = docs.select(F.col(key).alias("doc"), F.col(text).alias("body")).join(wanted, F.col("doc").eqNullSafe(F.col("rep")))
+    """id, n, bits, lows, wide, shingles of classes, from the text of one of their documents each."""
+    wanted = classes.select("id", "n", "bits", "lows", "d1", "d2", F.col("rep").alias("doc"))
+    bodies = docs.select(F.col(key).alias("doc"), F.col(text).alias("body"))
+    found = possible(bodies, wanted, "doc").withColumnRenamed("doc", "doc_").join(wanted.hint("shuffle_hash"), F.col("doc_").eqNullSafe(F.col("doc")))
 
     def make():
         shingle = Shingler(words)
@@ -249,20 +263,22 @@ def _sets(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int)
         def run(texts: list[str | None]) -> dict:
             sets = [shingle(x) for x in texts]
             both = [np.frombuffer(xxhash.xxh128(s.tobytes()).digest(), np.int64).tolist() for s in sets]
-            return {"shingles": [s.tobytes() for s in sets], "e1": [a for a, _ in both], "e2": [b for _, b in both]}
+            wide = [bitmap(s, WIDE, 1 << 30).tobytes() if len(s) else b"" for s in sets]
+            return {"shingles": [s.tobytes() for s in sets], "wide": wide, "e1": [a for a, _ in both], "e2": [b for _, b in both]}
 
         return run
 
-    made = with_columns(found.drop("doc", "rep"), "body", make, "shingles binary, e1 long, e2 long", ("body",))
+    made = with_columns(found.drop("doc", "doc_"), "body", make, "shingles binary, wide binary, e1 long, e2 long", ("body",))
     # an id may stand on several rows: of other texts, or repeated
-    return made.where("d1 = e1 and d2 = e2").select("id", "n", "bits", "low", "shingles")
+    return made.where("d1 = e1 and d2 = e2").select("id", "n", "bits", "lows", "wide", "shingles")
 
 
 def _local_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, root): verified links within groups of the same least shingle."""
-    groups = sets.groupBy("low").count().where("count > 1")
+    """(id, root): verified links within groups of the same least shingle in one of the orders."""
+    rows = sets.withColumn("low", F.explode("lows"))
+    groups = rows.select("low").groupBy("low").count().where("count > 1")
     blocks = F.ceil(F.col("count") / GROUP)
-    dealt = sets.join(groups, "low").select("low", F.pmod(F.xxhash64("id"), blocks).alias("part"), "id", "n", "bits", "shingles")
+    dealt = rows.join(groups, "low").select("low", F.pmod(F.xxhash64("id"), blocks).alias("part"), "id", "n", "bits", "shingles")
 
     def work(table: pa.Table) -> list:
         ids, index = np.unique(table["id"].to_numpy(), return_index=True)
@@ -307,15 +323,31 @@ def _bucket_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    one = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    """The pairs that link: first by wide bitmaps, which leave little but links, then by whole sets."""
+
+    def one(asked: DataFrame, x: str, *columns: str) -> DataFrame:
+        return possible(sets.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), asked.select(x), x)
+
+    def both(asked: DataFrame, *columns: str) -> DataFrame:
+        return asked.join(one(asked, "a", *columns), "a").join(one(asked, "b", *columns), "b")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "wide_a"):
+            keep = []
+            for x, y, n, m in zip(_arrays(batch.column("wide_a")), _arrays(batch.column("wide_b")), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()):
+                words = min(len(x), len(y))
+                x, y = folded(x, words), folded(y, words)
+                most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+                keep.append((num + den) * most >= num * (n + m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "s_a"):
-            keep = [linked(x, y, num, den) for x, y in zip(_arrays(batch.column("s_a")), _arrays(batch.column("s_b")))]
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "shingles_a"):
+            keep = [linked(x, y, num, den) for x, y in zip(_arrays(batch.column("shingles_a")), _arrays(batch.column("shingles_b")))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    near = stored(both(pairs, "wide", "n").mapInArrow(likely, "a long, b long"), "near")
+    return both(near, "shingles").mapInArrow(link, "a long, b long")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -346,23 +378,28 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     Empty tables give no rows. Other columns of docs are left out.
     """
     rows = stored(_signed(docs, key, text, words, num, den), "rows")
-    first = {c: F.first(c).alias(c) for c in ("n", "prefix", "bits", "low")}
+    first = {c: F.first(c).alias(c) for c in ("n", "prefix", "bits", "lows")}
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(key).alias("rep"), *first.values())
     classes = stored(classes.withColumn("id", F.xxhash64("d1", "d2")), "classes")
 
-    tokens = classes.select("id", F.explode("prefix").alias("tok"))
+    tokens = classes.select("id", "n", F.posexplode("prefix").alias("place", "tok"))
     counts = tokens.groupBy("tok").count().where("count > 1")
-    shared = stored(tokens.join(counts, "tok"), "shared")
-    involved = classes.join(shared.select("id").distinct(), "id", "left_semi")
-    sets = stored(_sets(docs, involved, key, text, words), "sets").dropDuplicates(["id"])
+    least = F.ceil(F.col("n") * num / den)
+    known = tokens.join(counts, "tok").select("tok", "id", "n", "count", (F.col("place") <= F.col("n") - least).alias("first"))
+    known = stored(known, "known")
+    enough = F.greatest(F.lit(1), F.floor(least / SHARED))
+    ids = stored(known.groupBy("id", "n").agg(F.count("*").alias("of")).where(F.col("of") >= enough).select("id"), "ids")
+    shared = known.where("first").join(ids, "id", "left_semi").select("tok", "id", "count")
+    involved = stored(classes.join(ids, "id", "left_semi"), "involved")
+    sets = stored(_sets(docs, involved, key, text, words), "sets")
 
     local = stored(_local_links(sets, num, den), "local")
-    groups = local.groupBy("id").agg(F.min("root").alias("root"))
-    grouped = shared.join(groups, "id", "left").select("tok", "id", "count", F.coalesce("root", "id").alias("grp"))
+    groups = components(local, "id", "root")
+    grouped = shared.join(groups, "id", "left").select("tok", "id", "count", F.coalesce("comp", "id").alias("grp"))
     mixed = grouped.groupBy("tok").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 != g2").select("tok")
-    open_ = grouped.join(mixed, "tok").join(sets.select("id", "n", "bits"), "id")
+    open_ = grouped.join(mixed, "tok").join(involved.select("id", "n", "bits"), "id")
     far = _verified(stored(_bucket_pairs(open_, num, den), "pairs"), sets, num, den)
-    comps = components(local.select(F.col("id").alias("a"), F.col("root").alias("b")).union(far))
+    comps = components(groups.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(far))
 
     placed = classes.select("d1", "d2", "id", "rep").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = placed.join(comps.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("rep").alias("least"))
