@@ -2,8 +2,8 @@
 
 A text is the first layer of a worklist. Each layer is scanned; URL escapes, Unicode escapes,
 base64 runs and compressed data in it give further layers, until no new layer appears (a layer seen
-before is not taken again). Every layer knows where in the text each of its characters came from, so
-that findings become spans of the text.
+before at the same places is not taken again; an equal one at other places is). Every layer knows
+where in the text each of its characters came from, so that findings become spans of the text.
 """
 
 from __future__ import annotations
@@ -62,15 +62,22 @@ def scan(text: str, data: bytes | None = None) -> list[Span]:
 class Layer:
     """A text with the place of each of its characters in the first text.
 
-    places: for each character, (start, end) there; None for the first text itself.
+    places: for each character, (start, end) there; one (start, end) if all have the same; None for
+    the first text itself.
     """
 
-    def __init__(self, text: str, places: list[tuple[int, int]] | None):
+    def __init__(self, text: str, places: list[tuple[int, int]] | tuple[int, int] | None):
         self.text, self.places = text, places
 
+    def key(self) -> tuple:
+        """Equal for layers that give the same spans."""
+        return self.text, tuple(self.places) if isinstance(self.places, list) else self.places
+
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.places is None:
             return start, end
+        if isinstance(self.places, tuple):
+            return self.places
         return self.places[start][0], max(b for _, b in self.places[start:end])
 
     def inner(self) -> Iterator["Layer"]:
@@ -95,19 +102,22 @@ class Layer:
             if (made := decode(m)) is None:
                 continue
             pieces += [self.text[at : m.start()], made]
-            places += (self.span(k, k + 1) for k in range(at, m.start()))
-            places += [self.span(m.start(), m.end())] * len(made)
+            if not isinstance(self.places, tuple):
+                places += (self.span(k, k + 1) for k in range(at, m.start()))
+                places += [self.span(m.start(), m.end())] * len(made)
             at, changed = m.end(), True
         if not changed:
             return None
         pieces.append(self.text[at:])
+        if isinstance(self.places, tuple):
+            return Layer("".join(pieces), self.places)
         places += (self.span(k, k + 1) for k in range(at, len(self.text)))
         return Layer("".join(pieces), places)
 
     def _within(self, start: int, end: int, body: str, exact: bool) -> "Layer":
         """body, decoded from start to end. exact: its bytes are a base64 run's, four characters for three."""
-        if not exact:
-            return Layer(body, [self.span(start, end)] * len(body))
+        if not exact or isinstance(self.places, tuple):
+            return Layer(body, self.span(start, end))
         places, at = [], 0
         for c in body:
             n = len(c.encode("utf-8", "surrogatepass"))
@@ -174,13 +184,13 @@ def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
         return [], []
     base = scan(text)
     found = set(base)
-    seen, work = {text}, [Layer(text, None)]
+    seen, work = set(), [Layer(text, None)]
     while work:
         layer = work.pop()
         for inner in layer.inner():
-            if inner.text in seen:
+            if (key := inner.key()) in seen:
                 continue
-            seen.add(inner.text)
+            seen.add(key)
             work.append(inner)
             for start, kind, end in scan(inner.text):
                 a, b = inner.span(start, end)

@@ -189,6 +189,19 @@ def test_wrapped_secrets(wrap):
     assert "hunter" not in str(secret_scan.find_secrets(secret_scan.mask_spans(text, found, "[SECRET]")))
 
 
+@pytest.mark.parametrize("squeeze", [bytes, gzip.compress])
+def test_equal_encoded_secrets(squeeze):
+    blob = base64.b64encode(squeeze(b"the password=hunter2222 here")).decode()
+    twice = base64.b64encode(f"{blob} {blob}".encode()).decode()
+    text = f"one {blob} two\n{blob} three {twice} {blob}"
+    _, found = secret_scan.find_secrets(text)
+    places = [m.start() for m in re.finditer(re.escape(blob), text)]
+    assert len(places) == 3 and all(any(p <= a < b <= p + len(blob) for a, _, b in found) for p in places)
+    assert sum(text.index(twice) <= a < b <= text.index(twice) + len(twice) for a, _, b in found) == 2
+    masked = secret_scan.mask_spans(text, found, "[SECRET]")
+    assert not secret_scan.find_secrets(masked)[1]
+
+
 def test_secret_documents(spark):
     own = [None, "", "token=abcdef", "clean words", "%41" * 5, "x" * 100_000]
     rows = {r["doc_id"]: r for r in secret_scan.reported(docs(spark, own)).collect()}
