@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from hearweave.llm.common import with_columns
 
 KINDS = ("assign", "access", "hex")
-#: A compressed layer of more bytes is left unopened, so that a small text can't fill a worker.
-INFLATED = 64 << 20
+#: Inflated data is scanned in pieces of about so many characters, so that a small text can't fill a worker.
+PIECE = 4 << 20
+#: Compressed bytes that are opened, and inflated bytes that are held, at a time.
+CHUNK, OPENED = 16 << 10, 1 << 20
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -35,6 +39,9 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
+#: Where a text can be cut, after the match: no secret, escape or base64 run stands across.
+_CUT = re.compile(r"""[^A-Za-z0-9+/_.=\-"':\x20\t\r\n%\\&#;{}]|(?<=[A-Za-z0-9])\x20(?=[A-Za-z0-9])|\n(?=\r?\n)""")
+
 _AS_HEX = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
 _AS_64 = bytes(98 if chr(c).isascii() and (chr(c).isalnum() or c in b"+/_-") else 32 for c in range(256))
 
@@ -71,7 +78,8 @@ class Layer:
 
     def key(self) -> tuple:
         """Equal for layers that give the same spans."""
-        return self.text, tuple(self.places) if isinstance(self.places, list) else self.places
+        digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        return digest, tuple(self.places) if isinstance(self.places, list) else self.places
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.places is None:
@@ -89,9 +97,14 @@ class Layer:
             yield layer
         if b"b" * 16 in data.translate(_AS_64):
             for m in _BASE64.finditer(text):
-                if (decoded := _from_base64(m[0])) is not None:
-                    body, exact = decoded
-                    yield self._within(m.start(), m.end(), body, exact)
+                if (data := _from_base64(m[0])) is None:
+                    continue
+                pieces = _inflated(data)
+                if pieces is not None:
+                    for piece in pieces:
+                        yield Layer(piece, self.span(m.start(), m.end()))
+                if (body := _as_text(data)) is not None:
+                    yield self._within(m.start(), m.end(), body)
 
     def _escapes(self, pattern: re.Pattern, decode) -> "Layer | None":
         """This layer with each match of pattern replaced by what it stands for."""
@@ -114,9 +127,9 @@ class Layer:
         places += (self.span(k, k + 1) for k in range(at, len(self.text)))
         return Layer("".join(pieces), places)
 
-    def _within(self, start: int, end: int, body: str, exact: bool) -> "Layer":
-        """body, decoded from start to end. exact: its bytes are a base64 run's, four characters for three."""
-        if not exact or isinstance(self.places, tuple):
+    def _within(self, start: int, end: int, body: str) -> "Layer":
+        """body, whose bytes are those of the base64 run from start to end, four characters for three."""
+        if isinstance(self.places, tuple):
             return Layer(body, self.span(start, end))
         places, at = [], 0
         for c in body:
@@ -138,44 +151,99 @@ def _from_unicode(m: re.Match) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _from_base64(run: str) -> tuple[str, bool] | None:
-    """The text in a base64 run, and whether its bytes are the run's own (not inflated)."""
+def _from_base64(run: str) -> bytes | None:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        return base64.b64decode(body + "=" * (-len(body) % 4))
     except binascii.Error:
         return None
-    if data[:2] == b"\x1f\x8b" or data[:4] == b"\x28\xb5\x2f\xfd" or data[:1] == b"\x78":
-        inflated = _inflated(data)
-        if inflated is not None:
-            text = _as_text(inflated)
-            return None if text is None else (text, False)
-    text = _as_text(data)
-    return None if text is None else (text, True)
 
 
-def _inflated(data: bytes) -> bytes | None:
+def _inflated(data: bytes) -> Iterator[str] | None:
+    """The text compressed in data, in pieces; None unless data is gzip, zlib or zstd of UTF-8.
+
+    It is opened twice, first to see whether all of it is such text.
+    """
+    if not (data[:2] == b"\x1f\x8b" or data[:4] == b"\x28\xb5\x2f\xfd" or data[:1] == b"\x78"):
+        return None
     try:
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor(max_window_size=INFLATED).stream_reader(data) as r:
-                out = r.read(INFLATED + 1)
-            return out if len(out) <= INFLATED else None
-        opened = zlib.decompressobj(47)
-        out = opened.decompress(data, INFLATED)
-        return out if opened.eof else None
-    except (zlib.error, zstandard.ZstdError):
+        for _ in _decoded(data):
+            pass
+    except (zlib.error, zstandard.ZstdError, EOFError, UnicodeDecodeError):
         return None
+    return _pieces(_decoded(data))
+
+
+def _opened(data: bytes) -> Iterator[bytes]:
+    """The bytes compressed in data, a few at a time: of all members of a gzip file and all zstd frames.
+
+    What follows the last one is left out. Of a gzip or zstd that ends too early, what is there.
+    """
+    zstd = data[:4] == b"\x28\xb5\x2f\xfd"
+    magic = data[:4] if zstd else data[:2]
+    size = CHUNK // 256 if zstd else CHUNK  # 128 KB may stand in four bytes of a zstd
+    at = 0
+    while at == 0 or (magic[:1] != b"\x78" and data[at : at + len(magic)] == magic):
+        member = zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj() if zstd else zlib.decompressobj(47)
+        first, held = at == 0, b""
+        while not member.eof:
+            if not held:
+                held = data[at : at + size]
+                at += len(held)
+                if not held:
+                    if magic[:1] == b"\x78":
+                        raise EOFError
+                    return
+            try:
+                out = member.decompress(held) if zstd else member.decompress(held, OPENED)
+            except (zlib.error, zstandard.ZstdError):
+                if first:
+                    raise
+                return
+            held = b"" if zstd else member.unconsumed_tail
+            if out:
+                yield out
+        at -= len(member.unused_data)
+
+
+def _decoded(data: bytes) -> Iterator[str]:
+    reader = codecs.getincrementaldecoder("utf-8")()
+    for part in _opened(data):
+        yield reader.decode(part)
+
+
+def _pieces(parts: Iterator[str]) -> Iterator[str]:
+    """The parts joined to pieces of PIECE characters or somewhat more, cut where _CUT says; a text
+    that can't be cut stays whole."""
+    held: list[str] = []
+    size, least = 0, PIECE
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size < least:
+            continue
+        text = "".join(held)
+        start = max(0, size - (PIECE >> 2))
+        last = max((m.end() for m in _CUT.finditer(text, start)), default=0)
+        if not last and size > PIECE:
+            last = max((m.end() for m in _CUT.finditer(text)), default=0)
+        if last:
+            yield text[:last]
+        held = [text[last:]]
+        size = len(held[0])
+        least = PIECE if last else 2 * size
+    if size:
+        yield "".join(held)
 
 
 def _as_text(data: bytes) -> str | None:
-    """data as text, if it is UTF-8 without control characters."""
+    """data as text, if it is UTF-8."""
     try:
-        text = data.decode()
+        return data.decode()
     except UnicodeDecodeError:
         return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
 
 def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -184,18 +252,19 @@ def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
         return [], []
     base = scan(text)
     found = set(base)
-    seen, work = set(), [Layer(text, None)]
-    while work:
-        layer = work.pop()
-        for inner in layer.inner():
-            if (key := inner.key()) in seen:
-                continue
-            seen.add(key)
-            work.append(inner)
-            for start, kind, end in scan(inner.text):
-                a, b = inner.span(start, end)
-                if not any(k == kind and s <= a and b <= e for s, k, e in found):
-                    found.add((a, kind, b))
+    seen, work = set(), [Layer(text, None).inner()]
+    while work:  # depth first, so that few pieces of inflated data are held
+        if (inner := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if (key := inner.key()) in seen:
+            continue
+        seen.add(key)
+        work.append(inner.inner())
+        for start, kind, end in scan(inner.text):
+            a, b = inner.span(start, end)
+            if not any(k == kind and s <= a and b <= e for s, k, e in found):
+                found.add((a, kind, b))
     return base, sorted(found)
 
 
@@ -206,8 +275,8 @@ def described(spans: list[Span]) -> str:
 def scan_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with base_spans and all_spans: arrays of struct(start, kind, end), code points, end exclusive.
 
-    Rows stay where they are. Null or empty text: no spans. Texts are scanned whole; inner layers of
-    more than INFLATED bytes stay closed. Repeated rows are scanned each. Other columns are kept;
+    Rows stay where they are. Null or empty text: no spans. Texts and all their inner layers
+    are scanned whole, inflated data in pieces. Repeated rows are scanned each. Other columns are kept;
     those named as the results are replaced.
     """
 

@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 tiktoken = pytest.importorskip("tiktoken")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -202,6 +203,39 @@ def test_equal_encoded_secrets(squeeze):
     assert not secret_scan.find_secrets(masked)[1]
 
 
+@pytest.mark.parametrize("beside", ["\xa0", "\u3000", "\u202f", "\xad", "\u200b", "\u200d", "\ufeff", "\0", "\x1b"])
+@pytest.mark.parametrize("squeeze", [bytes, gzip.compress, zstandard.compress])
+def test_secrets_beside_unprintable(beside, squeeze):
+    blob = base64.b64encode(squeeze(f"{beside}the password=hunter2222 here".encode())).decode()
+    assert [k for _, k, _ in secret_scan.find_secrets(f"see {blob} end")[1]] == [0]
+
+
+@pytest.mark.parametrize("squeeze", [gzip.compress, zstandard.compress])
+def test_secrets_in_later_members(squeeze):
+    data = squeeze(b"nothing") + squeeze(b" here, ") + squeeze(b"token=abcdef12")
+    for tail in (b"", b"garbage"):
+        assert [k for _, k, _ in secret_scan.find_secrets(base64.b64encode(data + tail).decode())[1]] == [0]
+
+
+@pytest.mark.parametrize("squeeze", [gzip.compress, zlib.compress, zstandard.compress])
+def test_secrets_far_inside(squeeze):
+    blob = base64.b64encode(squeeze(b"some words, " * (6 << 20) + b"AKIA" + b"A1" * 8)).decode()
+    text = f"a {blob} b"
+    assert secret_scan.find_secrets(text)[1] == [(2, 1, 2 + len(blob))]
+
+
+def test_pieces(monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE", 40)
+    r = random.Random(11)
+    bits = ["password: abcdef", "token = token = abcdef", "AKIA" + "A1" * 8, "0af" * 9, " ", ",", "\n", "\n\n", "é", "word", "%41", base64.b64encode(b"secret=abcdef").decode()]
+    for _ in range(500):
+        text = "".join(r.choice(bits) for _ in range(60))
+        pieces = list(secret_scan._pieces(iter([text[k : k + 7] for k in range(0, len(text), 7)])))
+        assert "".join(pieces) == text
+        count = lambda x: len(secret_scan.scan(x))
+        assert sum(map(count, pieces)) == count(text)
+
+
 def test_secret_documents(spark):
     own = [None, "", "token=abcdef", "clean words", "%41" * 5, "x" * 100_000]
     rows = {r["doc_id"]: r for r in secret_scan.reported(docs(spark, own)).collect()}
