@@ -1,7 +1,7 @@
 """Secret scans that unwrap encodings.
 
 A text is the first layer of a worklist. Each layer is scanned; URL escapes, Unicode escapes,
-base64 runs and compressed data in it give further layers, until no new layer appears (a layer seen
+base64 runs (over line ends too, and glued to other letters) and compressed data in it give further layers, until no new layer appears (a layer seen
 before at the same places is not taken again; an equal one at other places is). Every layer knows
 where in the text each of its characters came from, so that findings become spans of the text.
 """
@@ -9,12 +9,13 @@ where in the text each of its characters came from, so that findings become span
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import codecs
 import hashlib
 import re
+import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -38,6 +39,13 @@ _WORDS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same over line ends.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_NOT_64 = re.compile(r"[^A-Za-z0-9+/_-]+")
+#: Decoded bytes that are UTF-8 (others are lone surrogates) and enough for a secret.
+_UTF8 = re.compile(r"[^\ud800-\udfff]{12,}")
+#: How gzip, zstd and zlib begin in base64.
+_PACKED = re.compile(r"(?=H4sI|KLUv/[Q-Za-f]|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r]))")
 
 #: Where a text can be cut, after the match: no secret, escape or base64 run stands across.
 _CUT = re.compile(r"""[^A-Za-z0-9+/_.=\-"':\x20\t\r\n%\\&#;{}]|(?<=[A-Za-z0-9])\x20(?=[A-Za-z0-9])|\n(?=\r?\n)""")
@@ -95,16 +103,40 @@ class Layer:
             yield layer
         if ("\\" in text or "&#" in text) and (layer := self._escapes(_UNICODE, _from_unicode)):
             yield layer
+        if "\n" in text:  # before its lines, whose findings may be parts of the whole run's
+            for m in _WRAPPED.finditer(text):
+                if m.end() - m.start() >= 16 and len(run := _NOT_64.sub("", m[0])) >= 16:
+                    yield from self._run(run, [k for k in range(m.start(), m.end()) if not _NOT_64.match(text, k)], m.end())
         if b"b" * 16 in data.translate(_AS_64):
             for m in _BASE64.finditer(text):
-                if (data := _from_base64(m[0])) is None:
-                    continue
-                pieces = _inflated(data)
-                if pieces is not None:
-                    for piece in pieces:
-                        yield Layer(piece, self.span(m.start(), m.end()))
-                if (body := _as_text(data)) is not None:
-                    yield self._within(m.start(), m.end(), body)
+                run = m[0].rstrip("=")
+                yield from self._run(run, range(m.start(), m.start() + len(run)), m.end())
+
+    def _run(self, run: str, where: Sequence[int], end: int) -> Iterator["Layer"]:
+        """The layers in a base64 run. where: the place of each of its characters; end: that of its padding's end.
+
+        Other characters may be glued to what is encoded, so that it may begin at any of them.
+        """
+        run = run.replace("-", "+").replace("_", "/")
+        phases = [bytearray(_from_base64(run[k:])) for k in range(4)]
+        opened = 0
+        for m in _PACKED.finditer(run):
+            k = m.start()
+            if k < opened or (found := _inflated(memoryview(phases[k % 4])[k // 4 * 3 :])) is None:
+                continue
+            pieces, used = found
+            opened = min(len(run), k - (used * -4 // 3))
+            span = self.span(where[k], end if len(run) - opened < 2 else where[opened - 1] + 1)
+            for piece in pieces:
+                yield Layer(piece, span)
+            phases[k % 4][k // 4 * 3 : k // 4 * 3 + used] = b"\xff" * used  # what is opened is no text
+        for k, data in enumerate(phases):
+            body, last, at = data.decode("utf-8", "surrogateescape"), 0, 0
+            for m in _UTF8.finditer(body):
+                at += len(body[last : m.start()].encode("utf-8", "surrogateescape"))
+                last = m.start()
+                if _worth(m[0]):
+                    yield self._within(where, k, at, m[0])
 
     def _escapes(self, pattern: re.Pattern, decode) -> "Layer | None":
         """This layer with each match of pattern replaced by what it stands for."""
@@ -127,18 +159,24 @@ class Layer:
         places += (self.span(k, k + 1) for k in range(at, len(self.text)))
         return Layer("".join(pieces), places)
 
-    def _within(self, start: int, end: int, body: str) -> "Layer":
-        """body, whose bytes are those of the base64 run from start to end, four characters for three."""
+    def _within(self, where: Sequence[int], phase: int, at: int, body: str) -> "Layer":
+        """body, whose bytes are those from the at-th on of a base64 run from phase on, four characters for three."""
         if isinstance(self.places, tuple):
-            return Layer(body, self.span(start, end))
-        places, at = [], 0
+            return Layer(body, self.places)
+        places = []
         for c in body:
-            n = len(c.encode("utf-8", "surrogatepass"))
-            places.append(self.span(start + at * 4 // 3, min(end, start + -(-(at + n) * 4 // 3))))
+            n = len(c.encode())
+            first, last = phase + at * 4 // 3, phase - ((at + n) * -4 // 3) - 1
+            places.append(self.span(where[first], where[last] + 1))
             at += n
         return Layer(body, places)
 
 
+def _worth(text: str) -> bool:
+    """Whether a layer has a secret or further layers."""
+    return bool(scan(text) or _BASE64.search(text) or _URL.search(text) or _UNICODE.search(text) or _WRAPPED.search(text))
+
+
 def _from_url(m: re.Match) -> str | None:
     try:
         return bytes.fromhex(m[0].replace("%", "")).decode()
@@ -151,33 +189,29 @@ def _from_unicode(m: re.Match) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _from_base64(run: str) -> bytes | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except binascii.Error:
-        return None
+def _from_base64(run: str) -> bytes:
+    """The bytes of a run of the standard letters; a last letter that makes no byte is left out."""
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
 
 
-def _inflated(data: bytes) -> Iterator[str] | None:
-    """The text compressed in data, in pieces; None unless data is gzip, zlib or zstd of UTF-8.
+def _inflated(data: memoryview) -> tuple[Iterator[str], int] | None:
+    """The text compressed in data, in pieces, and of how many bytes; None unless gzip, zlib or zstd of UTF-8.
 
     It is opened twice, first to see whether all of it is such text.
     """
-    if not (data[:2] == b"\x1f\x8b" or data[:4] == b"\x28\xb5\x2f\xfd" or data[:1] == b"\x78"):
-        return None
+    ends = [0]
     try:
-        for _ in _decoded(data):
+        for _ in _decoded(data, ends):
             pass
     except (zlib.error, zstandard.ZstdError, EOFError, UnicodeDecodeError):
         return None
-    return _pieces(_decoded(data))
+    return _pieces(_decoded(data, ends)), ends[-1]
 
 
-def _opened(data: bytes) -> Iterator[bytes]:
-    """The bytes compressed in data, a few at a time: of all members of a gzip file and all zstd frames.
+def _opened(data: memoryview, ends: list[int]) -> Iterator[bytes]:
+    """The bytes compressed in data, a few at a time: of all members of a gzip file and all zstd frames,
+    whose ends are added to ends.
 
     What follows the last one is left out. Of a gzip or zstd that ends too early, what is there.
     """
@@ -195,6 +229,7 @@ def _opened(data: bytes) -> Iterator[bytes]:
                 if not held:
                     if magic[:1] == b"\x78":
                         raise EOFError
+                    ends.append(at)
                     return
             try:
                 out = member.decompress(held) if zstd else member.decompress(held, OPENED)
@@ -206,11 +241,12 @@ def _opened(data: bytes) -> Iterator[bytes]:
             if out:
                 yield out
         at -= len(member.unused_data)
+        ends.append(at)
 
 
-def _decoded(data: bytes) -> Iterator[str]:
+def _decoded(data: memoryview, ends: list[int]) -> Iterator[str]:
     reader = codecs.getincrementaldecoder("utf-8")()
-    for part in _opened(data):
+    for part in _opened(data, ends):
         yield reader.decode(part)
 
 
@@ -238,20 +274,27 @@ def _pieces(parts: Iterator[str]) -> Iterator[str]:
         yield "".join(held)
 
 
-def _as_text(data: bytes) -> str | None:
-    """data as text, if it is UTF-8."""
-    try:
-        return data.decode()
-    except UnicodeDecodeError:
-        return None
-
-
 def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
     """The base spans of text, and all spans including those from inner layers, each in order."""
     if not text:
         return [], []
     base = scan(text)
-    found = set(base)
+    found: list[Span] = []
+    wide: list[list[tuple[int, int]]] = [[] for _ in KINDS]  # of each kind those in no other, in order
+
+    def add(start: int, kind: int, end: int) -> None:
+        spans = wide[kind]
+        at = bisect.bisect_right(spans, (start, sys.maxsize))
+        if at and spans[at - 1][1] >= end:
+            return
+        found.append((start, kind, end))
+        at = last = bisect.bisect_left(spans, (start, 0))
+        while last < len(spans) and spans[last][1] <= end:
+            last += 1
+        spans[at:last] = [(start, end)]
+
+    for span in base:
+        add(*span)
     seen, work = set(), [Layer(text, None).inner()]
     while work:  # depth first, so that few pieces of inflated data are held
         if (inner := next(work[-1], None)) is None:
@@ -263,8 +306,7 @@ def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
         work.append(inner.inner())
         for start, kind, end in scan(inner.text):
             a, b = inner.span(start, end)
-            if not any(k == kind and s <= a and b <= e for s, k, e in found):
-                found.add((a, kind, b))
+            add(a, kind, b)
     return base, sorted(found)
 
 

@@ -224,6 +224,31 @@ def test_secrets_far_inside(squeeze):
     assert secret_scan.find_secrets(text)[1] == [(2, 1, 2 + len(blob))]
 
 
+@pytest.mark.parametrize("before", ["https://h/cb/", "key_", "id-", "word/", "x", "ab", "abc", "path/to/"])
+@pytest.mark.parametrize("squeeze", [bytes, gzip.compress, zlib.compress, zstandard.compress, base64.b64encode])
+def test_glued_secrets(before, squeeze):
+    for after in ("", "/tail", "_x"):
+        blob = base64.urlsafe_b64encode(squeeze(b"the password=hunter2222 here")).decode().rstrip("=")
+        text = f"see {before}{blob}{after} end"
+        _, found = secret_scan.find_secrets(text)
+        assert [k for _, k, _ in found] == [0] and text.index(blob) <= found[0][0] < found[0][2] <= text.index(blob) + len(blob)
+        assert not secret_scan.find_secrets(secret_scan.mask_spans(text, found, "[SECRET]"))[1]
+
+
+@pytest.mark.parametrize("squeeze", [bytes, gzip.compress, zlib.compress, zstandard.compress])
+@pytest.mark.parametrize(("width", "part"), [(64, "\n"), (76, "\r\n"), (76, "\n  "), (10, "\n")])
+def test_wrapped_lines(squeeze, width, part):
+    r = random.Random(12)
+    words = " ".join(r.choice(WORDS) for _ in range(40))
+    for n in range(60):
+        blob = base64.b64encode(squeeze(f"{words} {'x' * n} AKIA{'B2' * 8} {words}".encode())).decode()
+        lines = part.join(blob[k : k + width] for k in range(0, len(blob), width))
+        for text in (lines, f"cert\n{lines}\nend", f"cert: {lines} end"):
+            _, found = secret_scan.find_secrets(text)
+            at = text.index(lines)
+            assert [k for _, k, _ in found] == [1] and at <= found[0][0] < found[0][2] <= at + len(lines)
+
+
 def test_pieces(monkeypatch):
     monkeypatch.setattr(secret_scan, "PIECE", 40)
     r = random.Random(11)
