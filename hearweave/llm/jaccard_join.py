@@ -367,16 +367,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row of docs: key, n_shingles, component_id (the least key reachable by links, its own
-    included), class_id (equal for equal shingle sets).
-
-    Two texts link if den * intersection >= num * union of their sets of shingles of words words (a
-    shorter text's only shingle is all of it). No link is lost. Null texts and texts without words
-    have no shingles and link with nothing: their component is their own key. Rows with a null key
-    take part; their component is null only if no linked row has a key. Repeated rows are one class.
-    Empty tables give no rows. Other columns of docs are left out.
-    """
+def _placed(docs: DataFrame, key: str, text: str, words: int, num: int, den: int) -> DataFrame:
+    """near_components, with each row's digest of its set (d1, d2) and first_class: of the classes
+    of its component, its own is the one with the least key."""
     rows = stored(_signed(docs, key, text, words, num, den), "rows")
     first = {c: F.first(c).alias(c) for c in ("n", "prefix", "bits", "lows")}
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(key).alias("rep"), *first.values())
@@ -402,22 +395,54 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     comps = components(groups.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(far))
 
     placed = classes.select("d1", "d2", "id", "rep").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    least = placed.join(comps.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("rep").alias("least"))
-    named = placed.join(least, "comp", "left").select("d1", "d2", F.col("id").alias("class_id"), F.coalesce("least", "rep").alias("component_id"))
+    least = placed.join(comps.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "id")).alias("least"))
+    first_class = F.coalesce(F.col("least.id") == F.col("id"), F.lit(True)).alias("first_class")
+    named = placed.join(least, "comp", "left").select("d1", "d2", F.col("id").alias("class_id"), F.coalesce("least.rep", "rep").alias("component_id"), first_class)
     out = rows.select(key, "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key))
-    return out.select(key, F.col("n").alias("n_shingles"), own.alias("component_id"), "class_id")
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of each group of linked texts: that of the least key. Rows without words
-    all stay; of rows repeated under the least key, one stays."""
-    found = near_components(docs, key, **options)
-    names = found.select(F.col(key).alias("_key"), "n_shingles", "class_id", "component_id")
-    gone = names.where("n_shingles > 0 and not (_key <=> component_id)").select("_key").distinct()
-    left = docs.join(gone.hint("shuffle_hash"), docs[key].eqNullSafe(gone["_key"]), "left_anti")
-    repeated = names.where("n_shingles > 0").groupBy("_key").count().where("count > 1").select("_key")
-    same = docs[key].eqNullSafe(repeated["_key"])
+    return out.select(key, F.col("n").alias("n_shingles"), own.alias("component_id"), "class_id", "d1", "d2", "first_class")
+
+
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Per row of docs: key, n_shingles, component_id (the least key reachable by links, its own
+    included), class_id (equal for equal shingle sets).
+
+    Two texts link if den * intersection >= num * union of their sets of shingles of words words (a
+    shorter text's only shingle is all of it). No link is lost. Null texts and texts without words
+    have no shingles and link with nothing: their component is their own key. Rows with a null key
+    take part; their component is null only if no linked row has a key. Repeated rows are one class.
+    Empty tables give no rows. Other columns of docs are left out.
+    """
+    return _placed(docs, key, text, words, num, den).select(key, "n_shingles", "component_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each group of linked texts: one of the least key (a null key comes after
+    all others). Rows without words all stay. Keys need not be unique: rows of one key, or of none,
+    are told apart by their sets of shingles."""
+    found = _placed(docs, key, text, words, num, den)
+    stays = (F.col("n_shingles") == 0) | (F.col("first_class") & F.col(key).eqNullSafe(F.col("component_id")))
+    names = stored(found.select(F.col(key).alias("_key"), "n_shingles", F.col("d1").alias("_e1"), F.col("d2").alias("_e2"), stays.alias("stays")), "names")
+    gone = names.where("not stays").select("_key").distinct()
+    repeated = names.groupBy("_key").count().where("count > 1").select("_key")
+    same = lambda of: docs[key].eqNullSafe(of["_key"])
+    left = docs.join(gone.hint("shuffle_hash"), same(gone), "left_anti")
     if not repeated.limit(1).count():
         return left
-    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([key, "text"]))
+
+    def make():
+        shingle = Shingler(words)
+
+        def run(texts: list[str | None]) -> dict:
+            sets = [shingle(x) for x in texts]
+            both = [np.frombuffer(xxhash.xxh128(s.tobytes()).digest(), np.int64).tolist() for s in sets]
+            return {"_n": [len(s) for s in sets], "_d1": [a for a, _ in both], "_d2": [b for _, b in both]}
+
+        return run
+
+    again = stored(with_columns(docs.join(repeated, same(repeated), "left_semi"), text, make, "_n long, _d1 long, _d2 long"), "again")
+    kept = names.where("stays and n_shingles > 0").join(repeated.withColumnRenamed("_key", "_own"), F.col("_key").eqNullSafe(F.col("_own")), "left_semi")
+    of = again[key].eqNullSafe(kept["_key"]) & (F.col("_d1") == F.col("_e1")) & (F.col("_d2") == F.col("_e2"))
+    one = again.where("_n > 0").join(kept, of, "left_semi").dropDuplicates([key, "_d1", "_d2"])
+    parts = one.unionByName(again.where("_n = 0")).select(*docs.columns)
+    return left.join(repeated, same(repeated), "left_anti").unionByName(parts)

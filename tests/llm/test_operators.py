@@ -348,6 +348,17 @@ def test_jaccard_repeated_rows(spark):
     assert sorted(str(r["doc_id"]) for r in jaccard_join.one_of_each(d).collect()) == ["0", "1", "2"]
 
 
+def test_jaccard_shared_and_null_ids(spark):
+    a, b, c, e, f, g, h = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcefgh")
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c + " more"), (None, None), (2, a + " x"), (2, e), (3, f), (3, g), (4, g), (3, f), (5, h), (5, h + " y"), (5, ""), (5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in jaccard_join.one_of_each(d).collect()]
+    sure = [(1, a), (None, b), (None, None), (2, e), (3, f), (3, g), (5, ""), (5, None)]
+    either = [[(None, c), (None, c + " more")], [(5, h), (5, h + " y")]]
+    assert all(left.count(x) == 1 for x in sure) and all(sum(map(left.count, x)) == 1 for x in either)
+    assert len(left) == len(sure) + len(either)
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
