@@ -78,6 +78,14 @@ def test_grouping_pairs_are_complete(spark):
     assert got == {(a, b) for a in long for b in long if a < b and alignment.N.ratio(a, b) >= grouping.LIKENESS}
 
 
+def test_blocks_of_long_chains(spark):
+    order = sorted(range(60), key=lambda k: k * 37 % 60)  # neighbours are far apart in the order of names
+    chains = [("a", list(range(60))), ("b", order)]
+    pairs = [(f"{x}{a:02d}", f"{x}{b:02d}") for x, c in chains for a, b in zip(c, c[1:])]
+    found = grouping.blocks(spark.createDataFrame(pairs, "a string, b string")).collect()
+    assert {r["form"]: r["block"] for r in found} == {f"{x}{k:02d}": f"{x}00" for x, c in chains for k in c} and len(found) == 120
+
+
 def test_grouped_words(spark):
     rows = [("bosch", "en", 0.40, 1), ("bosche", "en", 0.42, 2), ("bosch", "de", 0.41, 3), ("ledger", "en", 0.2, 4), ("ledgers", "en", 0.5, 5), ("bosch", "unknown", 0.41, 6)]
     df = spark.createDataFrame(rows, "form string, language string, strength double, decided_at long")
