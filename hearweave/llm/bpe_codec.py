@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +26,11 @@ from hearweave.llm.common import with_columns
 
 #: Bytes that are merged directly; longer pieces are halved.
 LEAF = 6
-#: Entries of each of the two generations of a worker's cache.
-CACHE = 150_000
+#: Encoded parts that a worker keeps, the letters of the longest of them, and their ids: beyond these
+#: bounds all are dropped. With them a worker's tables take about 80 MB.
+CACHE, KEPT, IDS = 200_000, 48, 1_500_000
+#: Ids that are decoded at once; longer lists are halved.
+HALF = 1 << 18
 
 #: Whitespace right before a space: then text can't be cut in front of that space.
 _SPACES = re.compile(r"\s ")
@@ -63,17 +69,38 @@ class Cache(dict):
         return value
 
 
+class Rows(dict):
+    """Text to the number of the row of a codec's table that holds its ids; encodes what is missing."""
+
+    def __init__(self, add: Callable[[str], int]):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, key: str) -> int:
+        row = self.add(key)
+        if len(key) <= KEPT:
+            self[key] = row
+        return row
+
+
 class BpeCodec:
     """Encodes pieces by ranks, as greedy merging of the lowest rank does, by tree reduction."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.bytes = {v: k for k, v in ranks.items()}
+        self.tokens = pa.array([self.bytes.get(k) for k in range(max(self.bytes, default=0) + 1)], pa.binary())
         self.find = regex.compile(pattern).findall
-        self.leaves = Cache(self.merged)
-        self.pairs = Cache(self._fit)
-        self.pieces = Cache(self._piece)
-        self.rest = Cache(self._part)
+        self.leaves = Cache(self.merged, CACHE // 4)
+        self.pairs = Cache(self._fit, CACHE // 4)
+        self.pieces, self.rest = Rows(self._piece), Rows(self._part)
+        self._empty()
+
+    def _empty(self) -> None:
+        """The table of encoded parts: row k has the ids from starts[k] to starts[k + 1]."""
+        self.pieces.clear()
+        self.rest.clear()
+        self.ids, self.starts = array("i"), array("q", [0])
 
     def merged(self, data: bytes) -> tuple[int, ...]:
         """Merges neighbours of the lowest rank, the leftmost first, until none is left."""
@@ -120,36 +147,64 @@ class BpeCodec:
             return self.join(self.leaves[left], self.leaves[right])
         return self.join(self.encode(left), self.encode(right))
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        return self.encode(piece.encode())
+    def _row(self, ids: Iterable[int]) -> int:
+        self.ids.extend(ids)
+        self.starts.append(len(self.ids))
+        return len(self.starts) - 2
 
-    def _whole(self, text: str) -> tuple[int, ...]:
-        """The ids of text: those of its pieces, between which nothing merges, concatenated."""
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
+    def _piece(self, piece: str) -> int:
+        return self._row(self.encode(piece.encode()))
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        """The ids of a part after its space. Letters alone, or before one mark, need no pattern search."""
+    def _part(self, part: str) -> int:
+        """The row of a part after its space: its pieces' ids, between which nothing merges, one after
+        the other. Letters alone, or before one mark, need no pattern search."""
         if part.isalpha():
-            return self.pieces[" " + part]
+            return self._piece(" " + part)
         if part[:-1].isalpha() and part[-1] in ".,;:":
-            return self.pieces[" " + part[:-1]] + self.pieces[part[-1]]
-        return self._whole(" " + part)
+            return self._row((*self.encode((" " + part[:-1]).encode()), *self.encode(part[-1].encode())))
+        return self._row(chain.from_iterable(self.encode(x.encode()) for x in self.find(" " + part)))
+
+    def encode_texts(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each begins (and the last ends)."""
+        if len(self.pieces) + len(self.rest) > CACHE or len(self.ids) > IDS:
+            self._empty()
+        rows: list[int] = []
+        ends = [0]
+        piece, rest = self.pieces.__getitem__, self.rest.__getitem__
+        for text in texts:
+            parts = parts_of(text)
+            if parts is None:
+                rows += map(piece, self.find(text))
+            else:
+                rows += map(piece, self.find(parts[0]))
+                rows += map(rest, parts[1:])
+            ends.append(len(rows))
+        ids, starts = np.frombuffer(self.ids, np.int32) if self.ids else np.zeros(0, np.int32), np.frombuffer(self.starts, np.int64)
+        which = np.array(rows, np.int64)
+        begin, sizes = starts[which], starts[which + 1] - starts[which]
+        until = np.concatenate([[0], np.cumsum(sizes)])
+        values = ids[np.repeat(begin - until[:-1], sizes) + np.arange(until[-1])]
+        return values, until[ends]
 
     def encode_text(self, text: str) -> list[int]:
-        parts = parts_of(text)
-        if parts is None:
-            return list(self._whole(text))
-        return [*self._whole(parts[0]), *chain.from_iterable(map(self.rest.__getitem__, parts[1:]))]
+        return self.encode_texts([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        """Concatenates bytes up the tree of halves."""
-        if len(ids) <= 4096:
-            return b"".join(map(self.bytes.__getitem__, ids))
+        return bytes(memoryview(self.decoded(pa.array(ids, pa.int32()))[0]))
+
+    def decoded(self, ids: pa.Array) -> tuple[bytes | pa.Buffer, np.ndarray]:
+        """The bytes of ids and where each id's begin (and the last's end), concatenated up the tree of halves."""
+        if len(ids) <= HALF:
+            taken = self.tokens.take(ids)
+            _, offsets, data = taken.buffers()
+            at = np.frombuffer(offsets, np.int32)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+            return (data or pa.py_buffer(b""))[int(at[0]) : int(at[-1])], (at - at[0]).astype(np.int64)
         middle = len(ids) // 2
-        return self.decode(ids[:middle]) + self.decode(ids[middle:])
+        (a, x), (b, y) = self.decoded(ids[:middle]), self.decoded(ids[middle:])
+        return b"".join((memoryview(a), memoryview(b))), np.concatenate([x, x[-1] + y[1:]])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec_of(ranks_path: str, pattern: str) -> BpeCodec:
     """The codec of a worker, with its caches: later tasks of the same worker go on with them."""
     return BpeCodec(read_ranks(ranks_path), pattern)
@@ -158,40 +213,62 @@ def codec_of(ranks_path: str, pattern: str) -> BpeCodec:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
     """docs with the token ids of text in the column to (array of int).
 
-    The rows stay where they are: nothing is shuffled, and a worker keeps at most CACHE pieces.
-    Null or empty text: no ids. Repeated rows each have their ids. Other columns are kept; one
-    named as the result is replaced. ranks_path must be readable on every executor.
+    The rows stay where they are: nothing is shuffled, and a worker keeps at most CACHE parts.
+    Null or empty text: no ids. An empty table stays empty. Repeated rows each have their ids; texts of
+    any length are encoded whole. Other columns are kept; one named as the result is replaced.
+    ranks_path must be readable on every executor.
     """
 
     def make():
         codec = codec_of(ranks_path, pattern)
-        return lambda texts: {to: _ids(map(codec.encode_text, (x or "" for x in texts)))}
+        return lambda texts: {to: _lists(*codec.encode_texts(x or "" for x in texts))}
 
     return with_columns(docs, text, make, f"`{to}` array<int>")
 
 
-def _ids(lists: Iterable[list[int]]) -> pa.Array:
-    offsets, values = [0], []
-    for x in lists:
-        values += x
-        offsets.append(len(values))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+def decode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """docs with the bytes of ids in the column to. Null or no ids: no bytes. The pattern is not used; with
+    that of the encoder a worker needs one codec only."""
+
+    def make():
+        codec = codec_of(ranks_path, pattern)
+        return lambda lists: {to: _decoded(codec, lists)}
 
+    return with_columns(docs, ids, make, f"`{to}` binary", arrow=True)
 
-def decode_documents(docs: DataFrame, ranks_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """docs with the bytes of ids in the column to. Null ids: no bytes."""
+
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """encode_documents and decode_documents of its ids, in one pass of each worker."""
 
     def make():
-        codec = codec_of(ranks_path, "")
-        return lambda lists: {to: [codec.decode(x or []) for x in lists]}
+        codec = codec_of(ranks_path, pattern)
+
+        def run(texts: list[str | None]) -> dict:
+            lists = _lists(*codec.encode_texts(x or "" for x in texts))
+            return {ids: lists, decoded: _decoded(codec, lists)}
+
+        return run
+
+    return with_columns(docs, text, make, f"`{ids}` array<int>, `{decoded}` binary")
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+
 
-    return with_columns(docs, ids, make, f"`{to}` binary")
+def _decoded(codec: BpeCodec, lists: pa.Array) -> pa.Array:
+    """The bytes of each list of ids."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    data, at = codec.decoded(lists.flatten())
+    offsets = at[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes, decodes the ids again, and returns per row: key, n_tokens, ids_sha256, decoded_sha256."""
-    encoded = encode_documents(docs.select(key, text), ranks_path, pattern, text, "ids")
-    both = decode_documents(encoded.select(key, "ids"), ranks_path, "ids", "decoded")
+    both = round_trip(docs.select(key, text), ranks_path, pattern, text, "ids", "decoded")
     return both.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),

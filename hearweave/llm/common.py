@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -70,9 +69,9 @@ def appended(batch: pa.RecordBatch, drop: Iterable[str], new: dict[str, pa.Array
 
 
 def with_columns(
-    df: DataFrame, text: str, make: Callable[[], Callable[[list], dict]], schema: str, drop: tuple[str, ...] = ()
+    df: DataFrame, text: str, make: Callable[[], Callable], schema: str, drop: tuple[str, ...] = (), arrow: bool = False
 ) -> DataFrame:
-    """df with columns made from text by a function over lists of values.
+    """df with columns made from text by a function over lists of values (with arrow: over Arrow arrays).
 
     make() runs once in each task and returns the function: values (str, bytes or None) to
     {name: list or Arrow array}, as named in schema. Columns of df with these names are replaced.
@@ -88,12 +87,8 @@ def with_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in slices(batches, text):
-            made = function(batch.column(text).to_pylist())
+            made = function(batch.column(text) if arrow else batch.column(text).to_pylist())
             arrays = {n: v if isinstance(v, pa.Array) else pa.array(v, types[n]) for n, v in made.items()}
             yield appended(batch, gone, {n: arrays[n] for n in fields.names})
 
     return df.mapInArrow(run, out)
-
-
-def flat(lists: Iterable[Iterable]) -> list:
-    return list(itertools.chain.from_iterable(lists))
