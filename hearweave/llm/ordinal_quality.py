@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearweave.llm.bpe_codec import Cache
 from hearweave.llm.common import slices, stored, with_columns
 
 #: Labelled rows that are learned from, at most, dealt by a hash of the text's id.
@@ -28,38 +29,73 @@ BUCKETS, ROUNDS, STEP, SHRINK, PARTS = 1 << 14, 40, 0.3, 1e-4, 12
 SELECTED = 0.5
 
 _WORDS = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
+#: 1 + log(n) of small counts.
+_LOGS = [0.0, *(1 + math.log(n) for n in range(1, 1 << 12))]
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and values of a text's hashed features; the values have length one.
+_SHAPES = {k: xxhash.xxh64_intdigest(f"s a{k}") for k in ("", ",", ".")}
+_PLAIN = frozenset(_SHAPES.values())
+
+
+def _token(token: str) -> tuple[tuple[int, ...], int, int]:
+    """The hashes of a token's words and of its shape, and its letters."""
+    word, mark = (token, "") if token.isalpha() else (token[:-1], token[-1])
+    if mark in _SHAPES and word.isalpha() and (low := word.lower()).isalpha():
+        return (xxhash.xxh64_intdigest("w " + low),), _SHAPES[mark], len(low)
+    words = _WORDS.findall(token.lower())
+    shape = _WORDS.sub("a", _DIGITS.sub("0", token))[:8]
+    return tuple(xxhash.xxh64_intdigest("w " + w) for w in words), xxhash.xxh64_intdigest("s " + shape), sum(map(len, words))
+
+
+class Features:
+    """Numbers and values of texts' hashed features; the values have length one.
 
     Words and the shapes of tokens are counted by logarithm; size, share of letters, repetition and
-    line length are graded marks.
+    line length are graded marks. What a token gives is worked out once and kept (Cache). Half of the
+    hashes count with a minus.
     """
-    text = text or ""
-    tokens = text.split()
-    counts = Counter(_WORDS.findall(text.lower()))
-    shapes = Counter(re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", t))[:8] for t in tokens)
-    found = {"w " + w: 1 + math.log(n) for w, n in counts.items()}
-    found |= {"s " + s: 1 + math.log(n) for s, n in shapes.items()}
-    found = {k: v / math.sqrt(len(found)) for k, v in found.items()}
-    lines = text.splitlines() or [""]
-    for name, value in (
-        ("size", math.log2(len(tokens) + 1)),
-        ("letters", 10 * sum(map(len, counts.elements())) / max(1, len(text))),
-        ("distinct", 10 * len(set(tokens)) / max(1, len(tokens))),
-        ("lines", 10 * len(set(lines)) / len(lines)),
-        ("length", math.log2(len(text) / len(lines) + 1)),
-        ("word", len(text) / max(1, len(tokens))),
-        ("marks", 10 * sum(shapes[s] for s in shapes if s not in ("a", "a,", "a.")) / max(1, len(tokens))),
-    ):
-        found[f"{name} {round(value)}"] = 1.0
-    vector: dict[int, float] = {}
-    for k, v in found.items():
-        h = xxhash.xxh64_intdigest(k)
-        vector[h % BUCKETS] = vector.get(h % BUCKETS, 0.0) + (v if h >> 63 else -v)
-    numbers, values = np.array(list(vector), np.int64), np.array(list(vector.values()))
-    return numbers, values / max(1e-9, math.sqrt(float(values @ values)))
+
+    def __init__(self):
+        self.tokens = Cache(_token)
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        text = text or ""
+        tokens = text.split()
+        counted = Counter(tokens)
+        kinds: dict[int, int] = {}
+        shapes: dict[int, int] = {}
+        letters = 0
+        get = self.tokens.__getitem__
+        for token, n in counted.items():
+            words, shape, size = get(token)
+            letters += n * size
+            shapes[shape] = shapes.get(shape, 0) + n
+            for w in words:
+                kinds[w] = kinds.get(w, 0) + n
+        marks = sum(n for s, n in shapes.items() if s not in _PLAIN)
+        kinds |= shapes
+        part = 1 / math.sqrt(max(1, len(kinds)))
+        lines = text.splitlines() or [""]
+        graded = (
+            ("size", math.log2(len(tokens) + 1)),
+            ("letters", 10 * letters / max(1, len(text))),
+            ("distinct", 10 * len(counted) / max(1, len(tokens))),
+            ("lines", 10 * len(set(lines)) / len(lines)),
+            ("length", math.log2(len(text) / len(lines) + 1)),
+            ("word", len(text) / max(1, len(tokens))),
+            ("marks", 10 * marks / max(1, len(tokens))),
+        )
+        hashes = [*kinds, *(xxhash.xxh64_intdigest(f"{name} {round(value)}") for name, value in graded)]
+        values = [part * (_LOGS[n] if n < len(_LOGS) else 1 + math.log(n)) for n in kinds.values()] + [1.0] * len(graded)
+        at, values = np.array(hashes, np.uint64), np.array(values)
+        values[at < 1 << 63] *= -1
+        at = (at % BUCKETS).astype(np.int64)
+        order = np.argsort(at)
+        at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        numbers, values = at[first], np.add.reduceat(values[order], first)
+        return numbers, values / max(1e-9, math.sqrt(float(values @ values)))
 
 
 class Model:
@@ -100,6 +136,8 @@ def fit(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "te
     sample = docs.select(key, text).join(F.broadcast(known), key).select("grade", text).repartition(PARTS)
 
     def make():
+        features = Features()
+
         def run(texts: list) -> dict:
             made = [features(x) for x in texts]
             return {"numbers": [a for a, _ in made], "values": [b for _, b in made]}
@@ -146,11 +184,11 @@ def fit(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "te
 
 def grade_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with expected_grade and tail_probability (of the top grade). Null texts are graded as empty
-    ones. Rows stay where they are; other columns are kept, those named as the results replaced."""
+    ones. Rows stay where they are; other columns are kept, those named as the results replaced. Repeated rows are graded each, texts of any length whole; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        m = shared.value
+        m, features = shared.value, Features()
 
         def run(texts: list[str | None]) -> dict:
             scores = np.array([float(v @ m.weights[k]) for k, v in map(features, texts)])
