@@ -4,18 +4,24 @@ Documents with equal shingle sets form a class. Two classes can only link if the
 first shingles of both in a common order (frequent shingles last, then by hash), so each class meets
 its possible partners in the buckets of these few shingles. With somewhat more of the first shingles
 links must share several of them, so a class with fewer shared ones is left out from the start. A
-bucket is searched with a signature tree: nodes hold the OR of their sets' bitmaps and their range of sizes, and a dual traversal drops
-node pairs whose maximum possible overlap is too small. What remains is verified on whole sets.
+bucket is searched with a signature tree: nodes hold the OR of their sets' bitmaps and their range of
+sizes, and a dual traversal drops node pairs whose maximum possible overlap is too small.
 
-Before that, classes with the same least shingle, in either of two orders, are joined within their
-group, on whole sets, so that buckets skip pairs that are connected already; large groups of near
-copies then cost little.
+What remains is not sent out pair by pair. A bucket gives the pairs of a forest over its groups, the
+likeliest first, which are verified on whole sets; the groups that link are joined, pairs that failed
+are remembered, and buckets with further pairs between different groups are searched again, until no
+pair is left. So the pairs follow the number of classes, not the square of a group's size.
+
+Before that, classes with the same least shingle, in either of two orders, are held against each other
+on whole sets. Pairs that met there are settled, so buckets skip them too.
 Groups and buckets are cut into blocks of bounded size; no task gets an unbounded one.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +29,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearweave.llm.bpe_codec import Cache
 from hearweave.llm.common import slices, stored, with_columns
 from hearweave.llm.url_filter import possible
 
-#: Classes of a block of a group or bucket.
-GROUP, BUCKET = 1024, 1024
+#: Classes of a block of a group; of a block of a bucket: those asking, and those answering.
+GROUP, ASK, ANSWER = 1024, 256, 512
 #: The order's frequent shingles: seen in so many documents of a slice, in all of so many; their number.
 HOT_LOCAL, HOT_ALL, HOT_ROWS = 4, 48, 200_000
 #: Linked sets must share one of so many shingles of the smaller among their first ones.
 SHARED = 20
-#: Bits of a set's bitmap: the power of two from its size on, within these.
-LEAST_BITS, MOST_BITS = 128, 4096
-#: Bits for each shingle of the wider bitmap that pairs are held against before whole sets are sent.
-WIDE = 4
-#: Children of a tree node; pairs handled at a time.
-FAN, PAIRS = 8, 1 << 18
+#: Bits of a set's bitmap for each shingle, rounded up to a power of two, within these.
+WIDE, LEAST_BITS, MOST_BITS = 4, 128, 4096
+#: Children of a tree node; words of bitmaps handled at a time.
+FAN, WORDS = 8, 1 << 20
+#: Pairs that a class may offer to a group grow by this factor from round to round.
+MORE = 8
+#: Bytes of a shingle in the sets that are sent.
+SENT = 6
 _MULTIPLY, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
 
 
@@ -46,29 +53,71 @@ class Shingler:
     """Sets of hashed word shingles; A-Z are lower-cased and words parted by ASCII white space."""
 
     def __init__(self, words: int):
-        self.words, self.hashes = words, Cache(xxhash.xxh64_intdigest)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode().lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        reach = min(self.words, len(words))
-        made = np.full(len(words) - reach + 1, reach, np.uint64)
+        self.words = words
+
+    def _mixed(self, hashes: np.ndarray, reach: int) -> np.ndarray:
+        n = len(hashes) - reach + 1
+        made = np.full(n, reach, np.uint64)
         for k in range(reach):
-            made = (made ^ h[k : len(h) - reach + 1 + k]) * _MULTIPLY
+            made = (made ^ hashes[k : n + k]) * _MULTIPLY
             made ^= made >> np.uint64(29)
             made += _ADD
-        return np.unique(made)
-
-
-def bitmap(shingles: np.ndarray, each: int = 1, most: int = MOST_BITS) -> np.ndarray:
-    bits = min(most, max(LEAST_BITS, 1 << (each * len(shingles) - 1).bit_length()))
+        return made
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The sorted set of each text."""
+        out: list[np.ndarray] = []
+        start, size = 0, 0
+        for k, x in enumerate(texts):
+            size += len(x or "")
+            if size > 1 << 20 or k == len(texts) - 1:
+                out += self._some(texts[start : k + 1])
+                start, size = k + 1, 0
+        return out
+
+    def _some(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [x.encode().lower().split() if x else [] for x in texts]
+        sizes = [len(x) for x in split]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split)), np.uint64, sum(sizes))
+        all_ = self._mixed(hashes, self.words) if len(hashes) >= self.words else hashes[:0]
+        out, at = [], 0
+        for n in sizes:
+            made = all_[at : at + n - self.words + 1] if n >= self.words else self._mixed(hashes[at : at + n], n) if n else hashes[:0]
+            made = np.sort(made)
+            if n:
+                new = np.ones(len(made), bool)
+                np.not_equal(made[1:], made[:-1], out=new[1:])
+                made = made[new]
+            out.append(made)
+            at += n
+        return out
+
+
+def digest(shingles: np.ndarray) -> list[int]:
+    """The two halves of a set's digest."""
+    return np.frombuffer(xxhash.xxh128(shingles.tobytes()).digest(), np.int64).tolist()
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (WIDE * len(shingles) - 1).bit_length()))
     marks = np.zeros(bits, np.uint8)
     marks[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(marks, bitorder="little").view(np.uint64)
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The upper bytes of each shingle, in order. At 48 bits a set pair differs from its hashes as rarely
+    as hashes collide."""
+    return shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8).reshape(-1, SENT)
+    whole = np.zeros((len(part), 8), np.uint8)
+    whole[:, :SENT] = part
+    return whole.view(">u8").ravel().astype(np.uint64)
+
+
 def leasts(shingles: np.ndarray) -> list[int]:
     """The least shingle in two orders."""
     other = shingles * _MULTIPLY
@@ -84,58 +133,63 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 class SignatureTree:
-    """Sets in order of size and bitmap, with nodes over FAN of them, over FAN of these, and so on."""
+    """Sets in order of size and bitmap, with nodes over FAN of them, over FAN of these, and so on.
 
-    def __init__(self, sizes: np.ndarray, bitmaps: list[np.ndarray], groups: np.ndarray, side: np.ndarray):
-        words = min(map(len, bitmaps))
-        bits = np.array([folded(b, words) for b in bitmaps], np.uint64).reshape(len(bitmaps), words)
-        self.order = np.lexsort([*(bits[:, k] for k in range(min(2, words))), groups, sizes])
-        bits, sizes, groups, side = bits[self.order], sizes[self.order], groups[self.order], side[self.order]
+    labels: numbers of each set; two sets of which any label is equal are no pair.
+    """
+
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, labels: list[np.ndarray]):
+        self.order = np.lexsort([*(bits[:, k] for k in range(min(2, bits.shape[1]))), labels[0], sizes])
+        bits, sizes = bits[self.order], sizes[self.order]
+        marks = np.stack([x[self.order] for x in labels], axis=1)
         excess = sizes - np.bitwise_count(bits).sum(axis=1)
-        one = [bits, sizes, sizes, excess, groups, groups, side, side]
+        one = [bits, sizes, sizes, excess, marks, marks]
         self.levels = [one]
         while len(one[0]) > FAN:
             cut = np.arange(0, len(one[0]), FAN)
-            ways = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum, np.minimum, np.maximum)
+            ways = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
             one = [way.reduceat(x, cut, axis=0) for way, x in zip(ways, one)]
             self.levels.append(one)
 
-    def _open(self, level: int, i: np.ndarray, j: np.ndarray, num: int, den: int, sides: bool) -> np.ndarray:
-        """Which node pairs may hold a link of different groups."""
-        bits, low, high, excess, g_low, g_high, s_low, s_high = self.levels[level]
+    def _open(self, level: int, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which node pairs may hold a link."""
+        bits, low, high, excess, least, most = self.levels[level]
         a, b = low[i], low[j]
         keep = (den * high[i] >= num * b) & (den * high[j] >= num * a)
-        keep &= ~((g_low[i] == g_high[i]) & (g_low[j] == g_high[j]) & (g_low[i] == g_low[j]))
-        if sides:
-            keep &= ~((s_low[i] == s_high[i]) & (s_low[j] == s_high[j]) & (s_low[i] == s_low[j]))
+        keep &= ~((least[i] == most[i]) & (least[j] == most[j]) & (least[i] == least[j])).any(axis=1)
         i, j = i[keep], j[keep]
         a, b = low[i], low[j]
-        common = np.bitwise_count(bits[i] & bits[j]).sum(axis=1)
-        most = np.minimum(common + np.minimum(excess[i], excess[j]), np.minimum(high[i], high[j]))
-        keep[keep] = (num + den) * most >= num * (a + b)
+        common = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+        bound = common + np.minimum(excess[i], excess[j])
+        if level == 0:  # each bit of one that the other lacks is a shingle that the other lacks
+            bound = np.minimum(high[i], high[j])
+            bound = np.minimum(bound, high[i] - (np.bitwise_count(bits[i]).sum(axis=1, dtype=np.int64) - common))
+            bound = np.minimum(bound, high[j] - (np.bitwise_count(bits[j]).sum(axis=1, dtype=np.int64) - common))
+        bound = np.minimum(bound, np.minimum(high[i], high[j]))
+        keep[keep] = (num + den) * bound >= num * (a + b)
         return keep
 
-    def pairs(self, num: int, den: int, sides: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def pairs(self, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs of sets (their numbers) that may link by their bitmaps, and how many bits differ."""
+        most = max(FAN * FAN, WORDS // self.levels[0][0].shape[1])
         top = len(self.levels) - 1
-        n = len(self.levels[top][0])
-        i, j = np.triu_indices(n)
+        i, j = np.triu_indices(len(self.levels[top][0]))
         work = [(top, i, j)]
         while work:
             level, i, j = work.pop()
-            if len(i) > PAIRS:
-                work += [(level, i[k : k + PAIRS], j[k : k + PAIRS]) for k in range(0, len(i), PAIRS)]
+            if len(i) > most:
+                work += [(level, i[k : k + most], j[k : k + most]) for k in range(0, len(i), most)]
                 continue
             if level == 0:
                 different = i != j
                 i, j = i[different], j[different]
-            keep = self._open(level, i, j, num, den, sides)
+            keep = self._open(level, i, j, num, den)
             i, j = i[keep], j[keep]
             if not len(i):
                 continue
             if level == 0:
                 bits = self.levels[0][0]
-                yield self.order[i], self.order[j], np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
+                yield self.order[i], self.order[j], np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
                 continue
             n = len(self.levels[level - 1][0])
             # children of each pair; of a node with itself, each pair of children once
@@ -146,6 +200,21 @@ class SignatureTree:
             work.append((level - 1, x[inside], y[inside]))
 
 
+def candidates(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of sets that may link, from a tree for each width of bitmaps; sets of the next width are in it too."""
+    sizes = sizes.astype(np.int64)
+    widths = np.array([len(x) for x in bitmaps])
+    for width in np.unique(widths):
+        rows = np.flatnonzero((widths == width) | (widths == 2 * width))
+        if len(rows) < 2:
+            continue
+        bits = np.stack([folded(bitmaps[k], width) for k in rows])
+        later = np.where(widths[rows] == width, -1 - np.arange(len(rows)), 0)  # pairs of two wider sets come with their own width
+        tree = SignatureTree(sizes[rows], bits, [*(x[rows] for x in labels), later])
+        for i, j, apart in tree.pairs(num, den):
+            yield rows[i], rows[j], apart
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return den * common >= num * (len(a) + len(b) - common)
@@ -165,6 +234,12 @@ class Union:
         a, b = self.find(a), self.find(b)
         self.up[max(a, b)] = min(a, b)
 
+    def joined(self, a: int, b: int) -> bool:
+        """Joins a and b; whether they were apart."""
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
 
 def _in_groups(df: DataFrame, keys: tuple[str, ...], work: Callable[[pa.Table], list], schema: str) -> DataFrame:
     """work on the rows of each combination of keys, which are few enough for one task."""
@@ -211,9 +286,9 @@ def hot_shingles(docs: DataFrame, text: str, words: int) -> np.ndarray:
     any list gives the same links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        shingles = Shingler(words).many
         for batch in slices(batches, text):
-            values, n = np.unique(np.concatenate([shingle(x) for x in batch.column(text).to_pylist()]), return_counts=True)
+            values, n = np.unique(np.concatenate(shingles(batch.column(text).to_pylist())), return_counts=True)
             often = n >= HOT_LOCAL
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["shingle", "n"]
@@ -229,14 +304,12 @@ def _signed(docs: DataFrame, key: str, text: str, words: int, num: int, den: int
     shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, text, words))
 
     def make():
-        shingle, hot = Shingler(words), shared.value
+        shingles, hot = Shingler(words).many, shared.value
 
         def run(texts: list[str | None]) -> dict:
             out: dict[str, list] = {k: [] for k in ("n", "d1", "d2", "prefix", "bits", "lows")}
-            for x in texts:
-                s = shingle(x)
-                digest = xxhash.xxh128(s.tobytes()).digest()
-                d1, d2 = np.frombuffer(digest, np.int64).tolist()
+            for s in shingles(texts):
+                d1, d2 = digest(s)
                 n = len(s)
                 length = n + (num * n) // -den + max(1, n // SHARED) if n else 0
                 if n and len(hot):
@@ -252,47 +325,53 @@ def _signed(docs: DataFrame, key: str, text: str, words: int, num: int, den: int
 
 
 def _sets(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """id, n, bits, lows, wide, shingles of classes, from the text of one of their documents each."""
+    """id, n, bits, lows, shingles of classes, from the text of one of their documents each."""
     wanted = classes.select("id", "n", "bits", "lows", "d1", "d2", F.col("rep").alias("doc"))
     bodies = docs.select(F.col(key).alias("doc"), F.col(text).alias("body"))
     found = possible(bodies, wanted, "doc").withColumnRenamed("doc", "doc_").join(wanted.hint("shuffle_hash"), F.col("doc_").eqNullSafe(F.col("doc")))
 
     def make():
-        shingle = Shingler(words)
+        shingles = Shingler(words).many
 
         def run(texts: list[str | None]) -> dict:
-            sets = [shingle(x) for x in texts]
-            both = [np.frombuffer(xxhash.xxh128(s.tobytes()).digest(), np.int64).tolist() for s in sets]
-            wide = [bitmap(s, WIDE, 1 << 30).tobytes() if len(s) else b"" for s in sets]
-            return {"shingles": [s.tobytes() for s in sets], "wide": wide, "e1": [a for a, _ in both], "e2": [b for _, b in both]}
+            sets = shingles(texts)
+            both = [digest(s) for s in sets]
+            return {"shingles": [packed(s) for s in sets], "e1": [a for a, _ in both], "e2": [b for _, b in both]}
 
         return run
 
-    made = with_columns(found.drop("doc", "doc_"), "body", make, "shingles binary, wide binary, e1 long, e2 long", ("body",))
+    made = with_columns(found.drop("doc", "doc_"), "body", make, "shingles binary, e1 long, e2 long", ("body",))
     # an id may stand on several rows: of other texts, or repeated
-    return made.where("d1 = e1 and d2 = e2").select("id", "n", "bits", "lows", "wide", "shingles")
+    return made.where("d1 = e1 and d2 = e2").select("id", "n", "bits", "lows", "shingles").dropDuplicates(["id"])
 
 
-def _local_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, root): verified links within groups of the same least shingle in one of the orders."""
-    rows = sets.withColumn("low", F.explode("lows"))
-    groups = rows.select("low").groupBy("low").count().where("count > 1")
-    blocks = F.ceil(F.col("count") / GROUP)
-    dealt = rows.join(groups, "low").select("low", F.pmod(F.xxhash64("id"), blocks).alias("part"), "id", "n", "bits", "shingles")
+def _cells(sets: DataFrame) -> DataFrame:
+    """id, low, part: the blocks of the groups of the same least shingle, in one of the orders."""
+    rows = sets.select("id", F.explode("lows").alias("low"))
+    groups = rows.groupBy("low").count().where("count > 1")
+    return rows.join(groups, "low").select("id", "low", F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / GROUP)).alias("part"))
+
+
+def _local_links(sets: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, root): verified links within cells, of which all pairs are held against each other."""
+    dealt = cells.join(sets.select("id", "n", "bits", "shingles"), "id")
 
     def work(table: pa.Table) -> list:
-        ids, index = np.unique(table["id"].to_numpy(), return_index=True)
+        ids = table["id"].to_numpy()
         if len(ids) < 2:
             return [[], []]
-        table = table.take(index)
-        sizes, sets_ = table["n"].to_numpy(), _arrays(table["shingles"])
-        tree = SignatureTree(sizes, _arrays(table["bits"]), np.arange(len(ids)), np.zeros(len(ids), np.int64))
+        data = table["shingles"].to_pylist()
+        sets_: dict[int, np.ndarray] = {}
         union = Union(len(ids))
-        for i, j, apart in tree.pairs(num, den):
+        for i, j, apart in candidates(table["n"].to_numpy(), _arrays(table["bits"]), [np.arange(len(ids))], num, den):
             for k in np.argsort(apart, kind="stable"):
                 a, b = int(i[k]), int(j[k])
-                if union.find(a) != union.find(b) and linked(sets_[a], sets_[b], num, den):
-                    union.join(a, b)
+                if union.find(a) != union.find(b):
+                    for x in (a, b):
+                        if x not in sets_:
+                            sets_[x] = unpacked(data[x])
+                    if linked(sets_[a], sets_[b], num, den):
+                        union.join(a, b)
         roots = [union.find(k) for k in range(len(ids))]
         moved = [k for k, r in enumerate(roots) if k != r]
         return [ids[moved], ids[[roots[k] for k in moved]]]
@@ -300,54 +379,112 @@ def _local_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     return _in_groups(dealt, ("low", "part"), work, "id long, root long")
 
 
-def _bucket_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different groups that may link, from tok, id, n, bits, grp, count."""
-    blocks = F.ceil(F.col("count") / BUCKET).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = shared.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    rows = rows.select("tok", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "n", "bits", "grp")
+def _bucket_rows(grouped: DataFrame) -> DataFrame:
+    """The rows of the blocks of buckets with several groups, from tok, id, grp.
+
+    A small bucket is one block (side -1). Of others, classes outside the largest group ask and all
+    answer, so that a block has ASK and ANSWER of them.
+    """
+    by_group = grouped.groupBy("tok", "grp").count()
+    buckets = by_group.groupBy("tok").agg(F.max_by("grp", F.struct("count", "grp")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
+    buckets = buckets.where(F.col("all") > F.col("most"))
+    one = F.col("all") <= ANSWER
+    asking, answering = F.ceil((F.col("all") - F.col("most")) / ASK).cast("int"), F.ceil(F.col("all") / ANSWER).cast("int")
+    rows = grouped.join(buckets, "tok").withColumns({"asking": asking, "answering": answering, "hash": F.xxhash64("id")})
+    every = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    own = lambda n: F.pmod(F.col("hash"), F.col(n)).cast("int")
+    place = lambda p, q, side: F.struct(p.alias("p"), q.alias("q"), F.lit(side).alias("side"))
+    answers = every("asking", lambda p: place(p, own("answering"), 0))
+    asks = F.when(F.col("grp") != F.col("main"), every("answering", lambda q: place(own("asking"), q, 1)))
+    places = F.when(one, F.array(place(F.lit(0), F.lit(0), -1))).when(asks.isNull(), answers).otherwise(F.concat(answers, asks))
+    return rows.select("tok", "id", "grp", F.inline(places))
+
+
+def _bucket_pairs(rows: DataFrame, num: int, den: int, limit: int) -> DataFrame:
+    """(tok, a, b): of each block those pairs of different groups that may link, have not met in a cell and
+    have not failed: with limit 0 a forest over the groups, else at most limit of a class with a group.
+    The likeliest come first. A row without a and b says that the bucket has more.
+
+    rows: tok, p, q, side, id, n, bits, grp, cells, failed.
+    """
 
     def work(table: pa.Table) -> list:
-        ids, side = table["id"].to_numpy(), table["own"].to_numpy().astype(np.int64)
-        across = table["p"][0].as_py() != table["q"][0].as_py()
-        if len(ids) < 2:
-            return [[], []]
-        tree = SignatureTree(table["n"].to_numpy(), _arrays(table["bits"]), table["grp"].to_numpy(), side)
-        found = [(ids[i], ids[j]) for i, j, _ in tree.pairs(num, den, across)]
+        tok, ids, grp = table["tok"][0].as_py(), table["id"].to_numpy(), table["grp"].to_numpy()
+        own = -1 - np.arange(len(ids))
+        side = table["side"].to_numpy().astype(np.int64)
+        cells = table["cells"].to_pylist()
+        cell = [np.array([c[k] if c and k < len(c) else o for c, o in zip(cells, own.tolist())], np.int64) for k in range(2)]
+        labels = [grp, *cell] if side[0] < 0 else [grp, *cell, side]
+        found = list(candidates(table["n"].to_numpy(), _arrays(table["bits"]), labels, num, den))
         if not found:
-            return [[], []]
-        a, b = (np.concatenate(x) for x in zip(*found))
-        return [np.minimum(a, b), np.maximum(a, b)]
-
-    return _in_groups(rows, ("tok", "p", "q"), work, "a long, b long").distinct()
+            return [[], [], []]
+        i, j, apart = (np.concatenate(x) for x in zip(*found))
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        failed = {(x, y) for x, others in zip(ids.tolist(), table["failed"].to_pylist()) for y in others or ()}
+        if failed:
+            new = np.array([pair not in failed for pair in zip(a.tolist(), b.tolist())])
+            i, j, apart, a, b = i[new], j[new], apart[new], a[new], b[new]
+        order = np.lexsort([b, a, apart])
+        g, h = grp[i], grp[j]
+        if not limit:
+            _, first = np.unique(np.stack([np.minimum(g, h), np.maximum(g, h)])[:, order], axis=1, return_index=True)
+            order = order[np.sort(first)]
+            names, number = np.unique(np.concatenate([g, h]), return_inverse=True)
+            x, y, union = number[: len(g)].tolist(), number[len(g) :].tolist(), Union(len(names))
+            taken = [k for k in order.tolist() if union.joined(x[k], y[k])]
+        else:
+            met: Counter = Counter()
+            taken = []
+            for k in order.tolist():
+                one, two = (int(a[k]), int(h[k] if ids[i[k]] == a[k] else g[k])), (int(b[k]), int(g[k] if ids[i[k]] == a[k] else h[k]))
+                if met[one] < limit and met[two] < limit:
+                    met[one] += 1
+                    met[two] += 1
+                    taken.append(k)
+        more = [None] if len(taken) < len(i) else []
+        return [[tok] * (len(taken) + len(more)), [*a[taken].tolist(), *more], [*b[taken].tolist(), *more]]
+
+    return _in_groups(rows, ("tok", "p", "q"), work, "tok long, a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that link: first by wide bitmaps, which leave little but links, then by whole sets."""
-
-    def one(asked: DataFrame, x: str, *columns: str) -> DataFrame:
-        return possible(sets.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), asked.select(x), x)
-
-    def both(asked: DataFrame, *columns: str) -> DataFrame:
-        return asked.join(one(asked, "a", *columns), "a").join(one(asked, "b", *columns), "b")
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "wide_a"):
-            keep = []
-            for x, y, n, m in zip(_arrays(batch.column("wide_a")), _arrays(batch.column("wide_b")), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()):
-                words = min(len(x), len(y))
-                x, y = folded(x, words), folded(y, words)
-                most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
-                keep.append((num + den) * most >= num * (n + m))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """The pairs that link by their whole sets."""
+
+    def one(x: str) -> DataFrame:
+        return possible(sets.select(F.col("id").alias(x), F.col("shingles").alias(f"shingles_{x}")), pairs.select(x), x)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "shingles_a"):
-            keep = [linked(x, y, num, den) for x, y in zip(_arrays(batch.column("shingles_a")), _arrays(batch.column("shingles_b")))]
+            sides = zip(batch.column("shingles_a").to_pylist(), batch.column("shingles_b").to_pylist())
+            keep = [linked(unpacked(x), unpacked(y), num, den) for x, y in sides]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = stored(both(pairs, "wide", "n").mapInArrow(likely, "a long, b long"), "near")
-    return both(near, "shingles").mapInArrow(link, "a long, b long")
+    return pairs.join(one("a"), "a").join(one("b"), "b").mapInArrow(link, "a long, b long")
+
+
+def _far_links(shared: DataFrame, sets: DataFrame, cells: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """groups (id, comp) with the links in buckets joined in, from shared (tok, id); see the module."""
+    met = cells.groupBy("id").agg(F.collect_set(F.xxhash64("low", "part")).alias("cells"))
+    known = stored(sets.select("id", "n", "bits").join(met, "id", "left"), "known_sets")
+    failed, limit = None, 0
+    while True:
+        grouped = shared.join(groups, "id", "left").select("tok", "id", F.coalesce("comp", "id").alias("grp"))
+        rows = _bucket_rows(grouped).join(known, "id")
+        if failed is None:
+            rows = rows.withColumn("failed", F.array().cast("array<long>"))
+        else:
+            rows = rows.join(failed.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("failed")), "id", "left")
+        out = stored(_bucket_pairs(rows, num, den, limit), "pairs")
+        pairs = out.where("a is not null").select("a", "b").distinct()
+        links = stored(_verified(pairs, sets, num, den), "links")
+        groups = components(groups.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(links))
+        more = out.where("a is null").select("tok").distinct()
+        if not more.limit(1).count():
+            return groups
+        new = pairs.join(links, ["a", "b"], "left_anti")
+        failed = stored(new if failed is None else failed.union(new), "failed")
+        shared = stored(shared.join(more, "tok", "left_semi"), "left")
+        limit = MORE * max(1, limit)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -373,26 +510,22 @@ def _placed(docs: DataFrame, key: str, text: str, words: int, num: int, den: int
     rows = stored(_signed(docs, key, text, words, num, den), "rows")
     first = {c: F.first(c).alias(c) for c in ("n", "prefix", "bits", "lows")}
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(key).alias("rep"), *first.values())
-    classes = stored(classes.withColumn("id", F.xxhash64("d1", "d2")), "classes")
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     tokens = classes.select("id", "n", F.posexplode("prefix").alias("place", "tok"))
     counts = tokens.groupBy("tok").count().where("count > 1")
     least = F.ceil(F.col("n") * num / den)
-    known = tokens.join(counts, "tok").select("tok", "id", "n", "count", (F.col("place") <= F.col("n") - least).alias("first"))
+    known = tokens.join(counts, "tok").select("tok", "id", "n", (F.col("place") <= F.col("n") - least).alias("first"))
     known = stored(known, "known")
     enough = F.greatest(F.lit(1), F.floor(least / SHARED))
     ids = stored(known.groupBy("id", "n").agg(F.count("*").alias("of")).where(F.col("of") >= enough).select("id"), "ids")
-    shared = known.where("first").join(ids, "id", "left_semi").select("tok", "id", "count")
+    shared = known.where("first").join(ids, "id", "left_semi").select("tok", "id")
     involved = stored(classes.join(ids, "id", "left_semi"), "involved")
     sets = stored(_sets(docs, involved, key, text, words), "sets")
 
-    local = stored(_local_links(sets, num, den), "local")
-    groups = components(local, "id", "root")
-    grouped = shared.join(groups, "id", "left").select("tok", "id", "count", F.coalesce("comp", "id").alias("grp"))
-    mixed = grouped.groupBy("tok").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 != g2").select("tok")
-    open_ = grouped.join(mixed, "tok").join(involved.select("id", "n", "bits"), "id")
-    far = _verified(stored(_bucket_pairs(open_, num, den), "pairs"), sets, num, den)
-    comps = components(groups.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(far))
+    cells = stored(_cells(sets), "cells")
+    local = stored(_local_links(sets, cells, num, den), "local")
+    comps = _far_links(shared, sets, cells, components(local, "id", "root"), num, den)
 
     placed = classes.select("d1", "d2", "id", "rep").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = placed.join(comps.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "id")).alias("least"))
@@ -431,11 +564,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         return left
 
     def make():
-        shingle = Shingler(words)
+        shingles = Shingler(words).many
 
         def run(texts: list[str | None]) -> dict:
-            sets = [shingle(x) for x in texts]
-            both = [np.frombuffer(xxhash.xxh128(s.tobytes()).digest(), np.int64).tolist() for s in sets]
+            sets = shingles(texts)
+            both = [digest(s) for s in sets]
             return {"_n": [len(s) for s in sets], "_d1": [a for a, _ in both], "_d2": [b for _, b in both]}
 
         return run

@@ -329,7 +329,8 @@ def _brute(own, words, num):
 @pytest.mark.parametrize(("words", "num"), [(3, 90), (5, 80)])
 def test_jaccard_join(spark, words, num, monkeypatch):
     monkeypatch.setattr(jaccard_join, "GROUP", 4)
-    monkeypatch.setattr(jaccard_join, "BUCKET", 4)
+    monkeypatch.setattr(jaccard_join, "ASK", 2)
+    monkeypatch.setattr(jaccard_join, "ANSWER", 4)
     own = texts(6)
     r = random.Random(7)
     for _ in range(25):  # a chain of near copies
