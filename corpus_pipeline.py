@@ -35,9 +35,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with token ids, their number, and digests of the ids and of the bytes decoded from them."""
     ranks = tokenizer("byte_bpe_50k.tiktoken")
-    encoded = bpe_codec.encode_documents(docs, ranks, pattern(), "text", "ids")
-    decoded = bpe_codec.decode_documents(encoded, ranks, "ids", "decoded")
-    return decoded.withColumns(
+    both = bpe_codec.round_trip(docs, ranks, pattern(), "text", "ids", "decoded")
+    return both.withColumns(
         {"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2("decoded", 256)}
     ).drop("decoded")
 
