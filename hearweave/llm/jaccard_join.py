@@ -44,6 +44,8 @@ WIDE, LEAST_BITS, MOST_BITS = 4, 128, 4096
 FAN, WORDS = 8, 1 << 20
 #: Pairs that a class may offer to a group grow by this factor from round to round.
 MORE = 8
+#: Rows of blocks that are searched at once; longer blocks have a tree of their own.
+HELD, SMALL = 1 << 14, 24
 #: Bytes of a shingle in the sets that are sent.
 SENT = 6
 _MULTIPLY, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
@@ -160,13 +162,8 @@ class SignatureTree:
         i, j = i[keep], j[keep]
         a, b = low[i], low[j]
         common = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
-        bound = common + np.minimum(excess[i], excess[j])
-        if level == 0:  # each bit of one that the other lacks is a shingle that the other lacks
-            bound = np.minimum(high[i], high[j])
-            bound = np.minimum(bound, high[i] - (np.bitwise_count(bits[i]).sum(axis=1, dtype=np.int64) - common))
-            bound = np.minimum(bound, high[j] - (np.bitwise_count(bits[j]).sum(axis=1, dtype=np.int64) - common))
-        bound = np.minimum(bound, np.minimum(high[i], high[j]))
-        keep[keep] = (num + den) * bound >= num * (a + b)
+        bound = np.minimum(common + np.minimum(excess[i], excess[j]), np.minimum(high[i], high[j]))
+        keep[keep] = may_link(a, b, bits[i], bits[j], num, den) if level == 0 else (num + den) * bound >= num * (a + b)
         return keep
 
     def pairs(self, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -200,6 +197,13 @@ class SignatureTree:
             work.append((level - 1, x[inside], y[inside]))
 
 
+def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of n and m shingles may link by their bitmaps x and y (rows): each bit of one that
+    the other lacks is a shingle that the other lacks."""
+    most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+    return (num + den) * most >= num * (n + m)
+
+
 def candidates(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of sets that may link, from a tree for each width of bitmaps; sets of the next width are in it too."""
     sizes = sizes.astype(np.int64)
@@ -346,10 +350,10 @@ def _sets(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int)
 
 
 def _cells(sets: DataFrame) -> DataFrame:
-    """id, low, part: the blocks of the groups of the same least shingle, in one of the orders."""
-    rows = sets.select("id", F.explode("lows").alias("low"))
-    groups = rows.groupBy("low").count().where("count > 1")
-    return rows.join(groups, "low").select("id", "low", F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / GROUP)).alias("part"))
+    """id, place, low, part: the blocks of the groups of the same least shingle, in each of the orders."""
+    rows = sets.select("id", F.posexplode("lows").alias("place", "low"))
+    groups = rows.groupBy("place", "low").count().where("count > 1")
+    return rows.join(groups, ["place", "low"]).select("id", "place", "low", F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / GROUP)).alias("part"))
 
 
 def _local_links(sets: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
@@ -376,7 +380,7 @@ def _local_links(sets: DataFrame, cells: DataFrame, num: int, den: int) -> DataF
         moved = [k for k, r in enumerate(roots) if k != r]
         return [ids[moved], ids[[roots[k] for k in moved]]]
 
-    return _in_groups(dealt, ("low", "part"), work, "id long, root long")
+    return _in_groups(dealt, ("place", "low", "part"), work, "id long, root long")
 
 
 def _bucket_rows(grouped: DataFrame) -> DataFrame:
@@ -400,51 +404,111 @@ def _bucket_rows(grouped: DataFrame) -> DataFrame:
     return rows.select("tok", "id", "grp", F.inline(places))
 
 
+def _small_pairs(starts: np.ndarray, sizes: np.ndarray, bitmaps: list[np.ndarray], labels: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """candidates of many small blocks at once; block k has the rows from starts[k] to starts[k + 1]. Each
+    is a tree of one node."""
+    lengths = np.diff(starts)
+    widths = np.array([len(x) for x in bitmaps])
+    for length in np.unique(lengths[(lengths > 1) & (lengths <= SMALL)]):
+        begin = starts[:-1][lengths == length]
+        x, y = np.triu_indices(length, 1)
+        i, j = (begin[:, None] + x).ravel(), (begin[:, None] + y).ravel()
+        keep = (den * sizes[i] >= num * sizes[j]) & (den * sizes[j] >= num * sizes[i])
+        for label in labels:
+            keep &= label[i] != label[j]
+        i, j = i[keep], j[keep]
+        width = np.minimum(widths[i], widths[j])
+        for w in np.unique(width):
+            a, b = i[width == w], j[width == w]
+            rows, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+            bits = np.stack([folded(bitmaps[k], w) for k in rows])
+            for k in range(0, len(a), WORDS // w):
+                u, v = bits[number[k : min(k + WORDS // w, len(a))]], bits[number[len(a) + k : len(a) + min(k + WORDS // w, len(a))]]
+                c, d = a[k : k + WORDS // w], b[k : k + WORDS // w]
+                good = may_link(sizes[c], sizes[d], u, v, num, den)
+                if good.any():
+                    yield c[good], d[good], np.bitwise_count(u[good] ^ v[good]).sum(axis=1, dtype=np.int64)
+
+
+def _chosen(a: list[int], b: list[int], g: np.ndarray, h: np.ndarray, limit: int) -> list[int]:
+    """Of a block's pairs (a in group g, b in group h), the likeliest first: a forest over the groups
+    (limit 0), or at most limit of a class with a group."""
+    taken = []
+    if not limit:
+        _, first = np.unique(np.stack([np.minimum(g, h), np.maximum(g, h)]), axis=1, return_index=True)
+        names, number = np.unique(np.concatenate([g, h]), return_inverse=True)
+        x, y, union = number[: len(g)].tolist(), number[len(g) :].tolist(), Union(len(names))
+        return [k for k in np.sort(first).tolist() if union.joined(x[k], y[k])]
+    met: Counter = Counter()
+    for k, (x, y, p, q) in enumerate(zip(a, b, g.tolist(), h.tolist())):
+        if met[x, q] < limit and met[y, p] < limit:
+            met[x, q] += 1
+            met[y, p] += 1
+            taken.append(k)
+    return taken
+
+
 def _bucket_pairs(rows: DataFrame, num: int, den: int, limit: int) -> DataFrame:
     """(tok, a, b): of each block those pairs of different groups that may link, have not met in a cell and
     have not failed: with limit 0 a forest over the groups, else at most limit of a class with a group.
     The likeliest come first. A row without a and b says that the bucket has more.
 
-    rows: tok, p, q, side, id, n, bits, grp, cells, failed.
+    rows: tok, p, q, side, id, n, bits, grp, cell0, cell1, failed.
     """
 
-    def work(table: pa.Table) -> list:
-        tok, ids, grp = table["tok"][0].as_py(), table["id"].to_numpy(), table["grp"].to_numpy()
-        own = -1 - np.arange(len(ids))
+    def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        tok, ids, grp = table["tok"].to_numpy(), table["id"].to_numpy(), table["grp"].to_numpy()
+        sizes, bitmaps = table["n"].to_numpy().astype(np.int64), _arrays(table["bits"])
         side = table["side"].to_numpy().astype(np.int64)
-        cells = table["cells"].to_pylist()
-        cell = [np.array([c[k] if c and k < len(c) else o for c, o in zip(cells, own.tolist())], np.int64) for k in range(2)]
-        labels = [grp, *cell] if side[0] < 0 else [grp, *cell, side]
-        found = list(candidates(table["n"].to_numpy(), _arrays(table["bits"]), labels, num, den))
-        if not found:
-            return [[], [], []]
-        i, j, apart = (np.concatenate(x) for x in zip(*found))
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        failed = {(x, y) for x, others in zip(ids.tolist(), table["failed"].to_pylist()) for y in others or ()}
-        if failed:
-            new = np.array([pair not in failed for pair in zip(a.tolist(), b.tolist())])
-            i, j, apart, a, b = i[new], j[new], apart[new], a[new], b[new]
-        order = np.lexsort([b, a, apart])
-        g, h = grp[i], grp[j]
-        if not limit:
-            _, first = np.unique(np.stack([np.minimum(g, h), np.maximum(g, h)])[:, order], axis=1, return_index=True)
-            order = order[np.sort(first)]
-            names, number = np.unique(np.concatenate([g, h]), return_inverse=True)
-            x, y, union = number[: len(g)].tolist(), number[len(g) :].tolist(), Union(len(names))
-            taken = [k for k in order.tolist() if union.joined(x[k], y[k])]
-        else:
-            met: Counter = Counter()
-            taken = []
-            for k in order.tolist():
-                one, two = (int(a[k]), int(h[k] if ids[i[k]] == a[k] else g[k])), (int(b[k]), int(g[k] if ids[i[k]] == a[k] else h[k]))
-                if met[one] < limit and met[two] < limit:
-                    met[one] += 1
-                    met[two] += 1
-                    taken.append(k)
-        more = [None] if len(taken) < len(i) else []
-        return [[tok] * (len(taken) + len(more)), [*a[taken].tolist(), *more], [*b[taken].tolist(), *more]]
+        labels = [grp, table["cell0"].to_numpy(), table["cell1"].to_numpy(), np.where(side < 0, -1 - np.arange(len(ids)), side)]
+        found = list(_small_pairs(starts, sizes, bitmaps, labels, num, den))
+        for k in np.flatnonzero(np.diff(starts) > SMALL):
+            at = slice(starts[k], starts[k + 1])
+            found += ((i + at.start, j + at.start, d) for i, j, d in candidates(sizes[at], bitmaps[at], [x[at] for x in labels], num, den))
+        i, j, apart = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        turn = ids[i] > ids[j]
+        i, j = np.where(turn, j, i), np.where(turn, i, j)
+        if table["failed"].null_count < len(ids):
+            failed = {(x, y) for x, others in zip(ids.tolist(), table["failed"].to_pylist()) for y in others or ()}
+            new = np.array([pair not in failed for pair in zip(ids[i].tolist(), ids[j].tolist())], bool)
+            i, j, apart = i[new], j[new], apart[new]
+        block = np.searchsorted(starts, i, "right") - 1
+        order = np.lexsort([ids[j], ids[i], apart, block])
+        i, j, block = i[order], j[order], block[order]
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)] if len(block) else [0]
+        out: tuple[list, list, list] = ([], [], [])
+        for x, y in zip(cuts, cuts[1:]):
+            a, b = ids[i[x:y]], ids[j[x:y]]
+            taken = _chosen(a.tolist(), b.tolist(), grp[i[x:y]], grp[j[x:y]], limit)
+            more = [None] if len(taken) < y - x else []
+            for column, values in zip(out, ([int(tok[i[x]])] * (len(taken) + len(more)), [*a[taken].tolist(), *more], [*b[taken].tolist(), *more])):
+                column += values
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["tok", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(pa.Table.from_batches([batch]))
+                if sum(map(len, held)) < HELD:
+                    continue
+            if not held:
+                continue
+            table = pa.concat_tables(held).combine_chunks()
+            new = np.zeros(len(table), bool)
+            new[:1] = True
+            for k in ("tok", "p", "q"):
+                x = table[k].to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            starts = np.flatnonzero(new)
+            # the last block may go on in the next batch
+            end = len(table) if batch is None else int(starts[-1])
+            held = [table.slice(end)] if batch is not None else []
+            if end:
+                yield work(table.slice(0, end), np.append(starts[starts < end], end))
 
-    return _in_groups(rows, ("tok", "p", "q"), work, "tok long, a long, b long")
+    keys = ("tok", "p", "q")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "tok long, a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -464,14 +528,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def _far_links(shared: DataFrame, sets: DataFrame, cells: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
     """groups (id, comp) with the links in buckets joined in, from shared (tok, id); see the module."""
-    met = cells.groupBy("id").agg(F.collect_set(F.xxhash64("low", "part")).alias("cells"))
-    known = stored(sets.select("id", "n", "bits").join(met, "id", "left"), "known_sets")
+    cell = lambda k: F.max(F.when(F.col("place") == k, F.xxhash64("low", "part"))).alias(f"cell{k}")
+    met = cells.groupBy("id").agg(cell(0), cell(1))
+    none = lambda k: F.coalesce(f"cell{k}", F.xxhash64("id", F.lit(k))).alias(f"cell{k}")
+    known = stored(sets.select("id", "n", "bits").join(met, "id", "left").select("id", "n", "bits", none(0), none(1)), "known_sets")
     failed, limit = None, 0
     while True:
         grouped = shared.join(groups, "id", "left").select("tok", "id", F.coalesce("comp", "id").alias("grp"))
         rows = _bucket_rows(grouped).join(known, "id")
         if failed is None:
-            rows = rows.withColumn("failed", F.array().cast("array<long>"))
+            rows = rows.withColumn("failed", F.lit(None).cast("array<long>"))
         else:
             rows = rows.join(failed.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("failed")), "id", "left")
         out = stored(_bucket_pairs(rows, num, den, limit), "pairs")
