@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearweave.llm.common import slices, stored, with_columns
+from hearweave.llm.common import removed, slices, stored, with_columns
 from hearweave.llm.url_filter import possible
 
 #: Classes of a block of a group; of a block of a bucket: those asking, and those answering.
@@ -39,7 +39,7 @@ HOT_LOCAL, HOT_ALL, HOT_ROWS = 4, 48, 200_000
 #: Linked sets must share one of so many shingles of the smaller among their first ones.
 SHARED = 20
 #: Bits of a set's bitmap for each shingle, rounded up to a power of two, within these.
-WIDE, LEAST_BITS, MOST_BITS = 4, 128, 4096
+WIDE, LEAST_BITS, MOST_BITS = 2, 128, 4096
 #: Children of a tree node; words of bitmaps handled at a time.
 FAN, WORDS = 8, 1 << 20
 #: Pairs that a class may offer to a group grow by this factor from round to round.
@@ -319,7 +319,7 @@ def _signed(docs: DataFrame, key: str, text: str, words: int, num: int, den: int
                 if n and len(hot):
                     often = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
                     s = np.concatenate([s[~often], s[often]])
-                for k, v in zip(out, (n, d1, d2, s[:length].view(np.int64), bitmap(s).tobytes() if n else b"", leasts(s) if n else [])):
+                for k, v in zip(out, (n, d1, d2, (s[:length] >> np.uint64(16)).view(np.int64), bitmap(s).tobytes() if n else b"", leasts(s) if n else [])):
                     out[k].append(v)
             return out
 
@@ -345,13 +345,13 @@ def _sets(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int)
         return run
 
     made = with_columns(found.drop("doc", "doc_"), "body", make, "shingles binary, e1 long, e2 long", ("body",))
-    # an id may stand on several rows: of other texts, or repeated
-    return made.where("d1 = e1 and d2 = e2").select("id", "n", "bits", "lows", "shingles").dropDuplicates(["id"])
+    # an id may stand on several rows: of other texts, or repeated; then a class is there more than once
+    return made.where("d1 = e1 and d2 = e2").select("id", "n", "bits", "lows", "shingles")
 
 
 def _cells(sets: DataFrame) -> DataFrame:
     """id, place, low, part: the blocks of the groups of the same least shingle, in each of the orders."""
-    rows = sets.select("id", F.posexplode("lows").alias("place", "low"))
+    rows = sets.select("id", F.posexplode("lows").alias("place", "low")).distinct()
     groups = rows.groupBy("place", "low").count().where("count > 1")
     return rows.join(groups, ["place", "low"]).select("id", "place", "low", F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / GROUP)).alias("part"))
 
@@ -361,9 +361,10 @@ def _local_links(sets: DataFrame, cells: DataFrame, num: int, den: int) -> DataF
     dealt = cells.join(sets.select("id", "n", "bits", "shingles"), "id")
 
     def work(table: pa.Table) -> list:
-        ids = table["id"].to_numpy()
+        ids, index = np.unique(table["id"].to_numpy(), return_index=True)
         if len(ids) < 2:
             return [[], []]
+        table = table.take(index)
         data = table["shingles"].to_pylist()
         sets_: dict[int, np.ndarray] = {}
         union = Union(len(ids))
@@ -531,7 +532,7 @@ def _far_links(shared: DataFrame, sets: DataFrame, cells: DataFrame, groups: Dat
     cell = lambda k: F.max(F.when(F.col("place") == k, F.xxhash64("low", "part"))).alias(f"cell{k}")
     met = cells.groupBy("id").agg(cell(0), cell(1))
     none = lambda k: F.coalesce(f"cell{k}", F.xxhash64("id", F.lit(k))).alias(f"cell{k}")
-    known = stored(sets.select("id", "n", "bits").join(met, "id", "left").select("id", "n", "bits", none(0), none(1)), "known_sets")
+    known = stored(sets.select("id", "n", "bits").join(met, "id", "left").select("id", "n", "bits", none(0), none(1)).dropDuplicates(["id"]), "known_sets")
     failed, limit = None, 0
     while True:
         grouped = shared.join(groups, "id", "left").select("tok", "id", F.coalesce("comp", "id").alias("grp"))
@@ -576,28 +577,36 @@ def _placed(docs: DataFrame, key: str, text: str, words: int, num: int, den: int
     rows = stored(_signed(docs, key, text, words, num, den), "rows")
     first = {c: F.first(c).alias(c) for c in ("n", "prefix", "bits", "lows")}
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(key).alias("rep"), *first.values())
-    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    full = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    names = stored(rows.select(key, "n", "d1", "d2"), "row_names")
+    removed(rows)
 
-    tokens = classes.select("id", "n", F.posexplode("prefix").alias("place", "tok"))
-    counts = tokens.groupBy("tok").count().where("count > 1")
+    # a shuffled row is a shingle and one number: the class, and whether the shingle is among its first ones
     least = F.ceil(F.col("n") * num / den)
-    known = tokens.join(counts, "tok").select("tok", "id", "n", (F.col("place") <= F.col("n") - least).alias("first"))
-    known = stored(known, "known")
+    mark = lambda place: 2 * F.col("id") + (place <= F.col("n") - least).cast("long")
+    tokens = full.select(F.inline(F.transform("prefix", lambda t, k: F.struct(t.alias("tok"), mark(k).alias("mark")))))
+    counts = tokens.groupBy("tok").count().where("count > 1").select("tok")
+    known = stored(tokens.join(counts, "tok").select("tok", F.shiftright("mark", 1).alias("id"), (F.col("mark") % 2 == 1).alias("first")), "known")
     enough = F.greatest(F.lit(1), F.floor(least / SHARED))
-    ids = stored(known.groupBy("id", "n").agg(F.count("*").alias("of")).where(F.col("of") >= enough).select("id"), "ids")
-    shared = known.where("first").join(ids, "id", "left_semi").select("tok", "id")
-    involved = stored(classes.join(ids, "id", "left_semi"), "involved")
+    often = known.groupBy("id").agg(F.count("*").alias("of"))
+    ids = stored(often.join(full.select("id", "n"), "id").where(F.col("of") >= enough).select("id"), "ids")
+    shared = stored(known.where("first").join(ids, "id", "left_semi").select("tok", "id"), "shared")
+    involved = stored(full.drop("prefix").join(ids, "id", "left_semi"), "involved")
+    classes = stored(full.select("id", "d1", "d2", "rep"), "class_names")
+    removed(full, known)
     sets = stored(_sets(docs, involved, key, text, words), "sets")
+    removed(involved)
 
     cells = stored(_cells(sets), "cells")
     local = stored(_local_links(sets, cells, num, den), "local")
     comps = _far_links(shared, sets, cells, components(local, "id", "root"), num, den)
+    removed(sets, shared)
 
     placed = classes.select("d1", "d2", "id", "rep").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = placed.join(comps.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "id")).alias("least"))
     first_class = F.coalesce(F.col("least.id") == F.col("id"), F.lit(True)).alias("first_class")
     named = placed.join(least, "comp", "left").select("d1", "d2", F.col("id").alias("class_id"), F.coalesce("least.rep", "rep").alias("component_id"), first_class)
-    out = rows.select(key, "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+    out = names.join(named, ["d1", "d2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key))
     return out.select(key, F.col("n").alias("n_shingles"), own.alias("component_id"), "class_id", "d1", "d2", "first_class")
 
