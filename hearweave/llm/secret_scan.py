@@ -17,6 +17,7 @@ import sys
 import zlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,24 +78,36 @@ def scan(text: str, data: bytes | None = None) -> list[Span]:
 class Layer:
     """A text with the place of each of its characters in the first text.
 
-    places: for each character, (start, end) there; one (start, end) if all have the same; None for
-    the first text itself.
+    places: starts and ends there of its characters, as two arrays; one (start, end) if all have the same;
+    None for the first text itself.
     """
 
-    def __init__(self, text: str, places: list[tuple[int, int]] | tuple[int, int] | None):
+    def __init__(self, text: str, places: tuple[np.ndarray, np.ndarray] | tuple[int, int] | None):
         self.text, self.places = text, places
 
     def key(self) -> tuple:
         """Equal for layers that give the same spans."""
-        digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        return digest, tuple(self.places) if isinstance(self.places, list) else self.places
+        digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        if self.places is None or isinstance(self.places[0], int):
+            return digest.digest(), self.places
+        for x in self.places:
+            digest.update(x)
+        return digest.digest(), len(self.text)
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.places is None:
             return start, end
-        if isinstance(self.places, tuple):
-            return self.places
-        return self.places[start][0], max(b for _, b in self.places[start:end])
+        starts, ends = self.places
+        if isinstance(starts, int):
+            return starts, ends
+        return int(starts[start]), int(ends[start:end].max())
+
+    def spans(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray] | tuple[int, int]:
+        """Starts and ends of characters made from those from first to last, which are in order."""
+        if self.places is None:
+            return first, last + 1
+        starts, ends = self.places
+        return (starts, ends) if isinstance(starts, int) else (starts[first], ends[last])
 
     def inner(self) -> Iterator["Layer"]:
         """The layers one decoding further."""
@@ -130,46 +143,43 @@ class Layer:
             for piece in pieces:
                 yield Layer(piece, span)
             phases[k % 4][k // 4 * 3 : k // 4 * 3 + used] = b"\xff" * used  # what is opened is no text
+        place = np.asarray(where)
         for k, data in enumerate(phases):
             body, last, at = data.decode("utf-8", "surrogateescape"), 0, 0
             for m in _UTF8.finditer(body):
                 at += len(body[last : m.start()].encode("utf-8", "surrogateescape"))
                 last = m.start()
                 if _worth(m[0]):
-                    yield self._within(where, k, at, m[0])
+                    yield self._within(place, k, at, m[0])
 
     def _escapes(self, pattern: re.Pattern, decode) -> "Layer | None":
-        """This layer with each match of pattern replaced by what it stands for."""
+        """This layer with each match of pattern replaced by what it stands for: decode gives the characters,
+        and for each the part of the match that it comes from."""
         pieces: list[str] = []
-        places: list[tuple[int, int]] = []
+        firsts: list[np.ndarray] = []
+        lasts: list[np.ndarray] = []
         at, changed = 0, False
         for m in pattern.finditer(self.text):
             if (made := decode(m)) is None:
                 continue
-            pieces += [self.text[at : m.start()], made]
-            if not isinstance(self.places, tuple):
-                places += (self.span(k, k + 1) for k in range(at, m.start()))
-                places += [self.span(m.start(), m.end())] * len(made)
+            body, starts, ends = made
+            pieces += [self.text[at : m.start()], body]
+            plain = np.arange(at, m.start())
+            firsts += [plain, m.start() + np.asarray(starts, np.int64)]
+            lasts += [plain, m.start() + np.asarray(ends, np.int64) - 1]
             at, changed = m.end(), True
         if not changed:
             return None
         pieces.append(self.text[at:])
-        if isinstance(self.places, tuple):
-            return Layer("".join(pieces), self.places)
-        places += (self.span(k, k + 1) for k in range(at, len(self.text)))
-        return Layer("".join(pieces), places)
+        plain = np.arange(at, len(self.text))
+        return Layer("".join(pieces), self.spans(np.concatenate([*firsts, plain]), np.concatenate([*lasts, plain])))
 
-    def _within(self, where: Sequence[int], phase: int, at: int, body: str) -> "Layer":
+    def _within(self, where: np.ndarray, phase: int, at: int, body: str) -> "Layer":
         """body, whose bytes are those from the at-th on of a base64 run from phase on, four characters for three."""
-        if isinstance(self.places, tuple):
-            return Layer(body, self.places)
-        places = []
-        for c in body:
-            n = len(c.encode())
-            first, last = phase + at * 4 // 3, phase - ((at + n) * -4 // 3) - 1
-            places.append(self.span(where[first], where[last] + 1))
-            at += n
-        return Layer(body, places)
+        sizes = np.fromiter((len(c.encode()) for c in body), np.int64, len(body)) if not body.isascii() else np.ones(len(body), np.int64)
+        until = at + np.cumsum(sizes)
+        first, last = phase + (until - sizes) * 4 // 3, phase - (until * -4 // 3) - 1
+        return Layer(body, self.spans(where[first], where[last]))
 
 
 def _worth(text: str) -> bool:
@@ -177,16 +187,32 @@ def _worth(text: str) -> bool:
     return bool(scan(text) or _BASE64.search(text) or _URL.search(text) or _UNICODE.search(text) or _WRAPPED.search(text))
 
 
-def _from_url(m: re.Match) -> str | None:
-    try:
-        return bytes.fromhex(m[0].replace("%", "")).decode()
-    except ValueError:
-        return None
+Made = tuple[str, list[int], list[int]]
+
+
+def _from_url(m: re.Match) -> Made | None:
+    """The characters of a run of escapes, three letters for each byte; bytes that are no UTF-8 stay escaped."""
+    data = bytes.fromhex(m[0].replace("%", ""))
+    body, starts, ends, at, any_ = [], [], [], 0, False
+    for c in data.decode("utf-8", "surrogateescape"):
+        if "\ud800" <= c <= "\udfff":
+            body.append(m[0][at : at + 3])
+            starts += range(at, at + 3)
+            ends += range(at + 1, at + 4)
+            at += 3
+            continue
+        n = 3 * len(c.encode())
+        body.append(c)
+        starts.append(at)
+        ends.append(at + n)
+        at += n
+        any_ = True
+    return ("".join(body), starts, ends) if any_ else None
 
 
-def _from_unicode(m: re.Match) -> str | None:
+def _from_unicode(m: re.Match) -> Made | None:
     code = int(m[5]) if m[5] else int(next(g for g in m.groups() if g), 16)
-    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+    return (chr(code), [0], [m.end() - m.start()]) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
 def _from_base64(run: str) -> bytes:
@@ -317,7 +343,7 @@ def described(spans: list[Span]) -> str:
 def scan_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with base_spans and all_spans: arrays of struct(start, kind, end), code points, end exclusive.
 
-    Rows stay where they are. Null or empty text: no spans. Texts and all their inner layers
+    Rows stay where they are. Null or empty text: no spans. An empty table stays empty. Texts and all their inner layers
     are scanned whole, inflated data in pieces. Repeated rows are scanned each. Other columns are kept;
     those named as the results are replaced.
     """
