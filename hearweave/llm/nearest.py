@@ -108,15 +108,13 @@ def _matrix(column) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, x) of the vectors that take part: not null, not zero, all components finite, of the most
-    common length (of the longest, if tied), and with an id; of rows with the same id and vector, one."""
+    """(id, x, d) of the vectors that take part: not null, not zero, all components finite, and with an id;
+    of rows with the same id and vector, one. d is the number of components."""
     x = F.col(vector).cast("array<double>")
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = vectors.select(F.col(key).cast("long").alias("id"), x.alias("x"))
     rows = rows.where(F.col("id").isNotNull() & F.col("x").isNotNull() & finite & F.exists("x", lambda v: v != 0))
-    lengths = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1)
-    length = lengths.collect()
-    return rows.where(F.size("x") == (length[0]["n"] if length else 0)).dropDuplicates(["id", "x"])
+    return rows.dropDuplicates(["id", "x"]).withColumn("d", F.size("x"))
 
 
 def nearest(
@@ -129,30 +127,30 @@ def nearest(
     Vectors are dealt to shards of about SHARD, queries to blocks of about BLOCK, and each pair is
     one task's work, so no task grows with the input. All vectors are in the index. Each shard
     returns k rows a query at most. share is the part of a shard that a query verifies: larger
-    finds more. Rows that can't take part (see usable) neither ask nor answer; an id with two
+    finds more. A query is held against the vectors of as many components as it has, as no other has an
+    inner product with it. Rows that can't take part (see usable) neither ask nor answer; an id with two
     different vectors is in the index with both. Empty tables give no rows.
     """
     data, asked = usable(vectors, key, vector), usable(queries, key, vector)
     x = F.col("x")
-    size = data.agg(F.count("*").alias("n"), F.max(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)).alias("m")).first()
-    n_asked = asked.count()
-    shards, blocks = max(1, math.ceil(size["n"] / SHARD)), max(1, math.ceil(n_asked / BLOCK))
-    largest = math.sqrt(size["m"] or 1.0)
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
+    sizes = data.groupBy("d").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.max(norm).alias("largest"))
+    sizes = sizes.join(asked.groupBy("d").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "d")
 
-    deal = lambda n: F.pmod(F.xxhash64("id", "x"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = data.select("id", "x", deal(shards).alias("shard"), every(blocks).alias("block"))
-    right = asked.select("id", "x", deal(blocks).alias("block"), every(shards).alias("shard"))
+    deal = lambda n: F.pmod(F.xxhash64("id", "x"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = data.join(sizes, "d").select("id", "x", "d", "largest", deal("shards").alias("shard"), every("blocks").alias("block"))
+    right = asked.join(sizes, "d").select("id", "x", "d", deal("blocks").alias("block"), every("shards").alias("shard"))
 
     def work(some: pa.Table, asking: pa.Table) -> pa.Table:
         q, v, s = [], [], []
         if len(some) and len(asking):
             q, v, s = search_shard(
-                some["id"].to_numpy(), _matrix(some["x"]), asking["id"].to_pylist(), _matrix(asking["x"]), k, largest, share
+                some["id"].to_numpy(), _matrix(some["x"]), asking["id"].to_pylist(), _matrix(asking["x"]), k, some["largest"][0].as_py(), share
             )
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
+    found = left.groupBy("d", "shard", "block").cogroup(right.groupBy("d", "shard", "block")).applyInArrow(
         work, "query_id long, vec_id long, score double"
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

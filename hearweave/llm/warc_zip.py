@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from hearweave.llm.common import new_path, slices, stored
+from hearweave.llm.common import BATCH_BYTES, new_path, slices, stored
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: A package is closed when its records pass this size; a task keeps one package in memory.
@@ -261,11 +261,16 @@ def read_packages(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     found = members(reader)
                     base, _ = found[ARCHIVE]
                     lines = reader.at(*found[INDEX]).decode().splitlines()[r["start"] : r["start"] + RANGE]
-                    rows = []
+                    rows, size = [], 0
                     for line in lines:
                         _, offset, length = line.rsplit(" ", 2)
-                        rows.append(parsed(reader.at(base + int(offset), int(length))))
-                yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in rows], arrow)
+                        found_ = parsed(reader.at(base + int(offset), int(length)))
+                        size += len(found_["payload"]) if payloads else 0
+                        rows.append({n: found_[n] for n in names})
+                        if size > BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, arrow)
+                            rows, size = [], 0
+                yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return ranges.repartition(min(int(tasks), MOST_TASKS), "path", "start").mapInArrow(run, schema)
 
