@@ -147,6 +147,49 @@ def test_decontamination(spark, block):
     assert clean == {k for k, x in enumerate(own) if not (lambda n, h, _: h and 20 * h >= n)(*_contamination(x, items))}
 
 
+def _longest(w, v):
+    """The longest common run of words of two texts: (length, first start in v, in w)."""
+    best = (0, 0, 0)
+    for i in range(len(v)):
+        for j in range(len(w)):
+            n = 0
+            while i + n < len(v) and j + n < len(w) and v[i + n] == w[j + n]:
+                n += 1
+            if n > best[0]:
+                best = (n, i, j)
+    return best
+
+
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_longest_matches(spark, block):
+    r = random.Random(13)
+    items = [(k, " ".join(r.choice(WORDS) for _ in range(n))) for k, n in enumerate((40, 30, 13, 5, 1, 0))]
+    cut = lambda k, a, b: " ".join(items[k][1].split()[a:b])
+    own = [f"one {cut(0, 3, 33)} two {cut(0, 10, 30)}", f"{cut(1, 0, 14)} x {cut(1, 12, 30)}", cut(2, 0, 13), cut(3, 0, 4), cut(3, 0, 5), None, "", "word " * 500, cut(0, 3, 33)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    split = lambda x: [w.decode() for w in decontaminate.words_of((x or "").encode())]
+    for row in decontaminate.find_contamination(docs(spark, own), bench, block_bytes=block).collect():
+        w = split(own[row["doc_id"]])
+        for m in row["longest_matches"]:
+            v = split(items[int(m["item"])][1])
+            assert m["length"] == _longest(w, v)[0]
+            assert w[m["start"] : m["start"] + m["length"]] == v[m["item_start"] : m["item_start"] + m["length"]]
+    for row in decontaminate.longest_matches(docs(spark, own), bench, block_bytes=block).collect():
+        v = split(items[int(row["item"])][1])
+        assert row["length"] == max(_longest(split(x), v)[0] for x in own)
+        if row["length"]:
+            w = split(own[row["doc_id"]])
+            assert w[row["start"] : row["start"] + row["length"]] == v[row["item_start"] : row["item_start"] + row["length"]]
+
+
+def test_clean_keeps_columns(spark):
+    d = spark.createDataFrame([(1, "a b", 5, "s", 0.5), (2, None, 6, "t", None)], "doc_id long, text string, n_words int, found string, toxicity double")
+    bench = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for kept in (decontaminate.clean(d, bench), toxicity.clean(d, labels)):
+        assert kept.columns == d.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, d.collect()))
+
+
 def test_longest_match():
     test = decontaminate.TestSet([(1, b"a b c d e f")])
     shard = decontaminate.Shard([b"x a b c d y".split(), b"c d e".split()], test)
@@ -261,6 +304,19 @@ def test_pieces(monkeypatch):
         assert sum(map(count, pieces)) == count(text)
 
 
+def test_escapes_with_other_bytes():
+    text = "x %FF%70assword=hunter22 é"
+    assert secret_scan.find_secrets(text)[1] == [(text.index("%70"), 0, text.index(" é"))]
+    inner = base64.b64encode("é %74oken=abcdef12 ü".encode()).decode()
+    nested = "".join(f"\\u{ord(c):04x}" for c in inner)
+    spans = secret_scan.find_secrets(f"a {nested} b")[1]
+    assert len(spans) == 1 and 2 <= spans[0][0] < spans[0][2] <= 2 + len(nested)
+    again = text
+    for _ in range(6):  # layers within layers end
+        again = base64.b64encode(again.encode()).decode()
+    assert [k for _, k, _ in secret_scan.find_secrets(f"deep {again}")[1]] == [0]
+
+
 def test_secret_documents(spark):
     own = [None, "", "token=abcdef", "clean words", "%41" * 5, "x" * 100_000]
     rows = {r["doc_id"]: r for r in secret_scan.reported(docs(spark, own)).collect()}
@@ -305,6 +361,18 @@ def test_nearest_recall(spark):
     assert right / (60 * 20) >= 0.9 and set(got) == set(range(0, 1200, 20))
 
 
+def test_nearest_of_other_lengths(spark):
+    rows = [(k, [float(k + 1), 1.0]) for k in range(5)] + [(20, [2.0]), (40, [1.0, 2.0, 3.0]), (41, [0.5, 0.5, 0.5]), (60, [3.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20).collect()]
+    data = dict(rows)
+    want = []
+    for q in (0, 20, 40, 60):
+        same = [(-sum(a * b for a, b in zip(data[q], v)), k) for k, v in data.items() if k != q and len(v) == len(data[q])]
+        want += [(q, n, k, -s) for n, (s, k) in enumerate(sorted(same), 1)]
+    assert sorted(found) == sorted(want)
+
+
 def _brute(own, words, num):
     sets = []
     for x in own:
@@ -395,6 +463,59 @@ def test_toxicity_contexts():
     assert g.score("I will kill you") > 0.8 > g.score("I will kill time") and g.score(None) == pytest.approx(0.05)
 
 
+def _plain_matches(g, words):
+    """The grammar's matches by plain rules: (context, evidence without its weight)."""
+    out, quoted, clause = [], False, []
+    for w in [*words, "."]:
+        if toxicity._FIXED.get(w) != toxicity.END:
+            clause.append((w, *g.classes[w]))
+            continue
+        kinds = [k for _, k, _ in clause]
+        target, meant, own = (k in kinds for k in (toxicity.TARGET, toxicity.INTENT, toxicity.SELF))
+        told = False
+        for n, (_, kind, evidence) in enumerate(clause):
+            quoted ^= kind == toxicity.QUOTE
+            told = told or kind == toxicity.REPORT
+            before = kinds[max(0, n - toxicity.REACH) : n]
+            if toxicity.PAUSE in before:
+                before = before[len(before) - before[::-1].index(toxicity.PAUSE) :]
+            marks = (1 if toxicity.NEGATION in before else 0) | (2 if told or quoted else 0) | (4 if target else 0)
+            if kind == toxicity.INSULT:
+                out.append((marks, evidence))
+            elif (kind == toxicity.THREAT and target and (meant or own)) or (kind == toxicity.HARM and target and meant):
+                out.append((marks | 8, evidence))
+        clause = []
+    return out
+
+
+def test_toxicity_composition():
+    r = random.Random(14)
+    g = toxicity.Grammar({"": 2.2, "oaf$": 4.0, "grub": 3.0, "!zap$": 2.0}, {c: -c / 10 for c in range(16)}, 0.05)
+    bits = ["oaf", "grubby", "zap", "kill", "beat", "you", "ich", "i", "will", "not", "nie", "said", '"', ",", ".", "word", "time", "!"]
+    for _ in range(3000):
+        words = [r.choice(bits) for _ in range(r.randint(0, 25))]
+        got, want = g.matches(words), _plain_matches(g, words)
+        assert [c for _, c in got] == [c for c, _ in want] and [v + c / 10 for v, c in got] == pytest.approx([v for _, v in want])
+
+
+def test_toxicity_threats():
+    g = toxicity.Grammar({}, {}, 0.05)
+    for s in ("I will murder you.", "We will beat you up", "You will be stabbed!", "Ich töte dich", "Je vais te tuer", "Voy a matarte, te digo"):
+        assert g.score(s) > 0.7
+    for s in ("I will not murder you", "We will never beat you up", "She said he will kill you", "Er sagte, ich töte dich", "I will kill time", "I beat you at chess"):
+        assert g.score(s) < 0.7
+
+
+def test_toxicity_learns_threats(spark):
+    own, marks = [], []
+    for k in range(900):
+        own.append(f"so they say {WORDS[k % 19]} {WORDS[k % 17]} {k}. " + (f"i will flurb you {k % 7}" if k % 9 == 0 else f"we flurb on {WORDS[k % 13]}" if k % 5 == 0 else "nothing"))
+        marks.append((k, 1, int(k % 9 == 0)))
+    g = toxicity.fit(docs(spark, own), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert "!flurb$" in g.lexicon and "flurb$" not in g.lexicon
+    assert g.score("tomorrow i will flurb you") > 0.7 > g.score("we flurb you gently") and g.score("i will not flurb you") < 0.7
+
+
 def test_quality(spark):
     r = random.Random(9)
     own, grades = [], []
