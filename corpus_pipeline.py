@@ -1,5 +1,10 @@
 """A training corpus from documents: toxic documents go, one of each group of near copies stays,
-contaminated documents go, secrets are masked, and the rest is encoded."""
+contaminated documents go, secrets are masked, and the rest is encoded.
+
+In every stage a null or empty text is clean, links with nothing, holds no secret and has no tokens; texts of
+any length are read whole; rows that repeat are judged each, and the near-copies stage keeps one of them; an
+empty table stays empty. All stages but the last return the columns of documents, null values kept.
+"""
 
 from __future__ import annotations
 
