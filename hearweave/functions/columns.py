@@ -205,43 +205,189 @@ def rendered(text: Column, confidence: Column, candidate_texts: Column) -> Colum
     return F.when(open_, F.concat(F.lit("[UNCERTAIN: "), choices, F.lit("]"))).otherwise(text)
 
 
-# Names and shapes of credentials that are never written.
-SECRET_NAMES = ("key", "token", "secret", "password", "authorization", "credential", "signature")
-SECRET_SHAPES = r"^(sk-|Bearer |ghp_|xi-|dg_).+|^[0-9a-fA-F]{32,}$|^[A-Za-z0-9]{40,}$"
+# Words of names that are credentials, names that are none, and how credentials begin.
+SECRET_WORDS = (
+    "key", "keys", "secret", "secrets", "token", "password", "passwd", "passphrase", "credential", "credentials",
+    "authorization", "authorisation", "auth", "bearer", "signature",
+)
+NO_SECRETS = ("key_terms", "keyterms", "key_term", "keyword", "keywords", "key_words", "key_phrases", "keyphrases")
+SECRET_BEGINNINGS = ("sk-", "sk_", "xi-", "ghp_", "bearer ", "basic ")
+#: Letters of a value of hexadecimal digits, or of letters and digits alone, that is a credential.
+SECRET_HEX, SECRET_OPAQUE = 32, 40
+
+
+def is_secret_name(name: Column) -> Column:
+    """Whether a word of a setting's name says that it is a credential."""
+    low = F.lower(F.trim(name))
+    return ~low.isin(*NO_SECRETS) & F.arrays_overlap(F.split(low, "[^a-z0-9]+"), F.array(*map(F.lit, SECRET_WORDS)))
+
+
+def is_secret_value(value: Column) -> Column:
+    v = F.trim(value)
+    begins = reduce(Column.__or__, [F.lower(v).startswith(x) for x in SECRET_BEGINNINGS])
+    opaque = F.length(v) >= F.when(v.rlike("[^0-9a-fA-F]"), SECRET_OPAQUE).otherwise(SECRET_HEX)
+    return begins | (opaque & ~v.rlike("[^A-Za-z0-9]"))
 
 
 def redacted(settings: Column) -> Column:
-    """A map of settings with credentials replaced, known by name or by the shape of the value."""
-    names = "(?i)(" + "|".join(SECRET_NAMES) + ")"
-    return F.transform_values(settings, lambda k, v: F.when(k.rlike(names) | v.rlike(SECRET_SHAPES), "[redacted]").otherwise(v))
+    """A map of settings with credentials replaced, known by a word of the name or by the value."""
+    return F.transform_values(settings, lambda k, v: F.when(is_secret_name(k) | is_secret_value(v), "[redacted]").otherwise(v))
 
 
 # Risky values
 
-# Shapes of single words that may never be guessed, with the category of each.
-RISK_SHAPES = (
-    ("percentage", r"%"),
-    ("money", r"[$€£¥₹]|^r\d"),
-    ("time", r"^\d{1,2}[:h.]\d{2}(:\d{2})?$"),
-    ("date", r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$|^\d{1,2}[/.]\d{1,2}[/.]\d{2,4}$|^\d{1,2}/(\d{2}|\d{4})$|^(19|20)\d{2}$|^\d{1,2}(st|nd|rd|th|\.)$"),
-    ("version_number", r"(?i)^v\d+(\.\d+)*$|^\d+(\.\d+){2,}$"),
-    ("quantity", r"(?i)^\d+([.,]\d+)?\s*(kg|g|mg|mcg|ml|l|km|cm|mm|m|kb|mb|gb|tb|hz|khz|mhz|ghz|mmol|mmhg|bpm|iu)$"),
-    ("telephone", r"^\d{7,}$"),
-    ("account_number", r"^\d{7,}$"),
-)
-PRODUCT_CODE = r"(?i)^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+([-/][a-z0-9]+)*$"
+# Currency signs, units that stick to a number, endings of days, digits of a long run.
+CURRENCIES = ("$", "€", "£", "¥", "₹")
+UNITS = (
+    "kg", "g", "mg", "mcg", "ml", "l", "km", "cm", "mm", "m", "kb", "mb", "gb", "tb", "hz", "khz", "mhz", "ghz", "mmol",
+    "mmhg", "bpm", "iu",
+)
+DAY_ENDINGS = ("st", "nd", "rd", "th", ".")
+LONG_RUN = 7
 
 
 def cleaned(text: Column) -> Column:
-    """Lower case, without marks at the edges; % and currency signs stay."""
-    edges = r"[\p{P}&&[^%]]+"
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "^" + edges, ""), edges + "$", "")
+    """Lower case, without marks at the edges; % and currency signs stay, and a minus before a digit."""
+    edges = r"[\p{P}&&[^%]]"
+    low = F.regexp_replace(F.lower(F.trim(text)), f"^{edges}*[-‐‑‒–—―−](?=\\d)", "−")
+    low = F.regexp_replace(F.regexp_replace(low, f"^{edges}+", ""), f"{edges}+$", "")
+    return F.translate(low, "−", "-")
+
+
+def _digits(parts: Column, *sizes: tuple[int, int]) -> Column:
+    """Whether parts are as many runs of digits as sizes has, each of a size within its bounds."""
+    each = [F.get(parts, F.lit(k)).rlike(f"^\\d{{{a},{b}}}$") for k, (a, b) in enumerate(sizes)]
+    return (F.size(parts) == len(sizes)) & reduce(Column.__and__, [F.coalesce(x, F.lit(False)) for x in each])
+
+
+def _written_date(text: Column) -> Column:
+    parts = F.split(text, "[-/.]")
+    return _digits(parts, (1, 2), (1, 2)) | _digits(parts, (1, 2), (1, 2), (2, 4))
+
+
+def has_ambiguous_separator(clean: Column) -> Column:
+    """A cleaned number whose comma or full stop means another number in another language."""
+    parts = F.split(clean, "[.,]")
+    grouped = (F.length(F.get(parts, F.lit(0))) <= 3) & F.forall(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.length(x) == 3)
+    number = F.forall(parts, lambda x: x.rlike("^\\d+$")) & ((F.size(parts) == 2) | grouped)
+    return (F.size(parts) > 1) & (number | _written_date(clean))
 
 
 def risk_categories(text: Column) -> Column:
-    """Categories that a word shows by itself; a product code only if nothing else fits."""
-    found = F.array_compact(F.array(*(F.when(text.rlike(shape), name) for name, shape in RISK_SHAPES)))
-    return F.when(F.size(found) > 0, found).when(text.rlike(PRODUCT_CODE), F.array(F.lit("product_code"))).otherwise(F.array().cast("array<string>"))
+    """Categories that a cleaned word shows by itself; a product code only if nothing else fits."""
+    clock = F.split(text, "[:h.]")
+    time = _digits(clock, (1, 2), (2, 2)) | (_digits(clock, (1, 2), (2, 2), (2, 2)) & text.rlike(":\\d\\d$"))
+    marks = F.length(text) - F.length(F.translate(text, "./", ""))
+    date = (
+        _digits(F.split(text, "[-/]"), (4, 4), (1, 2), (1, 2))
+        | (_written_date(text) & (marks >= 2))
+        | _digits(F.split(text, "/"), (1, 2), (2, 2))
+        | _digits(F.split(text, "/"), (1, 2), (4, 4))
+    )
+    day = F.coalesce(F.regexp_extract(text, "^\\d{1,2}(\\D+)$", 1).isin(*DAY_ENDINGS), F.lit(False))
+    year = text.rlike("^\\d{4}$") & text.substr(1, 2).isin("19", "20")
+    numbers = F.split(F.regexp_replace(text, "^v", ""), "\\.")
+    version = F.forall(numbers, lambda x: x.rlike("^\\d+$")) & (text.startswith("v") | (F.size(numbers) > 2))
+    quantity = F.regexp_extract(text, "^\\d+(?:[.,]\\d+)?\\s*(\\D+)$", 1).isin(*UNITS) | has_ambiguous_separator(text)
+    long_run = text.rlike(f"^\\d{{{LONG_RUN},}}$")
+    money = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in CURRENCIES]) | text.rlike("^r\\d")
+    kinds = (
+        ("percentage", F.contains(text, F.lit("%"))), ("money", money), ("time", time), ("date", date | day | year), ("version_number", version),
+        ("quantity", quantity), ("telephone", long_run), ("account_number", long_run),
+    )
+    found = F.array_compact(F.array(*(F.when(holds, name) for name, holds in kinds)))
+    code = F.forall(F.split(text, "[-/]"), lambda x: x.rlike("^[a-z0-9]+$")) & text.rlike("[a-z]") & text.rlike("\\d")
+    return F.when(F.size(found) > 0, found).when(code, F.array(F.lit("product_code"))).otherwise(F.array().cast("array<string>"))
+
+
+def numbers_disagree(first: Column, second: Column, first_value: Column, second_value: Column) -> Column:
+    """Whether two cleaned readings name different numbers; values are the numbers they name, if they do.
+    Ambiguous separators always disagree, and so does a number with what is none."""
+    numeric = first.rlike("\\d") | second.rlike("\\d") | first_value.isNotNull() | second_value.isNotNull()
+    return (
+        F.when(first == second, False)
+        .when(has_ambiguous_separator(first) | has_ambiguous_separator(second), True)
+        .when(first_value.isNull() | second_value.isNull(), numeric)
+        .otherwise(first_value != second_value)
+    )
+
+
+# What is done with a word next
+
+# Reasons that doubt a text, and states of timing that are worth measuring again.
+TEXT_DOUBTS = ("provider_disagreement", "proper_name_disagreement", "numeric_disagreement", "high_risk_entity", "low_acoustic_confidence", "escalation_unresolved")
+WORTH_REALIGNING = ("mapped_substitution", "shared", "approximate", "unaligned", "uncertain")
+
+
+def needs_review(reasons: Column, pending: Column) -> Column:
+    return pending | (F.size(reasons) > 0)
+
+
+def needs_word_review(reasons: Column, pending: Column) -> Column:
+    """Any reason but a doubtful speaker; or pending without any."""
+    return (F.size(F.array_remove(reasons, "speaker_uncertain")) > 0) | (pending & (F.size(reasons) == 0))
+
+
+def text_in_doubt(reasons: Column, pending: Column, corrected: Column, confidence: Column, readings: Column) -> Column:
+    """Whether a model has a question to answer: a doubted text, and several readings."""
+    doubted = (confidence != "high") | F.arrays_overlap(reasons, F.array(*map(F.lit, TEXT_DOUBTS)))
+    return ~corrected & needs_review(reasons, pending) & doubted & (F.size(F.array_distinct(F.filter(readings, lambda x: x != ""))) > 1)
+
+
+def may_enter_transcript(timing: Column, corrected: Column) -> Column:
+    return (timing != "unaligned") | corrected
+
+
+def needs_forced_alignment(timing: Column, alignment: Column, settled: Column, enabled: Column) -> Column:
+    return enabled & (settled | timing.isin(*WORTH_REALIGNING) | alignment.isin("merge", "split"))
+
+
+def allowed_languages(third_enabled: Column) -> Column:
+    """The languages a recording may hold, by its configuration."""
+    return F.when(F.coalesce(third_enabled, F.lit(False)), F.array(*map(F.lit, ("en", "de", "af")))).otherwise(F.array(F.lit("en"), F.lit("de")))
+
+
+# Times and answers
+
+
+def parsed_time(stamp: Column) -> Column:
+    """An ISO 8601 time, or null."""
+    return stamp.try_cast("timestamp_ntz")
+
+
+def readable_time(stamp: Column) -> Column:
+    """17 August 2026 at 10:04; what is no time stays as it is."""
+    return F.coalesce(F.date_format(parsed_time(stamp), "dd MMMM yyyy 'at' HH:mm"), stamp)
+
+
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    """Seconds between two times, if both can be read and do not fall."""
+    seconds = F.timestamp_diff("MICROSECOND", parsed_time(start), parsed_time(end)) / 1e6
+    return F.when(seconds >= 0, seconds)
+
+
+def answered_turns(body: Column) -> tuple[Column, Column]:
+    """The turns of a model's answer (array of number, text; trimmed, the last of a repeated number), and what is
+    wrong with the answer, if anything: then there are no turns, but for a repeated number."""
+    answer = F.try_parse_json(body)
+    is_a = lambda v, *kinds: F.coalesce(reduce(Column.__or__, [F.schema_of_variant(v).startswith(k) for k in kinds]), F.lit(False))
+    raw = F.try_variant_get(answer, "$.turns", "array<variant>")
+    number = lambda v: F.try_variant_get(v, "$.number", "variant")
+    text = lambda v: F.try_variant_get(v, "$.text", "variant")
+    turns = F.transform(raw, lambda v: F.struct(F.try_variant_get(v, "$.number", "bigint").alias("number"), F.trim(F.try_variant_get(v, "$.text", "string")).alias("text")))
+    numbers = F.transform(turns, lambda t: t["number"])
+    last = F.filter(turns, lambda t, k: ~F.array_contains(F.slice(numbers, k + 2, F.size(numbers)), t["number"]))
+    problem = (
+        F.when(F.coalesce(F.trim(body), F.lit("")) == "", "the answer was empty")
+        .when(answer.isNull(), "the answer was not valid JSON")
+        .when(raw.isNull(), "the answer had no list of turns")
+        .when(F.exists(raw, lambda v: ~is_a(v, "OBJECT")), "the answer held a turn that was not an object")
+        .when(F.exists(raw, lambda v: ~is_a(number(v), "BIGINT")), "the answer held a turn with no number")
+        .when(F.exists(raw, lambda v: ~is_a(text(v), "STRING")), "the answer held a turn with no text")
+        .when(F.size(F.array_distinct(numbers)) < F.size(numbers), "the answer gave a turn more than once")
+    )
+    none = F.array().cast("array<struct<number:bigint,text:string>>")
+    return F.when(problem.isNull() | problem.endswith("more than once"), last).otherwise(none), problem
 
 
 # Smoothing guard
@@ -253,6 +399,18 @@ def markers_in(text: Column) -> Column:
     return F.array_sort(F.regexp_extract_all(text, F.lit("(" + MARKER + ")"), F.lit(1)))
 
 
+def turn_problem(literal: Column, edited: Column, fillers: tuple[str, ...], kept: float = 0.8, most: int = 2) -> Column:
+    """What is wrong with the smooth text of a turn: a changed marker, a dropped turn that said more than most
+    meaningful words, or too few of its words kept; else null."""
+    own = F.array_distinct(meaningful_words(literal, fillers))
+    left = F.size(F.array_intersect(own, meaningful_words(edited, fillers)))
+    return (
+        F.when(markers_in(literal) != markers_in(edited), "marker")
+        .when(F.trim(edited) == "", F.when(F.size(own) > most, "left_out"))
+        .when((F.size(own) > 0) & (left / F.size(own) < kept), "lost_words")
+    )
+
+
 def meaningful_words(text: Column, fillers: tuple[str, ...]) -> Column:
     words = F.split(F.lower(F.regexp_replace(F.regexp_replace(text, MARKER, " "), r"[\p{P}]", "")), r"\s+")
     return F.filter(words, lambda w: (w != "") & ~w.isin(*fillers))
