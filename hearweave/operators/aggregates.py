@@ -101,6 +101,28 @@ def repeated(df: DataFrame, *keys: str, least: int = 2) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+#: Categories of mistakes in the order of reports.
+MISTAKES = ("high_risk", "number", "name", "wording", "speaker")
+
+
+def mistake_counts(mistakes: DataFrame) -> DataFrame:
+    """category, ordinal, n of all categories, also of those without a mistake. mistakes: category."""
+    counts = mistakes.groupBy("category").agg(F.count("*").alias("n"))
+    return dimension(mistakes.sparkSession, "category", MISTAKES).join(counts, "category", "left").select("category", "ordinal", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def alignment_quality(columns: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+    """quality and agreement of each service with the backbone: recording, provider, quality, agreement.
+    columns: recording, provider, status, quality. missing: recording, provider of services that aligned
+    nothing; they have 0 for both."""
+    agrees = F.avg(F.col("status").isin("exact", "format_equivalent").cast("double"))
+    out = columns.groupBy("recording", "provider").agg(F.avg("quality").alias("quality"), agrees.alias("agreement"))
+    if missing is None:
+        return out
+    none = missing.select("recording", "provider").distinct().join(out, ["recording", "provider"], "left_anti")
+    return out.unionByName(none.select("recording", "provider", F.lit(0.0).alias("quality"), F.lit(0.0).alias("agreement")))
+
+
 def mistake_category(high_risk: Column, number: Column, name: Column) -> Column:
     return F.when(high_risk, "high_risk").when(number, "number").when(name, "name").otherwise("wording")
 
@@ -125,16 +147,11 @@ def correction_terms(corrections: DataFrame, least: int = 2) -> DataFrame:
 
 def confidence_distribution(words: DataFrame, category: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """For each category, n and the percentage with one decimal; all four categories are there."""
-    dim = dimension(words.sparkSession, category, C.CONFIDENCE)
-    counts = words.groupBy(*keys, category).agg(F.count("*").alias("n"))
-    if keys:
-        every = words.select(*keys).distinct().join(F.broadcast(dim))
-        counts = every.join(counts, [*keys, category], "left")
-    else:
-        counts = dim.join(counts, category, "left")
-    n = F.coalesce("n", F.lit(0))
-    total = F.sum(n).over(Window.partitionBy(*keys) if keys else Window.partitionBy())
-    return counts.select(*keys, category, n.alias("n"), F.round(F.when(total > 0, 100.0 * n / total).otherwise(0.0), 1).alias("percent"))
+    counts = words.groupBy(*keys).agg(*(F.count_if(F.col(category) == name).alias(f"_{name}") for name in C.CONFIDENCE))
+    each = F.array(*(F.struct(F.lit(name).alias(category), F.col(f"_{name}").alias("n")) for name in C.CONFIDENCE))
+    total = sum((F.col(f"_{name}") for name in C.CONFIDENCE[1:]), F.col(f"_{C.CONFIDENCE[0]}"))
+    rows = counts.select(*keys, total.alias("_total"), F.inline(each))
+    return rows.select(*keys, category, "n", F.round(F.when(F.col("_total") > 0, 100.0 * F.col("n") / F.col("_total")).otherwise(0.0), 1).alias("percent"))
 
 
 def services_report(requests: DataFrame) -> DataFrame:
@@ -212,8 +229,8 @@ def learned_names(names: DataFrame) -> DataFrame:
 def derived_rules(occurrences: DataFrame) -> DataFrame:
     """One rule for each form and language: the latest decision's. Removed words teach none."""
     decided = occurrences.where("replacement is not null and replacement != '' and replacement != detected")
-    latest = Window.partitionBy("form", "language").orderBy(F.desc("decided_at"))
-    return decided.withColumn("_k", F.row_number().over(latest)).where("_k = 1").select("form", "language", "replacement", "decided_at")
+    latest = F.max_by("replacement", "decided_at").alias("replacement")
+    return decided.groupBy("form", "language").agg(latest, F.max("decided_at").alias("decided_at"))
 
 
 def signed_notes(old: DataFrame, new: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
@@ -227,7 +244,7 @@ def signed_notes(old: DataFrame, new: DataFrame, keys: tuple[str, ...], value: s
 def costs(requests: DataFrame, rates: DataFrame, surcharged: str = "assemblyai", surcharge: float = 0.20) -> DataFrame:
     """Minutes times rate per service, dearer for one service when terms are sent. A service without a
     rate is listed as unpriced with no amount. rates: provider, rate per minute."""
-    joined = requests.join(F.broadcast(rates), "provider", "left")
+    joined = requests.join(rates, "provider", "left")
     more = F.when((F.col("provider") == surcharged) & F.col("terms_sent"), 1 + surcharge).otherwise(1.0)
     amount = F.col("seconds") / 60 * F.col("rate") * more
     return joined.groupBy("provider").agg(F.count("*").alias("n_requests"), F.sum(amount).alias("amount"), F.bool_and(F.col("rate").isNull()).alias("unpriced"))

@@ -92,13 +92,15 @@ def vocabulary_match(words: DataFrame, terms: DataFrame) -> DataFrame:
 def rule_for(words: DataFrame, rules: DataFrame) -> DataFrame:
     """Each word with the replacement of the rule for its form: one of its language first, else the
     first where either language is unknown. rules: form, language, replacement, ordinal."""
-    w = Window.partitionBy("form", "language").orderBy("ordinal")
-    own = rules.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("form", "language", F.col("replacement").alias("_own"))
-    first = lambda cond, name: rules.where(cond).groupBy("form").agg(F.min_by("replacement", "ordinal").alias(name))
-    unknown, any_ = first(F.col("language") == "unknown", "_unknown"), first(F.lit(True), "_any")
-    out = words.join(own, ["form", "language"], "left").join(unknown, "form", "left").join(any_, "form", "left")
-    found = F.when(F.col("language") == "unknown", F.coalesce("_own", "_any")).otherwise(F.coalesce("_own", "_unknown"))
-    return out.withColumn("replacement", found).drop("_own", "_unknown", "_any")
+    # one row for each form, with a map of its few languages, so that words are joined once
+    first = rules.groupBy("form", "language").agg(F.min_by(F.struct("replacement", "ordinal"), "ordinal").alias("_r"))
+    looked = first.groupBy("form").agg(
+        F.map_from_entries(F.collect_list(F.struct("language", F.col("_r.replacement").alias("r")))).alias("_own"), F.min_by("_r.replacement", "_r.ordinal").alias("_any")
+    )
+    out = words.join(looked, "form", "left")
+    own = F.try_element_at("_own", F.col("language"))
+    found = F.coalesce(own, F.when(F.col("language") == "unknown", F.col("_any")).otherwise(F.try_element_at("_own", F.lit("unknown"))))
+    return out.withColumn("replacement", found).drop("_own", "_any")
 
 
 def apply_rules(words: DataFrame, rules: DataFrame, analysed: DataFrame, weak: float = 0.55) -> DataFrame:
@@ -148,6 +150,16 @@ def to_analyse(files: DataFrame, marks: DataFrame) -> DataFrame:
     return files.join(m, "recording", "left").where(~F.col("mark").eqNullSafe(F.col("_was")) | F.col("_was").isNull()).drop("_was")
 
 
+def departed(marks: DataFrame, files: DataFrame) -> DataFrame:
+    """Recordings with a mark whose file is no longer there."""
+    return marks.join(files.select("recording"), "recording", "left_anti")
+
+
+def usable_results(results: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Answers without an error that have words. results: recording, provider, error; tokens: recording, provider."""
+    return results.where(F.col("error").isNull()).join(tokens.select("recording", "provider"), ["recording", "provider"], "left_semi")
+
+
 def checked_decisions(spans: DataFrame, decisions: DataFrame) -> DataFrame:
     """Model answers and why each is refused: second answer, unknown span, malformed, wrong original
     text, keep that changes, high risk, another word count, text not offered; else accepted. Spans

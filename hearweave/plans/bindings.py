@@ -133,7 +133,11 @@ TURNS = r"""turn_words AS (
 
 def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review outcomes from events: which service's word was chosen, and what the review did."""
-    e = table(spark, sf_dir, "events")
+    return outcomes_of(table(spark, sf_dir, "events"))
+
+
+def outcomes_of(e: DataFrame) -> DataFrame:
+    """Review outcomes of events, read as a table or as a stream."""
     names = F.array(*map(F.lit, ("elevenlabs", "openai", "microsoft", "assemblyai", "deepgram")))
     return e.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.element_at(names, (F.col("user_id") % 5 + 1).cast("int")).alias("provider"),
@@ -175,17 +179,20 @@ OCCURRENCES = FINALS + """, occ AS (
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms: the first words of benchmark items, their second words as misrecognitions of them."""
+    """Terms: every second word of benchmark items, the word behind it as a misrecognition of it."""
     b = table(spark, sf_dir, "benchmark").where("text is not null")
-    w = F.filter(F.split("text", BLANKS), lambda x: x != "")
-    out = b.select(F.col("item_id").alias("arrival"), F.get(w, F.lit(0)).alias("term"), F.get(w, F.lit(1)).alias("wrong"), (F.col("item_id") % 4).alias("level"), (F.col("item_id") % 6).alias("confirmations"))
-    return out.where("term is not null")
+    w = b.select("item_id", F.filter(F.split("text", BLANKS), lambda x: x != "").alias("w")).where(F.size("w") > 0)
+    at = w.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(2))).alias("k"))
+    return at.select(
+        (F.col("item_id") * 10000 + F.col("k")).alias("arrival"), F.get("w", F.col("k")).alias("term"), F.get("w", F.col("k") + 1).alias("wrong"),
+        (F.col("item_id") % 4).alias("level"), ((F.col("item_id") + F.col("k")) % 6).alias("confirmations"),
+    )
 
 
 VOCABULARY = r"""vocab AS (
-  SELECT item_id AS arrival, w[1] AS term, w[2] AS wrong, item_id % 4 AS level, item_id % 6 AS confirmations
-  FROM (SELECT item_id, list_filter(string_split_regex(text, '[ \n\t\r]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL)
-  WHERE w[1] IS NOT NULL)"""
+  SELECT item_id * 10000 + k AS arrival, w[k + 1] AS term, w[k + 2] AS wrong, item_id % 4 AS level, (item_id + k) % 6 AS confirmations
+  FROM (SELECT item_id, w, unnest(range(0, len(w), 2)) AS k
+        FROM (SELECT item_id, list_filter(string_split_regex(text, '[ \n\t\r]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL)))"""
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,3 +227,36 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEVELS = """levels AS (
   SELECT e.user_id AS recording, event_id, round((epoch_us(ts) - epoch_us(first)) / 1e6, 6)::DOUBLE AS t, round(value, 6)::DOUBLE AS level
   FROM events e JOIN (SELECT user_id, min(ts) AS first FROM events GROUP BY 1) f ON e.user_id = f.user_id)"""
+
+
+def _digits(parts: str, *sizes: tuple[int, int]) -> str:
+    each = " AND ".join(f"regexp_full_match({parts}[{k}], '[0-9]{{{a},{b}}}')" for k, (a, b) in enumerate(sizes, 1))
+    return f"(len({parts}) = {len(sizes)} AND {each})"
+
+
+def clean_sql(text: str) -> str:
+    """columns.cleaned in SQL."""
+    edge = "[^\\P{P}%]"
+    low = f"regexp_replace(lower(trim({text})), '^{edge}*[-‐‑‒–—―−]([0-9])', '−\\1')"
+    return f"replace(regexp_replace(regexp_replace({low}, '^{edge}+', ''), '{edge}+$', ''), '−', '-')"
+
+
+def risks_sql(x: str) -> str:
+    """columns.risk_categories of a cleaned word in SQL: a list of names."""
+    by = lambda marks: f"string_split_regex({x}, '[{marks}]')"
+    written = f"({_digits(by('-/.'), (1, 2), (1, 2))} OR {_digits(by('-/.'), (1, 2), (1, 2), (2, 4))})"
+    grouped = f"(length({by('.,')}[1]) <= 3 AND len(list_filter({by('.,')}[2:-2], lambda p: length(p) <> 3)) = 0)"
+    number = f"(len(list_filter({by('.,')}, lambda p: NOT regexp_full_match(p, '[0-9]+'))) = 0 AND (len({by('.,')}) = 2 OR {grouped}))"
+    ambiguous = f"(len({by('.,')}) > 1 AND ({number} OR {written}))"
+    clock = f"({_digits(by(':h.'), (1, 2), (2, 2))} OR ({_digits(by(':h.'), (1, 2), (2, 2), (2, 2))} AND regexp_matches({x}, ':[0-9][0-9]$')))"
+    date = f"({_digits(by('-/'), (4, 4), (1, 2), (1, 2))} OR ({written} AND length({x}) - length(translate({x}, './', '')) >= 2) OR {_digits(by('/'), (1, 2), (2, 2))} OR {_digits(by('/'), (1, 2), (4, 4))}"
+    date += f" OR regexp_extract({x}, '^[0-9]{{1,2}}([^0-9]+)$', 1) IN ('st', 'nd', 'rd', 'th', '.') OR (regexp_full_match({x}, '[0-9]{{4}}') AND {x}[1:2] IN ('19', '20')))"
+    numbers = f"string_split(regexp_replace({x}, '^v', ''), '.')"
+    version = f"(len(list_filter({numbers}, lambda p: NOT regexp_full_match(p, '[0-9]+'))) = 0 AND (starts_with({x}, 'v') OR len({numbers}) > 2))"
+    units = ", ".join(f"'{u}'" for u in ("kg", "g", "mg", "mcg", "ml", "l", "km", "cm", "mm", "m", "kb", "mb", "gb", "tb", "hz", "khz", "mhz", "ghz", "mmol", "mmhg", "bpm", "iu"))
+    quantity = f"(regexp_extract({x}, '^[0-9]+(?:[.,][0-9]+)?\\s*([^0-9]+)$', 1) IN ({units}) OR {ambiguous})"
+    money, long_run = f"regexp_matches({x}, '[$€£¥₹]|^r[0-9]')", f"regexp_full_match({x}, '[0-9]{{7,}}')"
+    kinds = (("percentage", f"contains({x}, '%')"), ("money", money), ("time", clock), ("date", date), ("version_number", version), ("quantity", quantity), ("telephone", long_run), ("account_number", long_run))
+    found = "list_filter([" + ", ".join(f"CASE WHEN {holds} THEN '{name}' END" for name, holds in kinds) + "], lambda k: k IS NOT NULL)"
+    code = f"(len(list_filter({by('-/')}, lambda p: NOT regexp_full_match(p, '[a-z0-9]+'))) = 0 AND regexp_matches({x}, '[a-z]') AND regexp_matches({x}, '[0-9]'))"
+    return f"CASE WHEN len({found}) > 0 THEN {found} WHEN {code} THEN ['product_code'] ELSE [] END"

@@ -3,8 +3,6 @@ against slow definitions instead."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from hearweave.functions import columns as C
@@ -17,20 +15,12 @@ from hearweave.operators import windows as W
 from hearweave.plans import bindings as B
 from hearweave.plans import reconcile, stitch
 from hearweave.sources import files, responses
+from hearweave.sources.shared import shared_folder
 from hearweave.streaming import jobs
 
 KEY = ("recording",)
 
 
-def shared(spark) -> str:
-    """The folder that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def _digest(df):
     return df.groupBy("recording").agg(F.count("*").alias("n"), F.round(F.sum("start"), 4).alias("starts"), F.round(F.sum("end"), 4).alias("ends"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_index", "text"))), lambda x: x["text"]), " ")).alias("words"))
 
@@ -113,7 +103,7 @@ def _readings(spark, d):
         "recording", "pos", "provider", "text", F.lower("text").alias("form"), C.acoustic_confidence(F.col("log_probability"), F.lit(None).cast("double")).alias("acoustic"),
         F.lit(0.8).alias("quality"), (F.col("provider") == "elevenlabs").alias("is_backbone"), F.when(F.length("text") % 11 == 0, "exact").otherwise("none").alias("vocabulary"),
         F.lit(1.0).alias("language_weight"),
-    )
+    ).repartition("recording", "pos")
 
 
 def x4_languages(spark, d):
@@ -123,10 +113,7 @@ def x4_languages(spark, d):
 
 
 def x5_reconcile(spark, d):
-    r = _readings(spark, d)
-    services = r.groupBy("recording", "pos").agg(F.count("*").alias("n"))
-    places = services.select("recording", "pos", (3 - F.col("n")).alias("n_silent"), F.lit(0.9).alias("language_support"))
-    out = reconcile.decided(reconcile.scored(r), places)
+    out = reconcile.decided(reconcile.scored(_readings(spark, d)), services=3)
     return out.groupBy("recording", "category").agg(F.count("*").alias("n"), F.count_if("unresolved").alias("n_unresolved"), F.count_if("kept").alias("n_kept"), F.round(F.sum("score"), 3).alias("score"))
 
 
@@ -152,7 +139,7 @@ def j12_rematch(spark, d):
 
 
 def x11_windows(spark, d):
-    f = B.final_tokens(spark, d).where("strength < 0.05")
+    f = B.final_tokens(spark, d).where(C.category_for(F.col("strength")).isin("review_required", "unresolved"))
     out = reconcile.escalation_windows(f.select("recording", F.col("pos").alias("dispute"), "start", "end", (F.col("pos") % 10 == 0).alias("third")))
     return out.select("recording", F.col("window").cast("long").alias("window"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "n_disputes", "third")
 
@@ -170,9 +157,7 @@ def x15_learned_weights(spark, d):
 
 def flagship(spark, d):
     """Three services' words voted on at each place, with the spread of confidence of each recording."""
-    r = _readings(spark, d)
-    places = r.groupBy("recording", "pos").agg((3 - F.count("*")).alias("n_silent")).withColumn("language_support", F.lit(0.9))
-    words = reconcile.decided(reconcile.scored(r), places).where("kept")
+    words = reconcile.decided(reconcile.scored(_readings(spark, d)), services=3).where("kept")
     return A.confidence_distribution(words, "category", KEY)
 
 
@@ -186,30 +171,25 @@ def _events(spark, d):
 
 
 def _streamed_outcomes(spark, d):
-    class Stream:
-        """bindings read a table by name; this one is read as a stream."""
-
-        read = type("R", (), {"parquet": staticmethod(lambda path: _events(spark, d))})
-
-    return B.review_outcomes(Stream, d)
+    return B.outcomes_of(_events(spark, d))
 
 
 def t2_live_statistics(spark, d):
-    return jobs.run_once(jobs.live_statistics(_streamed_outcomes(spark, d)), shared(spark), "complete")
+    return jobs.run_once(jobs.live_statistics(_streamed_outcomes(spark, d)), shared_folder(spark), "complete")
 
 
 def t3_windowed_outcomes(spark, d):
-    return jobs.run_once(jobs.windowed_outcomes(_streamed_outcomes(spark, d)), shared(spark))
+    return jobs.run_once(jobs.windowed_outcomes(_streamed_outcomes(spark, d)), shared_folder(spark))
 
 
 def t4_utterances(spark, d):
     e = _events(spark, d).withColumn("recording", F.col("user_id"))
-    return jobs.run_once(jobs.utterances(e, "30 minutes"), shared(spark))
+    return jobs.run_once(jobs.utterances(e, "30 minutes"), shared_folder(spark))
 
 
 def t5_first_responses(spark, d):
     e = _events(spark, d).select((F.col("event_id") / 3).cast("long").alias("request"), "ts")
-    return jobs.run_once(jobs.first_responses(e, ("request",), "30 days"), shared(spark)).select("request")
+    return jobs.run_once(jobs.first_responses(e, ("request",), "30 days"), shared_folder(spark)).select("request")
 
 
 _T = "WITH " + B.TOKENS
@@ -222,10 +202,17 @@ k AS (SELECT *, row_number() OVER (PARTITION BY recording, pos, form ORDER BY ra
 c AS (SELECT recording, pos, form, round(1.0 - product(1.0 - least(0.99, raw) * pow(0.6, n)), 6) AS score, round(sum(raw), 6) AS total, min(k) AS ordinal, count(*) AS ns, max(a) AS a,
   bool_or(length(text) % 11 = 0) AS v, arg_max(text, (length(text) % 11 = 0, regexp_matches(text, '[^\\x00-\\x7F]'), raw, -k)) AS text FROM k GROUP BY 1, 2, 3),
 o AS (SELECT *, row_number() OVER (PARTITION BY recording, pos ORDER BY score DESC, total DESC, ordinal) AS n FROM c)"""
+_DECIDED = ", risk AS (SELECT *, " + B.clean_sql("text") + " AS x FROM o), t AS (SELECT recording, pos, max(score) FILTER (n = 1) AS score, max(score) FILTER (n = 2) AS rival, max(a) FILTER (n = 1) AS a, bool_or(v) FILTER (n = 1) AS v, sum(ns) AS heard, sum(ns) - max(ns) FILTER (n = 1) AS contesting, bool_or(len(" + B.risks_sql("x") + """) > 0) AS risky FROM risk GROUP BY 1, 2),
+q AS (SELECT *, rival IS NOT NULL AND (score - rival < 0.12 OR risky) AS unresolved, NOT (3 - heard >= 2 AND rival IS NULL AND a < 0.5) AS kept,
+  least(1.0, least(1.0, score) * (0.6 + 0.4 * greatest(0.0, least(1.0, score - coalesce(rival, 0.0)))) * (0.7 + 0.3 * a) * (0.7 + 0.3 * 0.8::DOUBLE) * (0.85 + 0.15 * 1.0::DOUBLE)
+    * CASE WHEN v THEN 1.1 ELSE 1.0 END * CASE WHEN risky AND contesting > 0 THEN 0.75 ELSE 1.0 END) AS strength FROM t),
+d AS (SELECT *, CASE WHEN unresolved THEN 'unresolved' WHEN strength >= 0.78 THEN 'high' WHEN strength >= 0.55 THEN 'review_suggested' WHEN strength >= 0.3 THEN 'review_required' ELSE 'unresolved' END AS category FROM q)"""
 _DEFAULT = "CASE provider WHEN 'openai' THEN 1.0 WHEN 'elevenlabs' THEN 0.95 ELSE 0.9 END::DOUBLE"
 
 QUERIES = {
-    "flagship": (flagship, None),
+    "flagship": (flagship, _T + _SCORED.format(weight=_DEFAULT, join="") + _DECIDED + """, dim(category) AS (VALUES ('high'), ('review_suggested'), ('review_required'), ('unresolved')),
+g AS (SELECT r.recording, dim.category, count(d.category) AS n FROM (SELECT DISTINCT recording FROM d WHERE kept) r CROSS JOIN dim LEFT JOIN (SELECT * FROM d WHERE kept) d ON d.recording = r.recording AND d.category = dim.category GROUP BY 1, 2)
+SELECT recording, category, n, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY recording), 1) AS percent FROM g"""),
     "s2_elevenlabs": (s2_elevenlabs, _READ),
     "s3_openai": (s3_openai, _W + " SELECT recording, count(*) AS n, md5(string_agg(word, ' ' ORDER BY pos)) AS words FROM words GROUP BY 1"),
     "s4_microsoft": (s4_microsoft, _READ),
@@ -238,8 +225,17 @@ QUERIES = {
   row_number() OVER (PARTITION BY recording ORDER BY CASE WHEN floor(("start" + "end") / 2 / 20.0) < 0 THEN 0 ELSE floor(("start" + "end") / 2 / 20.0) END, pos) - 1 AS k FROM timed)
 SELECT recording, count(*) AS n, max(k) AS last, sum(pos * k)::BIGINT AS check FROM n GROUP BY 1"""),
     "x1_text_seams": (x1_text_seams, None),
-    "x4_languages": (x4_languages, None),
-    "x5_reconcile": (x5_reconcile, None),
+    "x4_languages": (x4_languages, _T + ", mk(form, marker) AS (VALUES " + ", ".join(f"('{w}', '{g}')" for g in ("en", "de") for w in reconcile.MARKERS[g]) + """),
+w AS (SELECT recording, pos, provider, lower(text) AS form, CASE WHEN pos % 3 = 0 THEN language END AS locale, language AS detected FROM tokens),
+l AS (SELECT recording, pos, sum(CASE WHEN locale = 'en' THEN 3.0::DOUBLE ELSE 0 END) + max(CASE WHEN marker = 'en' THEN 2.0::DOUBLE ELSE 0 END) AS en, sum(CASE WHEN locale = 'de' THEN 3.0::DOUBLE ELSE 0 END) + max(CASE WHEN marker = 'de' THEN 2.0::DOUBLE ELSE 0 END) AS de
+  FROM w LEFT JOIN mk ON w.form = mk.form GROUP BY 1, 2),
+s AS (SELECT recording, """ + ", ".join(f"{g}" + "".join(f" + coalesce({f}({g}, {k}) OVER o, 0) * {0.6 ** k}::DOUBLE" for k in range(1, 5) for f in ("lag", "lead")) + f" AS {g}" for g in ("en", "de")) + """ FROM l WINDOW o AS (PARTITION BY recording ORDER BY pos)),
+p AS (SELECT recording, count(*) FILTER (detected = 'en') AS en, count(*) FILTER (detected = 'de') AS de FROM (SELECT DISTINCT recording, provider, detected FROM w) GROUP BY 1),
+v AS (SELECT s.recording, s.en + CASE WHEN p.en + p.de > 0 THEN p.en / (p.en + p.de) ELSE 0 END AS en, s.de + CASE WHEN p.en + p.de > 0 THEN p.de / (p.en + p.de) ELSE 0 END AS de FROM s JOIN p ON s.recording = p.recording),
+h AS (SELECT recording, CASE WHEN en + de > 0 THEN en / (en + de) ELSE 0.5 END AS share_en, CASE WHEN en + de > 0 THEN de / (en + de) ELSE 0.5 END AS share_de FROM v)
+SELECT recording, CASE WHEN share_en >= share_de THEN 'en' ELSE 'de' END AS best, count(*) AS n, round(sum(share_en), 4) AS share_en FROM h GROUP BY 1, 2"""),
+    "x5_reconcile": (x5_reconcile, _T + _SCORED.format(weight=_DEFAULT, join="") + _DECIDED + """
+SELECT recording, category, count(*) AS n, count(*) FILTER (unresolved) AS n_unresolved, count(*) FILTER (kept) AS n_kept, round(sum(score), 3) AS score FROM d GROUP BY 1, 2"""),
     "x7_timing": (x7_timing, _W + """, s AS (SELECT recording, CASE WHEN recording % 4 = 0 THEN 'unaligned' WHEN pos % 3 + 1 > recording % 4 THEN 'shared'
   WHEN (recording + pos) % 5 = 0 THEN 'mapped_substitution' WHEN (recording + pos) % 7 = 0 THEN 'mapped_format' ELSE 'exact' END AS timing_status FROM words)
 SELECT recording, timing_status, count(*) AS n FROM s GROUP BY 1, 2"""),

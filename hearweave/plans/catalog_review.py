@@ -11,6 +11,7 @@ from hearweave.operators import maintenance as M
 from hearweave.operators import topk as K
 from hearweave.operators import windows as W
 from hearweave.plans import bindings as B
+from hearweave.plans.catalog_doubts import TURN_RUNS
 
 KEY = ("recording",)
 
@@ -29,11 +30,10 @@ def f1_spoken(spark, d):
 
 def f3_needs_review(spark, d):
     f = B.final_tokens(spark, d)
-    other = F.size(F.array_except("reasons", F.array(F.lit("speaker_uncertain")))) > 0
-    word = other | (F.col("pending") & (F.size("reasons") == 0))
+    word = C.needs_word_review(F.col("reasons"), F.col("pending"))
     return f.groupBy("recording").agg(
-        F.count_if(F.col("pending") | (F.size("reasons") > 0)).alias("n_review"), F.count_if(word).alias("n_word"),
-        F.count_if((F.size("reasons") > 0) & ~other).alias("n_speaker_only"),
+        F.count_if(C.needs_review(F.col("reasons"), F.col("pending"))).alias("n_review"), F.count_if(word).alias("n_word"),
+        F.count_if((F.size("reasons") > 0) & ~word).alias("n_speaker_only"),
     )
 
 
@@ -43,9 +43,8 @@ def f4_weak_words(spark, d):
 
 def f5_flagged(spark, d):
     f = B.final_tokens(spark, d)
-    other = F.size(F.array_except("reasons", F.array(F.lit("speaker_uncertain")))) > 0
     settled = F.col("human_corrected") | F.col("confirmed")
-    flagged = settled | other | (F.col("pending") & (F.size("reasons") == 0))
+    flagged = settled | C.needs_word_review(F.col("reasons"), F.col("pending"))
     return f.where(flagged).select("recording", "pos", "text", F.when(settled, "settled").otherwise("open").alias("state"))
 
 
@@ -65,7 +64,8 @@ def f10_corrections(spark, d):
 def f11_rendered(spark, d):
     f = B.final_tokens(spark, d).withColumn("category", C.category_for(F.col("strength")))
     choices = F.when(F.col("pos") % 2 == 0, F.array("text", F.lower("text"), "text")).otherwise(F.array().cast("array<string>"))
-    return f.where("strength < 0.1").select("recording", "pos", C.rendered(F.col("text"), F.col("category"), choices).alias("shown"))
+    shown = C.rendered(F.col("text"), F.col("category"), choices)
+    return f.groupBy("recording").agg(F.count("*").alias("n"), F.count_if(shown.startswith("[UNC")).alias("n_uncertain"), F.sum(F.length(shown)).alias("chars"), F.max(shown).alias("last"))
 
 
 def f12_run_summary(spark, d):
@@ -80,8 +80,8 @@ def f12_run_summary(spark, d):
 
 def j1_heard(spark, d):
     t = B.provider_tokens(spark, d)
-    some = t.where("provider = 'elevenlabs' and pos % 50 = 3").select("recording", "pos")
-    return J.heard(some, t.where("pos % 50 = 3")).select("recording", "pos", "heard")
+    out = J.heard(t.where("provider = 'elevenlabs'").select("recording", "pos"), t)
+    return out.groupBy("recording").agg(F.count("heard").alias("n"), F.sum(F.length("heard")).alias("chars"), F.min("heard").alias("first"), F.max("heard").alias("last"))
 
 
 def j2_anchors(spark, d):
@@ -123,7 +123,7 @@ def j7_best_turn(spark, d):
 
 def j9_boundary_disputes(spark, d):
     w = B.turn_words(spark, d).withColumnsRenamed({"seq": "pos", "word": "text"})
-    disputes = w.where("pos % 17 = 0").select("recording", F.col("pos").alias("dispute"), "start", "end")
+    disputes = w.select("recording", F.col("pos").alias("dispute"), "start", "end")
     return J.boundary_disputes(disputes, W.turns(w, KEY))
 
 
@@ -131,7 +131,7 @@ def j11_corrections(spark, d):
     before = B.final_tokens(spark, d)
     r, p = F.col("recording"), F.col("pos")
     after = before.withColumns({"text": F.when((r + p) % 11 == 0, F.upper(F.lit("x"))).otherwise(F.concat(F.lit(" "), "text")), "speaker": F.when((r + p) % 37 == 0, F.lit("")).when((r + p) % 53 == 0, "s5").otherwise(F.col("speaker"))})
-    c = J.corrections(before.where("recording % 3 = 0"), after, ("recording", "pos"))
+    c = J.corrections(before, after, ("recording", "pos"))
     return c.groupBy("recording", "kind").agg(F.count("*").alias("n"), F.sum("pos").alias("at"), F.max("was").alias("was"))
 
 
@@ -163,7 +163,7 @@ def j16_decisions(spark, d):
 
 
 def j17_second_opinions(spark, d):
-    f = B.final_tokens(spark, d).where("strength < 0.3")
+    f = B.final_tokens(spark, d).where("strength is not null")
     r, p = F.col("recording"), F.col("pos")
     disputes = f.select((r * 1000000 + p).alias("dispute"), "text", F.lower("text").alias("form"), F.array(F.lower("text"), F.lit("xx")).alias("candidates"), (p % 10 == 0).alias("high_risk"), "strength")
     answers = f.where(p % 3 != 0).select((r * 1000000 + p).alias("dispute"), F.when(p % 5 == 0, "xx").when(p % 7 == 0, "new").otherwise(F.lower("text")).alias("answer_form"), F.when(p % 5 == 0, "XX").when(p % 7 == 0, "New").otherwise(F.col("text")).alias("answer"))
@@ -209,11 +209,11 @@ def g7_repeated_mistakes(spark, d):
 def g8_mistake_categories(spark, d):
     o = B.occurrences(spark, d).where("reviewed")
     kind = A.mistake_category(F.size(C.risk_categories(C.cleaned(F.col("detected")))) > 0, F.col("detected").rlike(r"\d"), C.looks_like_name(F.col("detected")))
-    return o.groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+    return A.mistake_counts(o.select(kind.alias("category")))
 
 
 def _wrongs(spark, d):
-    return B.provider_tokens(spark, d).where("provider = 'microsoft' and pos % 13 = 0").select("provider", F.col("text").alias("right"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit(" "), F.translate("text", "abcdefghij", "ABCDEFGHIJ"))).otherwise(F.reverse("text")).alias("wrong"), (F.col("recording") * 1000000 + F.col("pos")).alias("at"))
+    return B.provider_tokens(spark, d).select("provider", F.col("text").alias("right"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit(" "), F.translate("text", "abcdefghij", "ABCDEFGHIJ"))).otherwise(F.reverse("text")).alias("wrong"), (F.col("recording") * 1000000 + F.col("pos")).alias("at"))
 
 
 def g9_learned_corrections(spark, d):
@@ -241,7 +241,7 @@ def g13_untimed(spark, d):
 def g14_alignment_quality(spark, d):
     r, p = F.col("recording"), F.col("pos")
     t = B.provider_tokens(spark, d).withColumns({"status": F.when((r + p) % 7 == 0, "substitution").otherwise("exact"), "quality": (p % 100) / 100.0})
-    return t.groupBy("recording", "provider").agg(F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg((F.col("status") == "exact").cast("double")), 6).alias("agreement"))
+    return A.alignment_quality(t).select("recording", "provider", *_six("quality", "agreement"))
 
 
 def g15_extents(spark, d):
@@ -299,6 +299,8 @@ def k1_backbone(spark, d):
 def _candidates(spark, d):
     t = B.provider_tokens(spark, d)
     weight = F.when(F.col("provider") == "openai", 1.0).when(F.col("provider") == "elevenlabs", 0.95).otherwise(0.9)
+    # all that follows groups within a place, so one shuffle serves it
+    t = t.select("recording", "pos", "provider", "text", "log_probability").repartition("recording", "pos")
     s = t.select("recording", "pos", F.lower("text").alias("form"), F.round(weight * F.exp("log_probability"), 6).alias("s"), K.rank_of(F.col("provider"), C.PROVIDERS).alias("k"))
     return s.groupBy("recording", "pos", "form").agg(F.round(C.combined(F.collect_list("s")), 6).alias("score"), F.round(F.sum("s"), 6).alias("total"), F.min("k").alias("ordinal"))
 
@@ -314,8 +316,8 @@ def k3_preferred_spelling(spark, d):
 
 
 def k4_prioritised(spark, d):
-    w = B.final_tokens(spark, d).where("strength < 0.2").select("recording", "pos", "start", (F.col("pos") % 3 + 1).alias("priority"))
-    return K.prioritised(w, 20).groupBy("recording", "sent").agg(F.count("*").alias("n"), F.sum("pos").alias("at"))
+    w = B.final_tokens(spark, d).select("recording", "pos", "start", (F.col("pos") % 3 + 1).alias("priority"))
+    return K.prioritised(w).groupBy("recording", "sent").agg(F.count("*").alias("n"), F.sum("pos").alias("at"))
 
 
 def k6_ordered_terms(spark, d):
@@ -364,9 +366,13 @@ def s11_next_sequence(spark, d):
 
 def s12_redacted(spark, d):
     m = F.from_json("props", "map<string,string>")
-    e = B.table(spark, d, "events").select("event_id", F.map_concat(m, F.create_map(F.lit("api_key"), F.col("event_type"), F.lit("note"), F.when(F.col("event_id") % 2 == 0, F.md5(F.col("event_type"))).otherwise(F.col("event_type")))).alias("m"))
+    n, kind = F.col("event_id"), F.col("event_type")
+    names = ("api_key", "Auth", "keyword", "monkey", "KeyTerms", "access-token", "max_tokens", "author", "bearer", "my signature", "passphrase", "SECRETS")
+    name = F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    value = F.when(n % 5 == 0, F.concat(F.lit("sk_"), kind)).when(n % 5 == 1, kind).when(n % 5 == 2, F.concat(F.lit("Basic "), kind)).when(n % 5 == 3, F.concat(F.lit("a"), F.substring(F.md5(kind), 1, 30))).otherwise(F.md5(kind))
+    e = B.table(spark, d, "events").select("event_id", name.alias("name"), F.map_concat(m, F.create_map(name, kind, F.lit("note"), value)).alias("m"))
     r = C.redacted(F.col("m"))
-    return e.select("event_id", r["api_key"].alias("api_key"), r["note"].alias("note"), r["k"].alias("k"))
+    return e.select("event_id", r[F.col("name")].alias("named"), r["note"].alias("valued"), r["k"].alias("k"))
 
 
 def s14_export_plan(spark, d):
@@ -455,13 +461,14 @@ WHERE human_corrected OR confirmed OR {_OTHER} OR (pending AND len(reasons) = 0)
   coalesce((recording + pos) % 11 = 0 AND pos % 3 = 0 AND speaker IS DISTINCT FROM 's0', false) AS moved FROM finals)
 SELECT recording, count(*) FILTER (human_corrected OR new OR moved) AS n_corrected, count(CASE WHEN new THEN coalesce(original_text, text) ELSE original_text END) AS n_original,
   round(sum(CASE WHEN new THEN 1.0 ELSE strength END), 4) AS strength, sum(CASE WHEN new OR moved THEN 0 ELSE len(reasons) END)::BIGINT AS n_reasons FROM e GROUP BY 1"""),
-    "f11_rendered": (f11_rendered, _F + """ SELECT recording, pos, CASE WHEN pos % 2 = 0 THEN '[UNCERTAIN: ' || CASE WHEN lower(text) = text THEN text ELSE text || ' / ' || lower(text) END || ']' ELSE text END AS shown
-FROM finals WHERE strength < 0.1"""),
+    "f11_rendered": (f11_rendered, _F + """, s AS (SELECT recording, CASE WHEN pos % 2 = 0 AND coalesce(strength, 0) < 0.3 THEN '[UNCERTAIN: ' || CASE WHEN lower(text) = text THEN text ELSE text || ' / ' || lower(text) END || ']' ELSE text END AS shown FROM finals)
+SELECT recording, count(*) AS n, count(*) FILTER (starts_with(shown, '[UNC')) AS n_uncertain, sum(length(shown))::BIGINT AS chars, max(shown) AS last FROM s GROUP BY 1"""),
     "f12_run_summary": (f12_run_summary, _F + """, w AS (SELECT recording, count(*) AS n, count(*) FILTER (pending) AS p FROM finals GROUP BY 1)
 SELECT source, count(*) AS n_recordings, count(*) FILTER (coalesce(n, 0) = 0) AS n_failed, sum(coalesce(n, 0))::BIGINT AS n_words, sum(coalesce(p, 0))::BIGINT AS n_pending
 FROM documents d LEFT JOIN w ON d.doc_id = w.recording GROUP BY 1"""),
-    "j1_heard": (j1_heard, _T + """, t AS (SELECT recording, pos, provider || ': ' || text AS s, CASE provider WHEN 'elevenlabs' THEN 0 WHEN 'openai' THEN 1 ELSE 2 END AS k FROM tokens WHERE pos % 50 = 3)
-SELECT recording, pos, string_agg(s, '; ' ORDER BY k) AS heard FROM t GROUP BY 1, 2"""),
+    "j1_heard": (j1_heard, _T + """, t AS (SELECT recording, pos, provider || ': ' || text AS s, CASE provider WHEN 'elevenlabs' THEN 0 WHEN 'openai' THEN 1 ELSE 2 END AS k FROM tokens),
+h AS (SELECT recording, pos, string_agg(s, '; ' ORDER BY k) AS heard FROM t GROUP BY 1, 2)
+SELECT recording, count(*) AS n, sum(length(heard))::BIGINT AS chars, min(heard) AS first, max(heard) AS last FROM h GROUP BY 1"""),
     "j2_anchors": (j2_anchors, _T + """, o AS (SELECT recording, provider, lower(text) AS form, min(pos) AS pos FROM tokens WHERE length(text) >= 3 GROUP BY 1, 2, 3 HAVING count(*) = 1)
 SELECT a.recording, count(*) AS n, sum(a.pos)::BIGINT AS a, sum(b.pos)::BIGINT AS b FROM o a JOIN o b ON a.recording = b.recording AND a.form = b.form
 WHERE a.provider = 'elevenlabs' AND b.provider = 'microsoft' GROUP BY 1"""),
@@ -491,18 +498,18 @@ SELECT recording, action, count(*) AS n, sum(pos)::BIGINT AS at FROM a WHERE act
 k AS (SELECT *, row_number() OVER (PARTITION BY recording, seq ORDER BY shared DESC, turn) AS k FROM j WHERE shared > 0)
 SELECT recording, count(*) AS n, sum(turn)::BIGINT AS turns, round(sum(shared), 4) AS shared FROM k WHERE k = 1 GROUP BY 1"""),
     "j9_boundary_disputes": (j9_boundary_disputes, "WITH " + B.TURNS + _SPANS + """, c AS (SELECT recording, lead(s) OVER (PARTITION BY recording ORDER BY turn) AS change FROM turns)
-SELECT DISTINCT w.recording, seq AS dispute FROM turn_words w JOIN c ON w.recording = c.recording AND w."start" - 0.5 <= change AND change <= w."end" + 0.5 WHERE seq % 17 = 0"""),
+SELECT DISTINCT w.recording, seq AS dispute FROM turn_words w JOIN c ON w.recording = c.recording AND w."start" - 0.5 <= change AND change <= w."end" + 0.5"""),
     "j11_corrections": (j11_corrections, _F + """, c AS (
   SELECT recording, pos, 'text' AS kind, text AS was FROM finals WHERE (recording + pos) % 11 = 0 AND trim(text) <> 'X'
   UNION ALL
   SELECT recording, pos, 'speaker', speaker FROM finals WHERE (recording + pos) % 37 <> 0 AND (recording + pos) % 53 = 0 AND speaker <> 's5')
-SELECT recording, kind, count(*) AS n, sum(pos)::BIGINT AS at, max(was) AS was FROM c WHERE recording % 3 = 0 GROUP BY 1, 2"""),
+SELECT recording, kind, count(*) AS n, sum(pos)::BIGINT AS at, max(was) AS was FROM c GROUP BY 1, 2"""),
     "j14_to_analyse": (j14_to_analyse, "SELECT doc_id AS recording, md5(doc_id || '/' || n_chars) AS mark FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0"),
     "j15_costs": (j15_costs, _Q + """, r(provider, rate) AS (VALUES ('openai', 0.0045::DOUBLE), ('elevenlabs', 0.007), ('microsoft', 0.017), ('assemblyai', 0.005))
 SELECT q.provider, count(*) AS n_requests, round(sum(seconds / 60 * rate * CASE WHEN q.provider = 'assemblyai' AND terms_sent THEN 1.2 ELSE 1.0 END), 2) AS amount, bool_and(rate IS NULL) AS unpriced
 FROM requests q LEFT JOIN r ON q.provider = r.provider GROUP BY 1"""),
     "j16_decisions": (j16_decisions, None),
-    "j17_second_opinions": (j17_second_opinions, _F + """, q AS (SELECT *, lower(text) AS form, CASE WHEN pos % 3 = 0 THEN NULL WHEN pos % 5 = 0 THEN 'xx' WHEN pos % 7 = 0 THEN 'new' ELSE lower(text) END AS a FROM finals WHERE strength < 0.3),
+    "j17_second_opinions": (j17_second_opinions, _F + """, q AS (SELECT *, lower(text) AS form, CASE WHEN pos % 3 = 0 THEN NULL WHEN pos % 5 = 0 THEN 'xx' WHEN pos % 7 = 0 THEN 'new' ELSE lower(text) END AS a FROM finals WHERE strength IS NOT NULL),
 o AS (SELECT *, CASE WHEN a IS NULL THEN 'unanswered' WHEN pos % 10 = 0 AND a <> form THEN 'kept_high_risk' WHEN a = form THEN 'confirmed' WHEN a = 'xx' THEN 'settled' ELSE 'new_reading' END AS outcome FROM q)
 SELECT outcome, count(*) AS n, round(sum(CASE WHEN outcome IN ('confirmed', 'settled') THEN least(greatest(strength, 0.78), 0.85) ELSE strength END), 4) AS strength,
   max(CASE WHEN outcome = 'settled' THEN 'XX' ELSE text END) AS last FROM o GROUP BY 1"""),
@@ -527,9 +534,12 @@ j AS (SELECT dim.provider, coalesce(chosen, 0) AS chosen, coalesce(corrected, 0)
 SELECT provider, chosen, corrected, round(CASE WHEN chosen > 0 THEN corrected / chosen END, 6) AS rate, round((chosen - corrected + 45.0) / (chosen + 50), 6)::DOUBLE AS weight,
   CASE WHEN chosen >= 500 THEN 'strong' WHEN chosen >= 50 THEN 'fair' WHEN chosen >= 30 THEN 'some' ELSE 'too little' END AS evidence FROM j"""),
     "g7_repeated_mistakes": (g7_repeated_mistakes, _O + " SELECT form, language, count(*) AS n FROM occ WHERE reviewed GROUP BY 1, 2 HAVING count(*) >= 2"),
-    "g8_mistake_categories": (g8_mistake_categories, None),
-    "g9_learned_corrections": (g9_learned_corrections, _T + """, w AS (SELECT text AS rt, CASE WHEN pos % 2 = 0 THEN ' ' || translate(text, 'abcdefghij', 'ABCDEFGHIJ') ELSE reverse(text) END AS wr, recording * 1000000 + pos AS moment FROM tokens WHERE provider = 'microsoft' AND pos % 13 = 0),
-f AS (SELECT *, lower(trim(wr)) AS wf, lower(trim(rt)) AS rf FROM w), c AS (SELECT wf, rf, arg_min(rt, moment) AS rt, count(*) AS n FROM f WHERE wf <> rf GROUP BY 1, 2)
+    "g8_mistake_categories": (g8_mistake_categories, _O + ", c AS (SELECT detected, " + B.clean_sql("detected") + " AS x FROM occ WHERE reviewed), k AS (SELECT CASE WHEN len(" + B.risks_sql("x") + r""") > 0 THEN 'high_risk' WHEN regexp_matches(detected, '[0-9]') THEN 'number'
+  WHEN regexp_matches(detected, '(^|\s)\p{Lu}\S*\p{Ll}') THEN 'name' ELSE 'wording' END AS category FROM c),
+dim(category, ordinal) AS (VALUES ('high_risk', 0), ('number', 1), ('name', 2), ('wording', 3), ('speaker', 4))
+SELECT dim.category, ordinal, count(k.category) AS n FROM dim LEFT JOIN k ON dim.category = k.category GROUP BY 1, 2"""),
+    "g9_learned_corrections": (g9_learned_corrections, _T + """, w AS (SELECT text AS rt, CASE WHEN pos % 2 = 0 THEN ' ' || translate(text, 'abcdefghij', 'ABCDEFGHIJ') ELSE reverse(text) END AS wr, recording * 1000000 + pos AS moment, provider FROM tokens),
+f AS (SELECT *, lower(trim(wr)) AS wf, lower(trim(rt)) AS rf FROM w), c AS (SELECT provider, wf, rf, arg_min(rt, moment) AS rt, count(*) AS n FROM f WHERE wf <> rf GROUP BY 1, 2, 3)
 SELECT rf AS right_form, min(rt) AS term, sum(n)::BIGINT AS n, string_agg(DISTINCT wf, '|' ORDER BY wf) AS wrong_forms FROM c WHERE n >= 2 GROUP BY 1"""),
     "g10_confidence_distribution": (g10_confidence_distribution, _F + f""", dim(category) AS (VALUES ('high'), ('review_suggested'), ('review_required'), ('unresolved')), f AS (SELECT recording, {_CATEGORY} AS category FROM finals WHERE strength IS NOT NULL),
 c AS (SELECT r.recording, dim.category, count(f.category) AS n FROM (SELECT DISTINCT recording FROM f) r CROSS JOIN dim LEFT JOIN f ON f.recording = r.recording AND f.category = dim.category GROUP BY 1, 2)
@@ -547,7 +557,7 @@ c AS (SELECT recording, l, count(*) AS n, min(pos) AS first FROM l WHERE l IS NO
 SELECT w.recording, coalesce(k.l, 'en') AS language FROM (SELECT DISTINCT recording FROM words) w LEFT JOIN k ON w.recording = k.recording AND k = 1"""),
     "g21_speakers": (g21_speakers, _F + """, f AS (SELECT recording, speaker, min(pos) AS first FROM finals WHERE speaker IS NOT NULL GROUP BY 1, 2),
 p AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY first, speaker) AS place FROM f) SELECT *, (['Ann', 'Ben'])[place] AS name FROM p"""),
-    "g22_surplus_speakers": (g22_surplus_speakers, None),
+    "g22_surplus_speakers": (g22_surplus_speakers, _F + TURN_RUNS + " SELECT t.recording, t.speaker, count(*) AS n_turns FROM turns t JOIN totals o ON t.recording = o.recording AND t.speaker = o.speaker WHERE k > 2 GROUP BY 1, 2"),
     "g23_representatives": (g23_representatives, _O + """, c AS (SELECT form, language, detected, count(*) AS n, min(strength) AS least, min(recording * 1000000 + pos) AS first FROM occ GROUP BY 1, 2, 3),
 k AS (SELECT *, row_number() OVER (PARTITION BY form, language ORDER BY n DESC, least IS NULL, least, first) AS k FROM c) SELECT form, language, detected AS representative, n FROM k WHERE k = 1"""),
     "g24_review_groups": (g24_review_groups, _O + """ SELECT form, language, count(*) AS n, count(DISTINCT recording) AS n_recordings, round(min(strength), 6) AS least, round(max(strength), 6) AS most, count(*) FILTER (reviewed) AS n_reviewed,
@@ -563,12 +573,13 @@ SELECT recording, amount, count(*) AS n, max(text) AS last FROM s GROUP BY 1, 2"
   CASE provider WHEN 'elevenlabs' THEN 0 WHEN 'microsoft' THEN 3 ELSE 4 END AS r FROM tokens GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY timed > 0 DESC, CASE WHEN timed = 0 THEN -n ELSE 0 END, r) AS k FROM s) SELECT recording, provider, n, timed FROM k WHERE k = 1"""),
     "k2_winners": (k2_winners, _T + _CANDIDATES + """, o AS (SELECT *, row_number() OVER (PARTITION BY recording, pos ORDER BY score DESC, total DESC, ordinal) AS k FROM candidates)
-SELECT a.recording, a.pos, a.form AS winner, a.score, b.form AS rival, b.score AS rival_score, a.score - b.score < 0.12 AS unresolved FROM o a JOIN o b ON a.recording = b.recording AND a.pos = b.pos AND a.k = 1 AND b.k = 2"""),
+SELECT recording, pos, max(form) FILTER (k = 1) AS winner, max(score) FILTER (k = 1) AS score, max(form) FILTER (k = 2) AS rival, max(score) FILTER (k = 2) AS rival_score,
+  max(score) FILTER (k = 1) - max(score) FILTER (k = 2) < 0.12 AS unresolved FROM o WHERE k <= 2 GROUP BY 1, 2 HAVING count(*) = 2"""),
     "k3_preferred_spelling": (k3_preferred_spelling, _T + """, r AS (SELECT recording, pos, text, lower(text) AS form, length(text) % 5 = 0 AS v, regexp_matches(text, '[^\\x00-\\x7F]') AS a, round(exp(log_probability), 6) AS s,
   CASE provider WHEN 'elevenlabs' THEN 0 WHEN 'openai' THEN 1 ELSE 2 END AS k FROM tokens),
 o AS (SELECT *, row_number() OVER (PARTITION BY recording, pos, form ORDER BY v DESC, a DESC, s DESC, k) AS n FROM r)
 SELECT recording, count(*) AS n, sum(k)::BIGINT AS ordinals, max(text) AS last FROM o WHERE n = 1 GROUP BY 1"""),
-    "k4_prioritised": (k4_prioritised, _F + """, k AS (SELECT recording, pos, row_number() OVER (PARTITION BY recording ORDER BY pos % 3 DESC, "start") <= 20 AS sent FROM finals WHERE strength < 0.2)
+    "k4_prioritised": (k4_prioritised, _F + """, k AS (SELECT recording, pos, row_number() OVER (PARTITION BY recording ORDER BY pos % 3 DESC, "start") <= 200 AS sent FROM finals)
 SELECT recording, sent, count(*) AS n, sum(pos)::BIGINT AS at FROM k GROUP BY 1, 2"""),
     "k6_ordered_terms": (k6_ordered_terms, _V + """, k AS (SELECT lower(term) AS form, term, level, arrival, row_number() OVER (PARTITION BY lower(term) ORDER BY level, arrival) AS k, sum(confirmations) OVER (PARTITION BY lower(term))::BIGINT AS confirmations FROM vocab)
 SELECT form, term, level, confirmations, arrival FROM k WHERE k = 1"""),
@@ -581,7 +592,7 @@ SELECT recording, n - 1 AS last, (n * (n - 1) // 2)::BIGINT AS total FROM c"""),
     "s11_next_sequence": (s11_next_sequence, _Q + """, t AS (SELECT recording, max(request) * 3 AS top FROM requests WHERE request <= 2 GROUP BY 1),
 n AS (SELECT q.*, coalesce(top, 0) + row_number() OVER (PARTITION BY q.recording ORDER BY request, provider, purpose) AS s FROM requests q LEFT JOIN t ON q.recording = t.recording WHERE request > 2)
 SELECT recording, request, format('{:04d}-{}-{}', s, provider, purpose) AS name FROM n"""),
-    "s12_redacted": (s12_redacted, "SELECT event_id, '[redacted]' AS api_key, CASE WHEN event_id % 2 = 0 THEN '[redacted]' ELSE event_type END AS note, json_extract_string(props, '$.k') AS k FROM events"),
+    "s12_redacted": (s12_redacted, "SELECT event_id, CASE event_id % 12 WHEN 0 THEN '[redacted]' WHEN 1 THEN '[redacted]' WHEN 2 THEN event_type WHEN 3 THEN event_type WHEN 4 THEN event_type WHEN 5 THEN '[redacted]' WHEN 6 THEN event_type WHEN 7 THEN event_type ELSE '[redacted]' END AS named, CASE event_id % 5 WHEN 1 THEN event_type WHEN 3 THEN 'a' || substr(md5(event_type), 1, 30) ELSE '[redacted]' END AS valued, json_extract_string(props, '$.k') AS k FROM events"),
     "s14_export_plan": (s14_export_plan, """WITH r AS (SELECT doc_id AS recording, 'talk' || (doc_id - doc_id % 20 + doc_id % 10) AS stem FROM documents WHERE doc_id % 3 <> 0), c AS (SELECT *, count(*) OVER (PARTITION BY stem) > 1 AS clash FROM r),
 k AS (SELECT recording, clash, unnest(['text', 'report']) AS kind FROM c)
 SELECT recording, kind, CASE WHEN clash THEN 'name_clash' WHEN recording % 5 = 0 OR (kind = 'report' AND recording % 7 = 0) THEN 'not_available' WHEN recording % 11 = 0 THEN 'stale' ELSE 'export' END AS plan FROM k"""),

@@ -68,7 +68,9 @@ def w8_short_turns(spark, d):
 
 def w9_context_words(spark, d):
     f = W.context_words(B.final_tokens(spark, d), KEY)
-    return f.where("strength < 0.02").select("recording", "pos", "text", "before", "after")
+    return f.groupBy("recording").agg(
+        F.count("*").alias("n"), F.sum(F.length("before")).alias("before_chars"), F.sum(F.length("after")).alias("after_chars"), F.max("before").alias("before"), F.max("after").alias("after")
+    )
 
 
 def w10_smoothed(spark, d):
@@ -182,7 +184,7 @@ def n15_risk_shapes(spark, d):
     return w.groupBy("recording", "category").agg(F.count("*").alias("n"))
 
 
-_SHAPES = ("12%", "R500", "10:30", "2024-05-06", "05/2024", "1999", "v1.2.3", "10.1.2", "5kg", "0821234567", "abc-12", "\"3rd\",")
+_SHAPES = ("12%", "R500", "10:30", "2024-05-06", "05/2024", "1999", "v1.2.3", "10.1.2", "5kg", "0821234567", "abc-12", "\"3rd\",", "5.6", "1,500", "5-6-24", "12.5.24", "(-5", "1.000.000,5")
 
 
 def n21_clock(spark, d):
@@ -199,9 +201,9 @@ def n23_smoothing_guard(spark, d):
     t = B.turn_words(spark, d).withColumnsRenamed({"seq": "pos", "word": "text"})
     marked = t.withColumn("text", F.when(F.col("pos") % 50 == 0, F.concat(F.lit("[UNCERTAIN:_"), "text", F.lit("]"))).otherwise(F.col("text")))
     runs = W.turns(marked, KEY).withColumn("edited", F.when(F.col("turn") % 2 == 0, F.col("words")).otherwise(F.regexp_replace("words", r"\[UNCERTAIN[^\]]*\] ?", "")))
-    kept = F.size(C.meaningful_words(F.col("edited"), ("um", "uh"))) >= 0.8 * F.size(C.meaningful_words(F.col("words"), ("um", "uh")))
-    same = C.markers_in(F.col("words")) == C.markers_in(F.col("edited"))
-    return runs.groupBy("recording").agg(F.count_if(same).alias("n_markers_kept"), F.count_if(kept).alias("n_words_kept"), F.count("*").alias("n"))
+    cut = F.when(F.col("turn") % 3 == 0, F.regexp_replace("edited", r"\S+ \S+ (\S+)", "$1")).when(F.col("turn") % 5 == 0, "").otherwise(F.col("edited"))
+    problem = C.turn_problem(F.col("words"), cut, ("um", "uh"))
+    return runs.groupBy("recording", F.coalesce(problem, F.lit("none")).alias("problem")).agg(F.count("*").alias("n"), F.sum("turn").alias("turns"))
 
 
 SENTENCE_END = "regexp_matches(text, '[.!?…][\"''”’)\\]]*$')"
@@ -266,7 +268,7 @@ FROM n GROUP BY recording, concern, CASE WHEN many >= 3 THEN -run ELSE turn END"
     "w9_context_words": (w9_context_words, _F + """, c AS (
   SELECT recording, pos, text, strength, coalesce(string_agg(text, ' ') OVER (PARTITION BY recording ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS before,
     coalesce(string_agg(text, ' ') OVER (PARTITION BY recording ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), '') AS after FROM finals)
-SELECT recording, pos, text, before, after FROM c WHERE strength < 0.02"""),
+SELECT recording, count(*) AS n, sum(length(before))::BIGINT AS before_chars, sum(length(after))::BIGINT AS after_chars, max(before) AS before, max(after) AS after FROM c GROUP BY 1"""),
     "w10_smoothed": (w10_smoothed, _TIMED + """, s AS (SELECT recording, -log_probability """ + "".join(
         f" + coalesce(-{f}(log_probability, {k}) OVER w, 0) * {0.6 ** k}::DOUBLE" for k in range(1, 5) for f in ("lag", "lead")) + """ AS s
   FROM timed WINDOW w AS (PARTITION BY recording ORDER BY pos))
@@ -309,7 +311,11 @@ SELECT recording, count(*) AS n, sum(holder)::BIGINT AS holders FROM h WHERE kep
     "w19_joined_text": (w19_joined_text, _W + """, t AS (SELECT recording, pos, CASE WHEN (recording + pos) % 7 = 0 THEN ',' ELSE word END AS text FROM words),
 b AS (SELECT recording, ltrim(string_agg(CASE WHEN regexp_matches(text, '^[.,!?;:…)\\]}%”’]+$') THEN text ELSE ' ' || text END, '' ORDER BY pos)) AS body FROM t GROUP BY 1)
 SELECT recording, md5(body) AS digest, length(body) AS n_chars FROM b"""),
-    "w21_word_budget": (w21_word_budget, None),
+    "w21_word_budget": (w21_word_budget, _TURNS.replace("WITH ", "WITH RECURSIVE ", 1) + _RUNS.format(src="turn_words", pos="seq", word="word") + """, o AS (SELECT recording, turn, n_words, row_number() OVER (PARTITION BY recording ORDER BY turn) AS k FROM runs),
+walk AS (SELECT recording, turn, k, 0::BIGINT AS part, n_words AS fill FROM o WHERE k = 1
+  UNION ALL SELECT o.recording, o.turn, o.k, w.part + CASE WHEN w.fill + o.n_words <= 100 THEN 0 ELSE 1 END, CASE WHEN w.fill + o.n_words <= 100 THEN w.fill + o.n_words ELSE o.n_words END
+  FROM walk w JOIN o ON o.recording = w.recording AND o.k = w.k + 1)
+SELECT recording, turn, part FROM walk"""),
     "j13_known_span": (j13_known_span, _TIMED + """, g AS (SELECT recording, pos, CASE WHEN (recording + pos) % 4 <> 0 THEN "start" END AS s, CASE WHEN (recording + pos) % 4 <> 0 THEN "end" END AS e FROM timed),
 k AS (SELECT *, last_value(e IGNORE NULLS) OVER (PARTITION BY recording ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,
   first_value(s IGNORE NULLS) OVER (PARTITION BY recording ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM g)
@@ -336,11 +342,23 @@ SELECT recording, count(*) FILTER (regexp_matches(word, '(^|\\s)\\p{{Lu}}\\S*\\p
   count(*) FILTER (regexp_matches(word, '^\\p{{Lu}}.+$') AND regexp_matches(word, '\\p{{Ll}}')) AS n_alone,
   count(*) FILTER (regexp_matches(word, '^\\p{{Lu}}{{2,}}$') OR regexp_matches(word, '^.\\S*\\p{{Lu}}') OR (regexp_matches(word, '^\\p{{Lu}}') AND NOT first)) AS n_inside
 FROM s GROUP BY 1"""),
-    "n15_risk_shapes": (n15_risk_shapes, None),
-    "n21_clock": (n21_clock, None),
+    "n15_risk_shapes": (n15_risk_shapes, _W + ", c AS (SELECT recording, " + B.clean_sql("CASE WHEN pos % 5 = 0 THEN ([" + ", ".join(f"'{x}'" for x in _SHAPES) + f"])[(recording + pos) % {len(_SHAPES)} + 1] ELSE word END")
+    + " AS x FROM words), r AS (SELECT recording, unnest(" + B.risks_sql("x") + ") AS category FROM c) SELECT recording, category, count(*) AS n FROM r GROUP BY 1, 2"),
+    "n21_clock": (n21_clock, "WITH " + B.REQUESTS + """, s AS (SELECT recording, request, seconds * 1.37::DOUBLE AS s FROM requests), r AS (SELECT *, round_even(s, 0)::BIGINT AS r, (s * 1000)::DOUBLE AS raw FROM s),
+u AS (SELECT *, trunc(raw)::BIGINT AS b FROM r)
+SELECT recording, request, CASE WHEN r >= 3600 THEN printf('%d:%02d:%02d', r // 3600, r % 3600 // 60, r % 60) ELSE printf('%d:%02d', r // 60, r % 60) END AS clock,
+  CASE WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576) WHEN b >= 1024 THEN CASE WHEN round(b / 1024, 1) >= 1000 THEN '1,' || lpad(printf('%.1f KB', b / 1024 - 1000), 8, '0') ELSE printf('%.1f KB', b / 1024) END ELSE b || ' bytes' END AS size FROM u"""),
     "n20_gain": (n20_gain, """WITH g AS (SELECT event_id, -16.0 - (-value / 2) AS wanted, -1.0 - (-value / 10) AS room, event_id % 3 = 0 AS limiter FROM events),
 f AS (SELECT *, least(wanted, 20.0) AS first FROM g)
 SELECT event_id, round(CASE WHEN limiter THEN first ELSE least(first, room) END, 6)::DOUBLE AS gain,
   CASE WHEN NOT limiter AND room < first THEN 'peak' WHEN wanted > 20.0 THEN 'gain' ELSE 'none' END AS "limit" FROM f"""),
-    "n23_smoothing_guard": (n23_smoothing_guard, None),
+    "n23_smoothing_guard": (n23_smoothing_guard, _TURNS + ", marked_words AS (SELECT recording, seq, speaker, \"start\", \"end\", CASE WHEN seq % 50 = 0 THEN '[UNCERTAIN:_' || word || ']' ELSE word END AS word FROM turn_words)"
+    + _RUNS.format(src="marked_words", pos="seq", word="word") + r""", e AS (SELECT *, CASE WHEN turn % 2 = 0 THEN words ELSE regexp_replace(words, '\[UNCERTAIN[^\]]*\] ?', '', 'g') END AS edited FROM runs),
+c AS (SELECT *, CASE WHEN turn % 3 = 0 THEN regexp_replace(edited, '\S+ \S+ (\S+)', '\1', 'g') WHEN turn % 5 = 0 THEN '' ELSE edited END AS cut FROM e),
+m AS (SELECT *, list_sort(regexp_extract_all(words, '\[UNCERTAIN[^\]]*\]')) AS a, list_sort(regexp_extract_all(cut, '\[UNCERTAIN[^\]]*\]')) AS b,
+  list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(words, '\[UNCERTAIN[^\]]*\]', ' ', 'g'), '\p{P}', '', 'g')), '\s+'), lambda x: x NOT IN ('', 'um', 'uh'))) AS own,
+  list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(cut, '\[UNCERTAIN[^\]]*\]', ' ', 'g'), '\p{P}', '', 'g')), '\s+'), lambda x: x NOT IN ('', 'um', 'uh'))) AS kept FROM c),
+p AS (SELECT recording, turn, CASE WHEN a <> b THEN 'marker' WHEN trim(cut) = '' THEN CASE WHEN len(own) > 2 THEN 'left_out' ELSE 'none' END
+  WHEN len(own) > 0 AND len(list_intersect(own, kept)) / len(own) < 0.8 THEN 'lost_words' ELSE 'none' END AS problem FROM m)
+SELECT recording, problem, count(*) AS n, sum(turn)::BIGINT AS turns FROM p GROUP BY 1, 2"""),
 }
