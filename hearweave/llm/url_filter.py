@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearweave.llm.common import unused
+
 #: Bits of the filter for each listed URL, and the most blocks of 256 bits (8 MB) that are broadcast.
 #: A longer list fills them more, so more URLs pass to the exact join.
 BITS, MAX_BLOCKS = 16, 1 << 18
@@ -61,12 +63,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
 
     Each distinct URL is looked up once, so a URL of many rows costs no more than others. Null URLs
     and those without :// have empty host and path and fit no rule but one with an empty path and
-    host. Other columns are kept; those named as the results are replaced.
+    host. An empty table stays empty; without rules every URL has the verdict otherwise. Other columns are kept; those named as the results are replaced.
     """
     rules = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     listed = rules.select(F.col("host").alias("_host"), F.col("path").alias("_start"), F.concat("host", "path").alias("_rule"), F.col("verdict").alias("_verdict"))
     lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]
 
+    asked, answer = unused(pages, "__url"), unused(pages, "_best")
     host, path = host_and_path(F.col("__url"))
     urls = pages.select(F.col(url).alias("__url")).where(F.col("__url").isNotNull()).distinct()
     urls = urls.withColumns({"_whole": host, "_path": path})
@@ -81,12 +84,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
     candidates = candidates.select("__url", "_host", F.explode("_starts").alias("_start"))
     exact = possible(candidates, listed, "_host", "_start").join(listed, ["_host", "_start"])
     best = exact.groupBy("__url").agg(
-        F.max_by(F.struct("_rule", "_verdict"), F.struct(F.length("_rule"), "_rule")).alias("_best")
+        F.max_by(F.struct("_rule", "_verdict"), F.struct(F.length("_rule"), "_rule")).alias(answer)
     )
+    best = best.withColumnRenamed("__url", asked)
 
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(F.col(url))
-    joined = pages.select(*kept, host.alias("host"), path.alias("path")).join(best, F.col(url) == best["__url"], "left")
+    joined = pages.select(*kept, host.alias("host"), path.alias("path")).join(best, F.col(url) == F.col(asked), "left")
     return joined.select(
-        *kept, "host", "path", F.col("_best._rule").alias("rule"), F.coalesce("_best._verdict", F.lit(otherwise)).alias("verdict")
+        *kept, "host", "path", F.col(f"{answer}._rule").alias("rule"), F.coalesce(F.col(f"{answer}._verdict"), F.lit(otherwise)).alias("verdict")
     )

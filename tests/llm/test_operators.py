@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 tiktoken = pytest.importorskip("tiktoken")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -340,6 +341,26 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(hit, many).where("verdict = 'block'").count() == len(range(0, 2000, 7))
 
 
+def test_clashing_columns(spark):
+    """Columns named as what operators use inside stay as they are, or are left out."""
+    names = "__url _best _host shard block d x id _sha several first prefix bits tok grp cell0 failed numbers values part found before toxicity _key stays".split()
+    extra = [F.lit(k).alias(n) for k, n in enumerate(names)]
+    d = docs(spark, texts()[:20]).select("*", *extra)
+    for made in (token_counts.count_tokens(d, tokenizer("byte_bpe_50k.json")), secret_scan.scan_documents(d), bpe_codec.round_trip(d, tokenizer("byte_bpe_50k.tiktoken"), pattern()), jaccard_join.one_of_each(d)):
+        rows = made.select(*names).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(range(len(names)))]
+    grades = spark.createDataFrame([(k, k % 3) for k in range(20)], "doc_id long, grade int")
+    assert ordinal_quality.grade_documents(d, ordinal_quality.fit(d, grades)).select(*names).distinct().count() == 1
+    pages = d.select(F.col("doc_id").alias("page_id"), F.lit("t://a.com/en/x").alias("url"), F.col("text").alias("html"), *names)
+    judged = url_filter.judge_urls(pages, spark.createDataFrame(RULES, "verdict string, host string, path string"))
+    assert judged.where("verdict = 'block' and __url = 0 and _best = 1").count() == 20
+    assert url_filter.judge_urls(pages.limit(0), spark.createDataFrame(RULES, "verdict string, host string, path string")).count() == 0
+    assert warc_zip.archived(pages).count() == 20
+    vectors = spark.range(30).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"), *(e for n, e in zip(names, extra)))
+    assert nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=3).count() == 6
+    assert jaccard_join.near_components(d).count() == 20
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((1200, 24))
