@@ -114,7 +114,7 @@ def x4_languages(spark, d):
 
 def x5_reconcile(spark, d):
     out = reconcile.decided(reconcile.scored(_readings(spark, d)), services=3)
-    return out.groupBy("recording", "category").agg(F.count("*").alias("n"), F.count_if("unresolved").alias("n_unresolved"), F.count_if("kept").alias("n_kept"), F.round(F.sum("score"), 3).alias("score"))
+    return out.groupBy("recording", "category").agg(F.count("*").alias("n"), F.count_if("unresolved").alias("n_unresolved"), F.count_if("kept").alias("n_kept"), F.round(F.sum("score"), 6).alias("score"))
 
 
 def x7_timing(spark, d):
@@ -235,7 +235,7 @@ v AS (SELECT s.recording, s.en + CASE WHEN p.en + p.de > 0 THEN p.en / (p.en + p
 h AS (SELECT recording, CASE WHEN en + de > 0 THEN en / (en + de) ELSE 0.5 END AS share_en, CASE WHEN en + de > 0 THEN de / (en + de) ELSE 0.5 END AS share_de FROM v)
 SELECT recording, CASE WHEN share_en >= share_de THEN 'en' ELSE 'de' END AS best, count(*) AS n, round(sum(share_en), 4) AS share_en FROM h GROUP BY 1, 2"""),
     "x5_reconcile": (x5_reconcile, _T + _SCORED.format(weight=_DEFAULT, join="") + _DECIDED + """
-SELECT recording, category, count(*) AS n, count(*) FILTER (unresolved) AS n_unresolved, count(*) FILTER (kept) AS n_kept, round(sum(score), 3) AS score FROM d GROUP BY 1, 2"""),
+SELECT recording, category, count(*) AS n, count(*) FILTER (unresolved) AS n_unresolved, count(*) FILTER (kept) AS n_kept, round(sum(score), 6) AS score FROM d GROUP BY 1, 2"""),
     "x7_timing": (x7_timing, _W + """, s AS (SELECT recording, CASE WHEN recording % 4 = 0 THEN 'unaligned' WHEN pos % 3 + 1 > recording % 4 THEN 'shared'
   WHEN (recording + pos) % 5 = 0 THEN 'mapped_substitution' WHEN (recording + pos) % 7 = 0 THEN 'mapped_format' ELSE 'exact' END AS timing_status FROM words)
 SELECT recording, timing_status, count(*) AS n FROM s GROUP BY 1, 2"""),
