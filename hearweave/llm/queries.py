@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearweave.llm import bpe_codec, decontaminate, jaccard_join, nearest, ordinal_quality, secret_scan, token_counts, toxicity, url_filter, warc_zip
+from hearweave.llm import (
+    bpe_codec, decontaminate, hard_negatives, jaccard_join, nearest, ordinal_quality, secret_scan, token_counts, token_files, toxicity, url_filter, warc_zip, whitening,
+)
 
 #: URL rules of op5: verdict, host, path.
 RULES = (
@@ -83,6 +85,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_, label = F.col("id"), F.col("label")
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), id_ % 100 == 0, relabel=F.when(id_ % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.archived(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +116,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8,
         "op9_token_counts": op9,
         "op10_toxicity": op10,
+        "op11_whitening": op11,
+        "op12_hard_negatives": op12,
+        "op13_token_files": op13,
         "pipeline": pipeline,
     }
 
@@ -142,5 +160,26 @@ FROM p LEFT JOIN (SELECT * FROM fit WHERE k = 1) f ON p.page_id = f.page_id
 """
 
 
+OP12_SQL = """
+WITH rows AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.id % 100 = 0 AND a.id <> b.id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, row_number() OVER w::INT AS rank, n.id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+  AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_zip": OP2_SQL, "op5_url_filter": OP5_SQL}
+    return {"op2_warc_zip": OP2_SQL, "op5_url_filter": OP5_SQL, "op12_hard_negatives": OP12_SQL}

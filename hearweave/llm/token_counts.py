@@ -93,11 +93,17 @@ def count_tokens(
     return with_columns(docs, text, make, f"`{n_bytes}` long, `{n_tokens}` long")
 
 
-def _library(path: str):
+def loaded(path: str):
+    """The library's tokenizer of a file, without truncation and padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    return tokenizer
+
+
+def _library(path: str):
+    tokenizer = loaded(path)
     return lambda texts: [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
