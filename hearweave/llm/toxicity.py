@@ -5,9 +5,10 @@ threats), targets, intent, negation, report, quotes. An acceptor reads each clau
 found in front of it as a mark: whether somebody is addressed, and whether somebody means to act. Three
 transducers then read the marked clause as one, their composition: negation marks what stands in its
 reach, report what is told or quoted, and the pattern gives out a match for an insult, or for a threat
-with a target by somebody who means it. Weights are log odds: a match has that of its word and that of
-its context on the arc, which is learned from labels too; the matches of a text combine as independent
-evidence.
+with a target by somebody who means it. A match has the log odds of its word, and on the arc the logarithm of the factor that
+its context puts on its probability, which is learned from labels too: however sure a word is, a denied or reported match stays
+below its context's factor. Plain matches of a text combine as independent evidence; of those that are denied, reported, or threats
+that aim at nobody, only the strongest counts.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ from hearweave.llm.common import slices, stored, unused, with_columns
 
 #: Labelled rows that are learned from, at most, dealt by a hash of the text's id. They bound the lexicon.
 FIT_ROWS = 24_000
-#: Letters of learned word beginnings; expected chance terms.
+#: Letters of word beginnings that a lexicon may hold (only whole words are learned); expected chance terms.
 BEGINNINGS, CHANCE = range(4, 8), 0.02
-#: Least share of toxic texts among those with a learned term: a whole word, a beginning of words.
-PRECISION, PRECISION_BEGINNING = 0.9, 0.98
+#: Least share of toxic texts among those with a learned term.
+PRECISION = 0.9
 #: Words a negation reaches.
 REACH = 3
 #: Texts that a context weighs as much as before it has been seen; what a plain and a marked one is then taken for.
 PRIOR, PLAIN, MARKED = 4.0, 0.95, 0.4
+#: The factor of a threat of the fixed lists that has nobody for its object.
+UNAIMED = 0.4
 #: The evidence of a threat that is no learned term.
 THREATENS = math.log(9.0)
 PREDICTED = 0.7
@@ -42,18 +45,28 @@ PREDICTED = 0.7
 # Classes of words in English, German, French and Spanish; a stem ends in *.
 THREATS = (
     "kill*", "murder*", "stab*", "strangl*", "slaughter*", "shoot*", "töte*", "ermord*", "umbring*", "umzubringen", "erschieß*",
-    "erstech*", "erwürg*", "tuer", "tue", "tuerai", "assassin*", "poignard*", "étrangl*", "matar*", "mato", "asesin*", "apuñal*",
+    "erstech*", "erwürg*", "unalive*", "tuer", "tue", "tuerai", "assassin*", "poignard*", "étrangl*", "matar*", "mato", "asesin*", "apuñal*",
     "estrangul*",
 )
 HARMS = (
     "hurt*", "beat", "beaten", "beating", "destroy*", "smash*", "punch*", "burn*", "crush*", "schlag*", "verprügel*", "zerstör*",
     "vernicht*", "frapp*", "détrui*", "brûl*", "golpe*", "destru*", "quemar*",
 )
-INTENTS = ("will", "going", "gonna", "shall", "should", "i'll", "we'll", "they'll", "werde", "werden", "wird", "werdet", "vais", "allons", "vont", "voy", "vamos", "van")
+INTENTS = ("will", "going", "gonna", "shall", "should", "i'll", "we'll", "they'll", "werde", "werden", "wird", "werdet", "vais", "allons", "vont", "voy", "vamos")
 SELVES = ("i", "we", "ich", "wir", "je", "nous", "yo", "nosotros")
 TARGETS = ("you", "your", "he", "she", "they", "him", "her", "them", "du", "dich", "dir", "euch", "sie", "ihr", "tu", "te", "toi", "vous", "usted", "ustedes", "ti")
-NEGATIONS = ("not", "never", "no", "won't", "isn't", "aren't", "don't", "nicht", "kein", "keine", "nie", "pas", "jamais", "non", "nunca", "jamás")
+NEGATIONS = ("not", "never", "no", "cannot", "cant", "dont", "didnt", "wont", "nicht", "kein", "keine", "nie", "pas", "jamais", "non", "nunca", "jamás")
 REPORTS = ("said", "says", "called", "wrote", "claimed", "sagte", "sagt", "nannte", "schrieb", "dit", "appelle", "dijo", "dice", "llamó")
+# Whom a threat aims at: behind the verb, in front of it (German, French, Spanish), as an ending of it; and what makes a passive.
+OBJECTS = ("you", "yourself", "yourselves", "him", "her", "them", "your", "his", "their", "dich", "dir", "euch", "ihn", "sie", "te", "toi", "vous", "ti", "usted", "ustedes")
+OBJECTS_BEFORE = ("dich", "dir", "euch", "te", "t'", "vous", "os", "ihn")
+OBJECT_ENDINGS = ("te", "lo", "la", "los", "las", "le", "les", "os")
+PASSIVES = ("be", "been", "being", "get", "getting")
+# Phrases that wish or order a death.
+PHRASES = (
+    ("kill", "yourself"), ("kill", "yourselves"), ("hang", "yourself"), ("go", "die"), ("hope", "you", "die"), ("hope", "they", "die"), ("töte", "dich"),
+    ("bring", "dich", "um"), ("va", "mourir"), ("hoffe", "du", "stirbst"), ("ojalá", "te", "mueras"), ("vete", "a", "morir"),
+)
 QUOTES = "\"“”„«»"
 PAUSES = ","
 ENDS = ".!?;:\n"
@@ -63,6 +76,11 @@ _CLASSES = ((INTENT, INTENTS), (SELF, SELVES), (TARGET, TARGETS), (NEGATION, NEG
 _FIXED = {w: c for c, words in _CLASSES for w in words}
 _STEMS = {w.rstrip("*") + ("" if w.endswith("*") else "$"): c for c, words in ((THREAT, THREATS), (HARM, HARMS)) for w in words}
 _LONGEST = max(map(len, _STEMS))
+_PHRASES = {}
+for _phrase in PHRASES:
+    _PHRASES.setdefault(_phrase[-1], []).append(_phrase)
+#: Words between an object in front of a verb and the verb, at most.
+BETWEEN = 4
 _TOKENS = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:,\n\"“”„«»]")
 
 #: Contexts of a match, as bits: in the reach of a negation, told by somebody, in a clause that addresses
@@ -150,9 +168,8 @@ def pattern(symbols: Iterable[Symbol], weights: dict[int, float]) -> Transducer:
 
 
 def expected(context: int, toxic: float = 0.0, n: float = 0.0) -> float:
-    """The weight of a context of which toxic of n texts are: never for, only against a match."""
-    p = (toxic + PRIOR * (MARKED if context & (NEGATED | REPORTED) else PLAIN)) / (n + PRIOR)
-    return min(0.0, math.log(p / (1 - p)) - 2.0)
+    """The weight of a context of which toxic of n texts are: the logarithm of a factor, never for, only against a match."""
+    return math.log((toxic + PRIOR * (MARKED if context & (NEGATED | REPORTED) else PLAIN)) / (n + PRIOR))
 
 
 def mark_of(kinds: Iterable[int]) -> int:
@@ -161,6 +178,20 @@ def mark_of(kinds: Iterable[int]) -> int:
     return (TARGETED if TARGET in kinds else 0) | (MEANT if INTENT in kinds else 0) | (BY_SELF if SELF in kinds else 0)
 
 
+def aims(words: list[str], at: int) -> bool:
+    """Whether the threat at that place of a clause has somebody for its object: the next word, one in front of it, its ending; or it
+    is a passive of somebody."""
+    word = words[at]
+    if at + 1 < len(words) and words[at + 1] in OBJECTS:
+        return True
+    if not word.isascii() or word.endswith(("r", "en", "e")):
+        if any(w in OBJECTS_BEFORE for w in words[max(0, at - BETWEEN - 1) : at]):
+            return True
+    if any(word.endswith("r" + end) for end in OBJECT_ENDINGS):
+        return True
+    return at > 0 and words[at - 1] in PASSIVES and any(_FIXED.get(w) == TARGET for w in words[: at - 1])
+
+
 def tokens(text: str | None) -> list[str]:
     return _TOKENS.findall((text or "").lower().replace("’", "'"))
 
@@ -198,6 +229,8 @@ class Grammar:
         """The lexicon as a transducer of one state: a word's class, and the evidence of insults and threats."""
         if word in _FIXED:
             return _FIXED[word], 0.0
+        if word.endswith("n't"):
+            return NEGATION, 0.0
         own = entries(word) if self.lexicon else ()
         if found := [self.lexicon["!" + e] for e in own if "!" + e in self.lexicon]:
             return HARM, max(found)
@@ -208,29 +241,43 @@ class Grammar:
                 return _STEMS[stem], self.lexicon.get("", THREATENS)
         return OTHER, 0.0
 
-    def matches(self, words: list[str]) -> list[tuple[float, int]]:
-        """(evidence, context) of each match; the evidence is that of the word and of its context."""
-        read = list(map(self.classes.__getitem__, words))
-        if not any(evidence for _, evidence in read):
+    def read(self, words: list[str]) -> list[tuple[float, float, int, bool]]:
+        """(evidence, weight, context, aimed) of each match: the log odds of its word, the weight of its context, and whether it is no
+        threat of the fixed lists that aims at nobody."""
+        kinds = list(map(self.classes.__getitem__, words))
+        for k in (k for k, w in enumerate(words) if w in _PHRASES):
+            if any(tuple(words[k + 1 - len(p) : k + 1]) == p for p in _PHRASES[words[k]] if len(p) <= k + 1):
+                kinds[k] = INSULT, self.lexicon.get("", THREATENS)
+        if not any(evidence for _, evidence in kinds):
             return []
-        out: list[tuple[float, int]] = []
+        out: list[tuple[float, float, int, bool]] = []
         state, at = 0, 0
-        for end in [*(k for k, (kind, _) in enumerate(read) if kind == END), len(read)]:
-            clause = read[at:end]
-            _, state, _ = self.arcs[state][CLAUSE, mark_of(kind for kind, _ in clause)]
-            for word, evidence in clause:
+        for end in [*(k for k, (kind, _) in enumerate(kinds) if kind == END), len(kinds)]:
+            clause = kinds[at:end]
+            mark = mark_of(kind for kind, _ in clause) | (MEANT if any(words[k : k + 2] == ["van", "a"] for k in range(at, end)) else 0)
+            _, state, _ = self.arcs[state][CLAUSE, mark]
+            for k, (word, evidence) in enumerate(clause):
                 (kind, context), state, weight = self.arcs[state][word, 0]
                 if kind == MATCH:
-                    out.append((evidence + weight, context))
+                    fixed = word in (THREAT, HARM) and not any("!" + e in self.lexicon for e in entries(words[at + k]))
+                    out.append((evidence, weight, context, not fixed or aims(words[at:end], k)))
             at = end + 1
         return out
 
+    def matches(self, words: list[str]) -> list[tuple[float, int]]:
+        """(evidence, context) of each match; the evidence is that of the word and of its context."""
+        return [(evidence + weight, context) for evidence, weight, context, _ in self.read(words)]
+
     def score(self, text: str | None) -> float:
         """From 0 to 1; a text without a match has the labels' base rate of those."""
-        clean = 1.0 - self.base
-        for evidence, _ in self.matches(tokens(text)):
-            clean *= 1.0 - 1.0 / (1.0 + math.exp(-evidence))
-        return 1.0 - clean
+        clean, weak = 1.0 - self.base, 0.0
+        for evidence, weight, context, aimed in self.read(tokens(text)):
+            p = math.exp(weight) / (1.0 + math.exp(-evidence))
+            if context & (NEGATED | REPORTED) or not aimed:
+                weak = max(weak, p if aimed else UNAIMED * p)
+            else:
+                clean *= 1.0 - p
+        return 1.0 - clean * (1.0 - weak)
 
 
 def held_out(key: str = "doc_id"):
@@ -239,19 +286,19 @@ def held_out(key: str = "doc_id"):
 
 
 def found_entries(words: list[str]) -> set[str]:
-    """The entries that a text's words can teach: of all, and marked with ! of those in a clause that
+    """The entries that a text's words can teach, whole words only: of all, and marked with ! of those in a clause that
     addresses somebody and says who means to act."""
-    out = {entry for w in set(words) if w not in _FIXED for entry in entries(w)}
+    out = {w + "$" for w in set(words) if w not in _FIXED}
     for clause in clauses(words):
         mark = mark_of(_FIXED.get(w, OTHER) for w in clause)
         if mark & TARGETED and mark & MEANT:
-            out |= {"!" + entry for w in set(clause) if w not in _FIXED for entry in entries(w)}
+            out |= {"!" + w + "$" for w in set(clause) if w not in _FIXED}
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> Grammar:
     """Learns the lexicon and the weights of contexts from at most rows labelled rows outside the
-    held-out part.
+    held-out part, each over its whole text.
 
     A term is taken if it stands in toxic texts more often than chance explains; a threat likewise, by
     its clauses that address somebody and say who means to act, if it is no insult by itself. Texts with the
@@ -284,16 +331,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     base = toxic / total
     tried = counts.count()
     least = math.ceil(math.log(max(tried, 2) / CHANCE) / -math.log(base))
-    share = F.when(F.endswith("entry", F.lit("$")), PRECISION).otherwise(PRECISION_BEGINNING)
-    kept = counts.where((F.col("entry") != "") & (F.col("pos") >= least) & (F.col("pos") >= share * F.col("n"))).collect()
+    kept = counts.where((F.col("entry") != "") & (F.col("pos") >= least) & (F.col("pos") >= PRECISION * F.col("n"))).collect()
     lexicon = {r["entry"]: math.log((r["pos"] + 0.5) / (r["n"] - r["pos"] + 0.5)) for r in kept}
     lexicon = {"": THREATENS, **{e: v for e, v in lexicon.items() if e[0] != "!" or e[1:] not in lexicon}}
     return _with_contexts(sample, text, Grammar(lexicon, {}, base))
 
 
 def _with_contexts(sample: DataFrame, text: str, grammar: Grammar) -> Grammar:
-    """grammar with weights for contexts: how much less toxic texts are whose matches are all in
-    one context than the matches alone say. Rare contexts stay near what is expected of them. Its base is the
+    """grammar with weights for contexts: the share of toxic texts among those whose matches are all in
+    one context. Rare contexts stay near what is expected of them. Its base is the
     rate of toxic texts without a match."""
     shared = sample.sparkSession.sparkContext.broadcast(grammar)
 

@@ -5,6 +5,7 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
 import zipfile
@@ -13,6 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -549,3 +551,57 @@ def test_quality(spark):
     rows = ordinal_quality.grade_documents(docs(spark, own).where(ordinal_quality.held_out()), model).collect()
     assert sum(round(x["expected_grade"]) == x["doc_id"] % 3 for x in rows) / len(rows) > 0.8
     assert all(0 <= x["tail_probability"] <= 1 for x in rows)
+
+
+def test_toxicity_contexts_outweigh_evidence():
+    for seen in (5, 20, 100, 1000, 10**6):
+        g = toxicity.Grammar({"": 2.2, "trash$": math.log(2 * seen + 1), "!flurb$": math.log(2 * seen + 1)}, {}, 0.02)
+        assert g.score("you are trash") > 0.7 and g.score("i will flurb you") > 0.7
+        for s in ("you are not trash", "he said trash", 'they wrote "trash" and "trash"', "i will not flurb you", "not trash, never trash, no trash at all"):
+            assert g.score(s) < 0.7
+
+
+def test_toxicity_needs_an_object():
+    g = toxicity.Grammar({}, {}, 0.05)
+    harmless = (
+        "You should destroy the old backups before you leave.", "My van burned while you slept", "you will smash the record", "shall we beat the eggs until you like them",
+        "I can't kill you", "I didn't kill you", "I cannot kill you", "You shouldn't kill yourself", "Morocco is a country in Africa", "tras la puerta", "a clever disguise",
+        "the clowns came to town", "die Sonne scheint", "She said you should go die", "I will never hurt you",
+    )
+    for s in harmless:
+        assert g.score(s) < 0.7, s
+    for s in ("kill yourself", "Go die", "I hope you die", "I will unalive you", "we are going to destroy you", "you will be murdered", "Ich werde dich töten", "van a matarte, a ti"):
+        assert g.score(s) > 0.7, s
+
+
+def test_toxicity_learns_whole_words(spark):
+    own = [f"{WORDS[k % 19]} {WORDS[k % 17]} {k} " + ("morons all" if k % 4 == 0 else "morocco now" if k % 4 == 1 else "fine") for k in range(400)]
+    g = toxicity.fit(docs(spark, own), spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(400)], "doc_id long, quality int, toxic int"))
+    assert {"morons$", "all$"} <= set(g.lexicon) and all(e == "" or e.endswith("$") for e in g.lexicon)
+    assert g.score("morons") > 0.7 > g.score("morocco")
+
+
+def test_toxicity_fit_against_counts(spark):
+    """The lexicon by plain counting: texts with the same least hashed three words count once for a word."""
+    r = random.Random(17)
+    own = [" ".join(r.choice(WORDS) for _ in range(r.randint(1, 30))) + (f" {r.choice(['glub', 'snark', 'prat'])}" if r.random() < 0.4 else "") for _ in range(900)]
+    own += [own[4]] * 40 + ["word glub " * 3000]
+    y = {k: int(any(w in x for w in ("glub", "snark")) and r.random() < 0.97) for k, x in enumerate(own)}
+    g = toxicity.fit(docs(spark, own), spark.createDataFrame([(k, 1, v) for k, v in y.items()], "doc_id long, quality int, toxic int"))
+    seen: dict[tuple, int] = {}
+    for k, x in enumerate(own):
+        if zlib.crc32(str(k).encode()) % 3 == 1:
+            continue
+        words = toxicity.tokens(x)
+        sign = min((xxhash.xxh64_intdigest(" ".join(words[j : j + 3])) for j in range(max(1, len(words) - 2))), default=0)
+        for w in {*words, ""}:
+            if w not in toxicity._FIXED:
+                seen[w, sign] = max(seen.get((w, sign), 0), y[k])
+    counts: dict[str, list[int]] = {}
+    for (w, _), v in seen.items():
+        counts.setdefault(w, []).append(v)
+    base = sum(counts[""]) / len(counts[""])
+    tried = sum(len(v) > 1 or w == "" for w, v in counts.items())
+    least = math.ceil(math.log(max(tried, 2) / toxicity.CHANCE) / -math.log(base))
+    want = {w + "$" for w, v in counts.items() if w and sum(v) >= least and sum(v) >= toxicity.PRECISION * len(v)}
+    assert want and want == {e for e in g.lexicon if e}
