@@ -12,11 +12,12 @@ footer, numbers of blocks, escaped ids, documents and ids (uint64 each), MAGIC.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,10 @@ MAGIC = b"hwsimp8b"
 # Ids in a word and bits of each, by selector; a run of zeros takes none. Selector 0 is an escape.
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 240)
 BITS = (60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0)
-#: Ids of a block; a file is closed when it has this many ids; ids decoded at a time.
-BLOCK, FILE_IDS, AT_ONCE = 4_096, 1 << 23, 1 << 20
+#: Ids of a block; a file is closed when it has this many ids; ids coded at a time, and decoded.
+BLOCK, FILE_IDS, WAITING, AT_ONCE = 4_096, 1 << 23, 1 << 20, 1 << 20
+#: Most tasks that read files.
+MOST_TASKS = 20_000
 #: Files that manifest rows are summed over before the sums are summed.
 GROUP = 1_024
 
@@ -48,38 +51,50 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A word takes as many of the next ids as fit; places behind a block's end count as zeros.
     """
     n = len(ids)
-    blocks = -(-n // BLOCK)
-    padded = np.zeros((blocks, BLOCK + max(COUNTS)), np.uint64)
-    padded[:, :BLOCK].flat[:n] = ids
+    blocks, wide = -(-n // BLOCK), BLOCK + max(COUNTS)
+    padded = np.zeros((blocks, wide), np.uint64)
+    whole = n // BLOCK
+    padded[:whole, :BLOCK] = ids[: whole * BLOCK].reshape(whole, BLOCK)
+    if whole < blocks:
+        padded[whole, : n - whole * BLOCK] = ids[whole * BLOCK :]
     best = np.zeros((blocks, BLOCK), np.uint8)
-    # from the selector that holds least, so that those that hold more overwrite it
-    for s in sorted(range(1, 16), key=lambda s: COUNTS[s]):
-        over = np.zeros((blocks, padded.shape[1] + 1), np.int32)
-        np.cumsum(padded >= np.uint64(1 << BITS[s]), axis=1, out=over[:, 1:])
-        best[over[:, COUNTS[s] : COUNTS[s] + BLOCK] == over[:, :BLOCK]] = s
-    counts = np.array(COUNTS)
+    # from the selector that holds least, so that those that hold more overwrite it; where one fits nowhere, none of the next does
+    for s in range(14, -1, -1):
+        s = s or 15
+        fits = padded < np.uint64(1 << BITS[s])
+        span = 1
+        while span < COUNTS[s]:
+            step = min(span, COUNTS[s] - span)
+            fits = fits[:, : fits.shape[1] - step] & fits[:, step:]
+            span += step
+        fits = fits[:, :BLOCK]
+        if not fits.any():
+            break
+        best[fits] = s
+    # all blocks take their words side by side
+    counts = np.array(COUNTS)[best].ravel()
     ends = np.full(blocks, BLOCK)
     if blocks:
         ends[-1] = n - (blocks - 1) * BLOCK
-    starts, first = [], [0]
-    for k in range(blocks):
-        after, at, end = (np.arange(BLOCK) + counts[best[k]]).tolist(), 0, int(ends[k])
-        base = k * padded.shape[1]
-        while at < end:
-            starts.append(base + at)
-            at = after[at]
-        first.append(len(starts))
-    at = np.array(starts, np.int64)
-    flat = padded.ravel()
-    selectors = best.ravel()[at // padded.shape[1] * BLOCK + at % padded.shape[1]] if len(at) else np.zeros(0, np.uint8)
+    at, base, taken = np.zeros(blocks, np.int64), np.arange(blocks) * BLOCK, np.zeros(blocks * BLOCK, bool)
+    left = np.arange(blocks)
+    while len(left):
+        place = base[left] + at[left]
+        taken[place] = True
+        at[left] += counts[place]
+        left = left[at[left] < ends[left]]
+    starts = np.flatnonzero(taken)
+    first = np.concatenate([[0], np.cumsum(np.bincount(starts // BLOCK, minlength=blocks))]).astype(np.uint64)
+    selectors, flat = best.ravel()[starts], padded.ravel()
+    at = starts // BLOCK * wide + starts % BLOCK
     words = selectors.astype(np.uint64) << np.uint64(60)
     for s in range(1, 15):
         own = np.flatnonzero(selectors == s)
-        for k in range(COUNTS[s]):
+        for k in range(COUNTS[s] if len(own) else 0):
             words[own] |= flat[at[own] + k] << np.uint64(k * BITS[s])
     escaped = np.flatnonzero(selectors == 0)
     words[escaped] = np.arange(len(escaped), dtype=np.uint64)
-    return words, np.array(first, np.uint64), flat[at[escaped]]
+    return words, first, flat[at[escaped]]
 
 
 def decode(words: np.ndarray, escapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +106,7 @@ def decode(words: np.ndarray, escapes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for s in range(1, 15):
         own = np.flatnonzero(selectors == s)
         mask = np.uint64((1 << BITS[s]) - 1)
-        for k in range(COUNTS[s]):
+        for k in range(COUNTS[s] if len(own) else 0):
             out[at[own] + k] = (words[own] >> np.uint64(k * BITS[s])) & mask
     own = np.flatnonzero(selectors == 0)
     out[at[own]] = escapes[words[own].astype(np.int64)]
@@ -121,7 +136,7 @@ class Writer:
         self.waiting.append(ids)
         self.waits += len(ids)
         self.ids += len(ids)
-        if self.waits >= 64 * BLOCK:
+        if self.waits >= WAITING:
             self._flush(self.waits // BLOCK * BLOCK)
 
     def _flush(self, n: int) -> None:
@@ -197,59 +212,85 @@ class Reader:
 # Tokens
 
 # one run of letters, and ASCII marks behind it: two matches of the GPT-2 pattern after a space
-_PLAIN, SPACE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)"), "Ġ"
+_PLAIN, SPACE = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<marks>[!-/:-@\[-`{-~]*)$", "Ġ"
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of flat at starts, of sizes, one after the other."""
+    after = np.cumsum(sizes)
+    return flat[np.arange(after[-1] if len(after) else 0) + np.repeat(starts - (after - sizes), sizes)]
+
+
+class Known:
+    """Texts that have been encoded, and their ids in one table; make gives ids and their numbers for new texts."""
+
+    def __init__(self, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        self.make = make
+        self.clear()
+
+    def clear(self) -> None:
+        self.names, self.flat, self.ends = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def rows(self, names: pa.Array) -> np.ndarray:
+        """The row of each of names, which are all different."""
+        found = pc.index_in(names, value_set=self.names)
+        new = names.filter(found.is_null())
+        if len(new):
+            flat, sizes = self.make(new)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+            self.names = pa.concat_arrays([self.names, new])
+        rows = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        rows[rows < 0] = np.arange(len(self.names) - len(new), len(self.names))
+        return rows
+
+    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.ends[rows + 1] - self.ends[rows]
+        return gathered(self.flat, self.ends[rows], sizes), sizes
 
 
 class Ids:
     """The tokenizer library's ids of texts, each different part between single spaces encoded once for a while.
 
-    For byte-level BPE files with the GPT-2 pattern: their pre-tokens end before a space that follows no white space. A part's ids are
-    a row of one table; words of letters go straight to the library's model, all else to its whole encoder.
+    For byte-level BPE files with the GPT-2 pattern: their pre-tokens end before a space that follows no white space. Words of letters and
+    the marks behind them go straight to the library's model, all other parts to its whole encoder. Beyond bound parts all are dropped.
     """
 
     def __init__(self, path: str, bound: int = 1_000_000):
         self.library, self.bound = loaded(path), bound
-        bytes_ = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        more = iter(range(256, 512))
         # the printable stand-in of each byte, as byte-level files write it
-        self.letters = {b: chr(b) if b in bytes_ else None for b in range(256)}
-        self.letters = {b: c or chr(next(more)) for b, c in self.letters.items()}
-        self.latin = {k: "".join(self.letters[b] for b in chr(k).encode()) for k in range(0xC0, 0x250)}
-        self.clear()
-
-    def clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.table = np.zeros(1 << 20, np.uint32)
-        self.ends = [0]
-
-    def _word(self, word: str, space: str = "") -> list[int]:
-        found = self.words.get(space + word)
-        if found is None:
-            found = self.words[space + word] = [t.id for t in self.library.model.tokenize(space + word.translate(self.latin))]
-        return found
-
-    def _add(self, parts: list[str]) -> None:
-        """Gives each part, after a space, a row of the table."""
-        made, rest = [], []
-        for part in parts:
-            m = _PLAIN.fullmatch(part)
-            if m is None:
-                rest.append(part)
-                made.append(None)
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        more = iter(range(256, 512))
+        letters = [chr(b if b in printed else next(more)) for b in range(256)]
+        self.latin = {k: "".join(letters[b] for b in chr(k).encode()) for k in range(0xC0, 0x250)}
+        self.words, self.parts = Known(self._words), Known(self._parts)
+
+    def _words(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (after a space), of marks, and of other parts (after a zero), which the whole encoder takes."""
+        names = names.to_pylist()
+        others = iter(self.library.encode_batch_fast([" " + x[1:] for x in names if x[:1] == "\0"], add_special_tokens=False))
+        made, tokenize = [], self.library.model.tokenize
+        for x in names:
+            if x[:1] == "\0":
+                made.append(next(others).ids)
+            elif x[:1] == " ":
+                made.append([t.id for t in tokenize(SPACE + (x[1:] if x.isascii() else x[1:].translate(self.latin)))])
             else:
-                made.append(self._word(m[1], SPACE) + (self._word(m[2]) if m[2] else []))
-        others = iter(self.library.encode_batch_fast([" " + x for x in rest], add_special_tokens=False))
-        made = [next(others).ids if x is None else x for x in made]
-        flat = np.array([i for x in made for i in x], np.uint32)
-        at = self.ends[-1]
-        if at + len(flat) > len(self.table):
-            self.table = np.concatenate([self.table[:at], np.zeros(max(len(self.table), 2 * len(flat)), np.uint32)])
-        self.table[at : at + len(flat)] = flat
-        for part, x in zip(parts, made):
-            self.rows[part] = len(self.ends) - 1
-            at += len(x)
-            self.ends.append(at)
+                made.append([t.id for t in tokenize(x)] if x else [])
+        return np.fromiter(chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
+
+    def _parts(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, each after a space: those of a word and of its marks."""
+        cut = pc.extract_regex(names, _PLAIN)
+        plain = cut.is_valid()
+        words = pc.if_else(plain, pc.binary_join_element_wise(" ", pc.struct_field(cut, "word"), ""), pc.binary_join_element_wise("\0", names, ""))
+        marks = pc.if_else(plain, pc.struct_field(cut, "marks"), "")
+        rows = []
+        for each in (words, marks):
+            coded = each.dictionary_encode()
+            rows.append(self.words.rows(coded.dictionary)[coded.indices.to_numpy()])
+        flat, sizes = self.words.ids(np.stack(rows, axis=1).ravel())
+        return flat, sizes.reshape(-1, 2).sum(axis=1)
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
@@ -258,34 +299,31 @@ class Ids:
         parts = pc.split_pattern(texts, " ")
         whole = pc.or_(cut, pc.equal(pc.utf8_length(texts), 0)).to_numpy(zero_copy_only=False)
         # the first part has no space before it
-        heads = [x if w else p for x, w, p in zip(texts.to_pylist(), whole, pc.list_element(parts, 0).to_pylist())]
+        heads = pc.if_else(pa.array(whole), texts, pc.list_element(parts, 0)).to_pylist()
         head_ids = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(heads, add_special_tokens=False)]
-        sizes = pc.list_value_length(parts).to_numpy()
-        coded = parts.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.rows) + len(names) > self.bound:
-            self.clear()
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        codes = coded.indices.to_numpy()
+        counts = pc.list_value_length(parts).to_numpy()
+        first = np.concatenate([[0], np.cumsum(counts)])
         # parts that are asked for: neither first ones nor those of texts that are encoded whole
-        asked = np.ones(len(codes), bool)
+        asked = np.ones(first[-1], bool)
         asked[first[:-1]] = False
-        asked[np.repeat(whole, sizes)] = False
-        used = np.zeros(len(names), bool)
-        used[codes[asked]] = True
-        rows, get = np.zeros(len(names), np.int64), self.rows.get
-        found = [get(names[k], -1) for k in np.flatnonzero(used)]
-        self._add([names[k] for k, row in zip(np.flatnonzero(used), found) if row < 0])
-        rows[used] = [self.rows[names[k]] if row < 0 else row for k, row in zip(np.flatnonzero(used), found)]
-        ends = np.array(self.ends)
-        own = rows[codes]
-        n = np.where(asked, ends[own + 1] - ends[own], 0)
-        after = np.cumsum(n)
-        flat = self.table[np.arange(after[-1] if len(after) else 0) + np.repeat(ends[own] - (after - n), n)]
-        at = np.concatenate([[0], after])[first]
+        asked[np.repeat(whole, counts)] = False
+        coded = parts.flatten().filter(pa.array(asked)).dictionary_encode()
+        if len(self.parts.names) + len(coded.dictionary) > self.bound:
+            self.parts.clear()
+            self.words.clear()
+        flat, own = self.parts.ids(self.parts.rows(coded.dictionary)[coded.indices.to_numpy()])
+        sizes = np.zeros(len(asked), np.int64)
+        sizes[asked] = own
+        at = np.concatenate([[0], np.cumsum(sizes)])[first]
         return [np.concatenate([h, flat[a:b]]) for h, a, b in zip(head_ids, at[:-1], at[1:])]
 
 
+@lru_cache(maxsize=1)
+def worker_ids(path: str) -> Ids:
+    """One for all tasks of a worker."""
+    return Ids(path)
+
+
 # On Spark
 
 
@@ -363,7 +401,8 @@ def read_files(manifest: DataFrame) -> DataFrame:
                         names=["key", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return manifest.select("path", "start").repartition("path").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
+    tasks = min(max(1, manifest.count()), MOST_TASKS)
+    return manifest.select("path", "start").repartition(tasks, "path").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def archived(docs: DataFrame, tokenizer_path: str, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -373,5 +412,5 @@ def archived(docs: DataFrame, tokenizer_path: str, end: int = 0, key: str = "doc
     length are whole; repeated rows are documents of their own; an empty table gives no files and no rows. Columns
     besides key and text are not read.
     """
-    manifest = stored(write_files(docs, new_path(docs.sparkSession, "tokens"), lambda: Ids(tokenizer_path), end, key, text), "manifest")
+    manifest = stored(write_files(docs, new_path(docs.sparkSession, "tokens"), lambda: worker_ids(tokenizer_path), end, key, text), "manifest")
     return read_files(with_starts(manifest)).withColumnRenamed("key", key)
