@@ -297,7 +297,10 @@ def risk_categories(text: Column) -> Column:
     )
     found = F.array_compact(F.array(*(F.when(holds, name) for name, holds in kinds)))
     code = F.forall(F.split(text, "[-/]"), lambda x: x.rlike("^[a-z0-9]+$")) & text.rlike("[a-z]") & text.rlike("\\d")
-    return F.when(F.size(found) > 0, found).when(code, F.array(F.lit("product_code"))).otherwise(F.array().cast("array<string>"))
+    # every shape has one of these, and few words do
+    shown = text.rlike("[0-9%" + "".join(CURRENCIES) + "]")
+    kind = F.when(F.size(found) > 0, found).when(code, F.array(F.lit("product_code")))
+    return F.when(shown, F.coalesce(kind, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
 
 
 def numbers_disagree(first: Column, second: Column, first_value: Column, second_value: Column) -> Column:

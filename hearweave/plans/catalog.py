@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from hearweave.plans import catalog_doubts, catalog_jobs, catalog_review, catalog_words
+from hearweave.plans import catalog_doubts, catalog_jobs, catalog_review, catalog_whole, catalog_words
 
-ALL = {**catalog_words.QUERIES, **catalog_review.QUERIES, **catalog_jobs.QUERIES, **catalog_doubts.QUERIES}
+ALL = {**catalog_words.QUERIES, **catalog_review.QUERIES, **catalog_jobs.QUERIES, **catalog_doubts.QUERIES, **catalog_whole.QUERIES}

@@ -152,7 +152,7 @@ def x15_learned_weights(spark, d):
     r = _readings(spark, d)
     weights = A.moved_weights(A.outcome_counters(B.review_outcomes(spark, d)))
     out = K.winner_and_runner_up(reconcile.scored(r, weights), ("recording", "pos"))
-    return out.groupBy("recording").agg(F.count("*").alias("n"), F.count_if("unresolved").alias("n_unresolved"), F.round(F.sum("score"), 3).alias("score"))
+    return out.groupBy("recording").agg(F.count("*").alias("n"), F.count_if("unresolved").alias("n_unresolved"), F.round(F.sum("score"), 6).alias("score"))
 
 
 def flagship(spark, d):
@@ -249,7 +249,7 @@ k AS (SELECT p.*, t, row_number() OVER (PARTITION BY p.recording, boundary ORDER
 SELECT recording, boundary, planned, coalesce(t, planned) AS at FROM k WHERE k = 1"""),
     "x15_learned_weights": (x15_learned_weights, "WITH " + B.TOKENS + ", " + B.OUTCOMES + """, b AS (SELECT provider, greatest(0, sum(amount))::BIGINT AS chosen, sum(CASE WHEN corrected THEN amount ELSE 0 END)::BIGINT AS bad FROM outcomes GROUP BY 1),
 wt AS (SELECT provider AS p, """ + _DEFAULT + """ * ((chosen - greatest(0, least(bad, chosen)) + 45.0) / (chosen + 50)) / 0.9 AS w FROM b)""" + _SCORED.format(weight="w", join=" JOIN wt ON p = provider") + """
-SELECT a.recording, count(*) AS n, count(*) FILTER (coalesce(a.score - b.score < 0.12, false)) AS n_unresolved, round(sum(a.score), 3) AS score
+SELECT a.recording, count(*) AS n, count(*) FILTER (coalesce(a.score - b.score < 0.12, false)) AS n_unresolved, round(sum(a.score), 6) AS score
 FROM (SELECT * FROM o WHERE n = 1) a LEFT JOIN (SELECT * FROM o WHERE n = 2) b ON a.recording = b.recording AND a.pos = b.pos GROUP BY 1"""),
     "t2_live_statistics": (t2_live_statistics, "WITH " + B.OUTCOMES + """, b AS (SELECT provider, amount, corrected, unnest(list_filter(['overall', 'vocabulary:' || category, CASE WHEN is_numeric THEN 'numeric:yes' END,
     CASE WHEN is_proper_noun THEN 'proper_noun:yes' END, 'language:' || language], lambda x: x IS NOT NULL)) AS bucket FROM outcomes),
