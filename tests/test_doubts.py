@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearweave.functions import columns as C
 from hearweave.functions import forms as N
 from hearweave.operators import alignment
-from hearweave.plans import risks, speakers, whole
+from hearweave.plans import reconcile, risks, speakers, whole
 
 
 def _column(spark, values, f, kind="string"):
@@ -189,3 +189,37 @@ def test_full_job(spark):
     assert [out[k]["text"] for k in range(len(said))] == said and all(x["kept"] for x in out.values())
     assert out[0]["category"] == "high" and out[0]["timing_status"] == "exact" and out[0]["speaker"] == "s0" and out[0]["language"] == "en"
     assert "proper_name_disagreement" in out[7]["reasons"]
+
+
+def test_words_put_in(spark):
+    said = "we should sign the contract tomorrow in Bosch street".split()
+    more = said[:3] + ["really"] + said[3:] + ["please", "please"]
+    rows = []
+    for provider, words in (("elevenlabs", said), ("openai", more), ("microsoft", [*more[:-1], "um"])):
+        rows += [(1, provider, k, w, w.lower(), k * 1.0, k + 0.8, "s0", -0.05 if w != "um" else -3.0, "en") for k, w in enumerate(words)]
+    t = spark.createDataFrame(rows, "recording long, provider string, pos long, text string, form string, start double, end double, speaker string, log_probability double, language string")
+    out = sorted(((x["pos"], x["inserted"], x["text"], x["kept"], x["start"], x["end"]) for x in whole.full_job(t, "elevenlabs").collect()))
+    assert [x[2] for x in out if x[1] == 0] == said
+    put = [x[:4] for x in out if x[1]]
+    assert put[0] == (2, 1, "really", True) and put[1][:3] == (8, 1, "please") and put[1][3]
+    assert sorted(x[2] for x in put[2:]) == ["please", "um"] and not [x for x in put[2:] if x[2] == "um"][0][3]
+    assert [x[4:] for x in out if x[2] == "really"] == [(2.8, 3.0)]
+
+
+def test_readings_join_the_first_equivalent(spark):
+    r = random.Random(5)
+    texts = ["Jurgen", "Jürgen", "Juergen", "jurgen,", "25", "twenty-five", "Bosch"]
+    rows = [(k, j, f"p{j}", r.choice(texts)) for k in range(150) for j in range(r.randint(1, 5))]
+    readings = N.with_forms(spark.createDataFrame(rows, "recording long, k long, provider string, text string"), "text").withColumn("pos", F.lit(0))
+    got = {(x["recording"], x["k"]): x["form"] for x in reconcile.by_first_equivalent(readings.select("recording", "pos", "k", "provider", "text", "norm", "norm_dropped", "german"), "k").collect()}
+    differs = 0
+    for k in range(150):
+        groups = []
+        for _, j, _, text in (x for x in rows if x[0] == k):
+            f = N.all_forms(text)
+            home = next((g for g in groups if g[6] == f[6] or ((g[8] or f[8]) and g[7] == f[7])), None)
+            if home is None:
+                groups.append(home := f)
+            assert got[k, j] == home[6]
+            differs += home[6] != f[6]
+    assert differs and len(got) == len(rows)
