@@ -109,6 +109,24 @@ def test_risks_by_context(spark):
             assert near.get((k, i), set()) == _risks(data[a : i + 4], keywords)[i - a], (words, i)
 
 
+def test_risk_of_candidates(spark):
+    """Each reading is put in among the words in turn; a reading beside no known word stands alone."""
+    r = random.Random(2)
+    kinds = {"rand": (False, None), "may": (False, None), "five": (True, 5), "one": (True, 1), "12": (True, 12), "1999": (True, 1999), "first": (False, None), "fifteenth": (False, None), "am": (False, None), "word": (False, None)}
+    keywords = [("rand", "money", True), ("may", "date", False)]
+    texts = [[r.choice(list(kinds)) for _ in range(r.randint(1, 12))] for _ in range(60)]
+    said = [(k, i, r.choice(list(kinds))) for k, words in enumerate(texts) for i in range(len(words)) for _ in range(2)] + [(99, 0, "five"), (99, 1, "word")]
+    words = spark.createDataFrame([(k, i, w, kinds[w][1]) for k, ws in enumerate(texts) for i, w in enumerate(ws)], "recording long, pos long, text string, number_value long")
+    candidates = spark.createDataFrame([(n, *x, kinds[x[2]][1]) for n, x in enumerate(said)], "n long, recording long, pos long, text string, number_value long")
+    kw = spark.createDataFrame(keywords, "word string, category string, needs_number boolean")
+    got = {x["n"]: x["risks"] for x in risks.of_candidates(candidates, words, kw).collect()}
+    assert len(got) == len(said)
+    for n, (k, i, w) in enumerate(said):
+        around = [*texts[k][max(0, i - 3) : i], w, *texts[k][i + 1 : i + 4]] if k < 99 else [w]
+        want = _risks([(x, *kinds[x]) for x in around], keywords)[min(i, 3) if k < 99 else 0]
+        assert set(got[n]) == want and len(got[n]) == len(want), (around, w)
+
+
 def test_ordinals(spark):
     want = {"fifteenth": "high", "ersten": "low", "zwölften": "high", "zwoelfte": "high", "einundzwanzigsten": "high", "twenty-first": "high", "een-en-twintigste": "high", "second": "low", "achten": "low", "forest": None, "achtzehnte": "high"}
     assert _column(spark, want, risks.ordinal_rank) == list(want.values())
@@ -191,6 +209,22 @@ def test_full_job(spark):
     assert "proper_name_disagreement" in out[7]["reasons"]
 
 
+def test_full_job_knows_risks_by_context(spark):
+    """A contested word between an amount and its currency is risky only with keywords; numbers that differ are told."""
+    heard = {"elevenlabs": "we paid fifteen cool rand then", "openai": "we paid fifteen cool rand then", "microsoft": "we paid fifty kool rand then"}
+    rows = []
+    for provider, text in heard.items():
+        rows += [(1, provider, k, w, w.lower(), k * 1.0, k + 0.8, "s0", -0.05, "en") for k, w in enumerate(text.split())]
+    t = spark.createDataFrame(rows, "recording long, provider string, pos long, text string, form string, start double, end double, speaker string, log_probability double, language string")
+    kw = spark.createDataFrame([("rand", "money", True)], "word string, category string, needs_number boolean")
+    plain = {x["pos"]: x for x in whole.full_job(t, "elevenlabs").collect()}
+    near = {x["pos"]: x for x in whole.full_job(t, "elevenlabs", keywords=kw).collect()}
+    assert [near[k]["text"] for k in range(6)] == heard["elevenlabs"].split()
+    assert plain[3]["category"] != "unresolved" and near[3]["category"] == "unresolved" and "high_risk_entity" in near[3]["reasons"]
+    assert near[2]["category"] == "unresolved" and {"high_risk_entity", "numeric_disagreement"} <= set(near[2]["reasons"]) and "numeric_disagreement" not in near[3]["reasons"]
+    assert "high_risk_entity" not in near[4]["reasons"] and near[5]["category"] == plain[5]["category"]
+
+
 def test_words_put_in(spark):
     said = "we should sign the contract tomorrow in Bosch street".split()
     more = said[:3] + ["really"] + said[3:] + ["please", "please"]
