@@ -13,7 +13,7 @@ from hearweave.operators import matching
 from hearweave.operators import topk as K
 from hearweave.operators import windows as W
 from hearweave.plans import bindings as B
-from hearweave.plans import reconcile, stitch
+from hearweave.plans import chunks, reconcile, stitch
 from hearweave.sources import files, responses
 from hearweave.sources.shared import shared_folder
 from hearweave.streaming import jobs
@@ -148,6 +148,15 @@ def x12_chunk_plan(spark, d):
     return reconcile.chunk_plan(B.levels(spark, d), 86400.0 * 5, 7200.0)
 
 
+def x12_chunks(spark, d):
+    """Recordings of more than twelve days cut about every five, with loud events in the overlaps, and halved to at most a million bytes."""
+    # parts of 10 ms, and halves rounded up, as no two engines round the same halves alike
+    levels = B.levels(spark, d).withColumn("t", F.floor(F.col("t") * 100) / 100)
+    planned = chunks.chunks(levels, 1036800.0, 432000.0, 7200.0, 3600.0, (3600.0, 86400.0), 1800.0, 7200.0)
+    out = chunks.halved(planned.withColumn("bytes_per_second", 1.0 + F.col("recording") % 7), 3600.0, 1e6)
+    return out.select("recording", "chunk", *((F.floor(F.col(c) * 1000 + 0.5) / 1000).alias(c) for c in ("start", "end", "overlap")), "fits")
+
+
 def x15_learned_weights(spark, d):
     r = _readings(spark, d)
     weights = A.moved_weights(A.outcome_counters(B.review_outcomes(spark, d)))
@@ -247,6 +256,26 @@ p AS (SELECT recording, b AS boundary, round(b * d / n, 6) AS planned FROM e, un
 k AS (SELECT p.*, t, row_number() OVER (PARTITION BY p.recording, boundary ORDER BY round(level, 1), round(abs(t - planned), 6), t) AS k
   FROM p LEFT JOIN levels l ON p.recording = l.recording AND round(abs(t - planned), 6) <= 7200)
 SELECT recording, boundary, planned, coalesce(t, planned) AS at FROM k WHERE k = 1"""),
+    "x12_chunks": (x12_chunks, "WITH RECURSIVE " + B.LEVELS + """, lv AS (SELECT recording, floor(t * 100) / 100 AS t, level FROM levels),
+e AS (SELECT recording, max(t) AS d, ceil(max(t) / 432000.0)::BIGINT AS n FROM lv GROUP BY 1),
+l AS (SELECT lv.*, d FROM lv JOIN e ON lv.recording = e.recording WHERE d > 1036800),
+p AS (SELECT recording, d, b AS boundary, round(b * d / n, 6) AS planned FROM e, unnest(range(1, n)) u(b) WHERE d > 1036800),
+k AS (SELECT p.*, t, row_number() OVER (PARTITION BY p.recording, boundary ORDER BY round(level, 1), round(abs(t - planned), 6), t) AS k
+  FROM p LEFT JOIN l ON p.recording = l.recording AND round(abs(t - planned), 6) <= 7200),
+b AS (SELECT recording, d, boundary, planned, coalesce(t, planned) AS place FROM k WHERE k = 1),
+h AS (SELECT recording, 0::BIGINT AS chunk, 0::DOUBLE AS place FROM e UNION ALL
+  SELECT b.recording, boundary, least(greatest(b.place, h.place + 3600), planned + 7200, d - 3600) FROM h JOIN b ON h.recording = b.recording AND boundary = chunk + 1
+  WHERE d - planned > 3600 AND least(greatest(b.place, h.place + 3600), planned + 7200, d - 3600) > h.place),
+v AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY level) AS r, count(*) OVER (PARTITION BY recording) AS m FROM l),
+s AS (SELECT recording, level AS speech FROM v WHERE r = least(m, floor(m * 0.9::DOUBLE)::BIGINT + 1)),
+w AS (SELECT h.recording, chunk, place - t AS far, row_number() OVER (PARTITION BY h.recording, chunk ORDER BY t DESC) AS r FROM h JOIN l ON h.recording = l.recording JOIN s ON h.recording = s.recording
+  WHERE chunk > 0 AND level > speech - 20 AND t >= place - 86400 AND t < place),
+o AS (SELECT h.recording, h.chunk, place, CASE WHEN h.chunk = 0 THEN 0 ELSE least(place, 86400, greatest(3600, coalesce(max(far), 3600))) END AS overlap FROM h LEFT JOIN w ON h.recording = w.recording AND h.chunk = w.chunk AND r <= 4 GROUP BY 1, 2, 3),
+c AS (SELECT o.recording, chunk, '' AS path, place - overlap AS a, coalesce(lead(place) OVER (PARTITION BY o.recording ORDER BY chunk), d) AS z, overlap FROM o JOIN e ON o.recording = e.recording),
+g AS (SELECT * FROM c UNION ALL SELECT recording, chunk, path || half, CASE half WHEN 0 THEN a ELSE (a + z) / 2 - least(3600, (z - a) / 4) END, CASE half WHEN 0 THEN (a + z) / 2 ELSE z END,
+  CASE half WHEN 0 THEN overlap ELSE least(3600, (z - a) / 4) END FROM g, (SELECT unnest([0, 1]) AS half) t WHERE (z - a) * (1 + recording % 7) > 1e6 AND z - a > 1)
+SELECT recording, row_number() OVER (PARTITION BY recording ORDER BY chunk, path) - 1 AS chunk, floor(a * 1000 + 0.5) / 1000 AS start, floor(z * 1000 + 0.5) / 1000 AS end, floor(overlap * 1000 + 0.5) / 1000 AS overlap, (z - a) * (1 + recording % 7) <= 1e6 AS fits
+FROM g WHERE NOT ((z - a) * (1 + recording % 7) > 1e6 AND z - a > 1)"""),
     "x15_learned_weights": (x15_learned_weights, "WITH " + B.TOKENS + ", " + B.OUTCOMES + """, b AS (SELECT provider, greatest(0, sum(amount))::BIGINT AS chosen, sum(CASE WHEN corrected THEN amount ELSE 0 END)::BIGINT AS bad FROM outcomes GROUP BY 1),
 wt AS (SELECT provider AS p, """ + _DEFAULT + """ * ((chosen - greatest(0, least(bad, chosen)) + 45.0) / (chosen + 50)) / 0.9 AS w FROM b)""" + _SCORED.format(weight="w", join=" JOIN wt ON p = provider") + """
 SELECT a.recording, count(*) AS n, count(*) FILTER (coalesce(a.score - b.score < 0.12, false)) AS n_unresolved, round(sum(a.score), 6) AS score
