@@ -181,6 +181,17 @@ def clock(seconds: Column) -> Column:
     return F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)).otherwise(short)
 
 
+def spoken_duration(seconds: Column) -> Column:
+    """A duration in words, without parts that are zero; "Unknown" for null."""
+    s = F.bround(F.greatest(seconds, F.lit(0.0)), 0).cast("long")
+
+    def part(n: Column, unit: str) -> Column:
+        return F.when(n == 1, f"1 {unit}").when(n > 1, F.concat(n.cast("string"), F.lit(f" {unit}s")))
+
+    said = F.concat_ws(" ", part(F.floor(s / 3600), "hour"), part(F.floor(s % 3600 / 60), "minute"), part(s % 60, "second"))
+    return F.when(seconds.isNull(), "Unknown").when(s == 0, "0 seconds").otherwise(said)
+
+
 def file_size(n: Column) -> Column:
     """Bytes in units of 1024, with one decimal from kilobytes on."""
     out = F.concat(n.cast("string"), F.lit(" bytes"))

@@ -13,7 +13,7 @@ from hearweave.operators import matching
 from hearweave.operators import topk as K
 from hearweave.operators import windows as W
 from hearweave.plans import bindings as B
-from hearweave.plans import chunks, reconcile, stitch
+from hearweave.plans import chunks, reconcile, renderings, stitch
 from hearweave.sources import files, responses
 from hearweave.sources.shared import shared_folder
 from hearweave.streaming import jobs
@@ -157,6 +157,43 @@ def x12_chunks(spark, d):
     return out.select("recording", "chunk", *((F.floor(F.col(c) * 1000 + 0.5) / 1000).alias(c) for c in ("start", "end", "overlap")), "fits")
 
 
+def _shown(lines):
+    """How many lines with a mark a text has, and its words; where lines break is left to tests, as SQL cannot wrap."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*renderings.ORDER, "line"))), lambda x: x["line"])
+    marked = F.count_if(F.col("line").startswith("[") | F.col("line").endswith(":")).alias("n")
+    return lines.groupBy("recording").agg(marked, F.md5(F.regexp_replace(F.array_join(ordered, ""), "[ -]", "")).alias("words"))
+
+
+def _headers(spark, d):
+    c = B.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("recording")).agg(F.max("turn").alias("last"))
+    n = F.col("recording") % 4
+    services = F.slice(F.array(F.lit("One"), F.lit("Two"), F.lit("Three")), F.lit(1), n.cast("int"))
+    return c.select(
+        "recording", F.concat(F.lit("call "), "recording").alias("name"), F.when(n != 1, F.col("last") * 300.0).alias("duration"), F.when(n == 2, "2026-08-17T10:04:00").alias("transcribed"),
+        services.alias("services"), F.when(n == 3, "m1").alias("model"),
+    )
+
+
+def w20_plain_text(spark, d):
+    """The literal text of each conversation, as it is written to its file."""
+    q = F.col("seq")
+    w = B.turn_words(spark, d).select(
+        "recording", q.alias("pos"), F.regexp_replace("word", ":$", "").alias("text"), F.when(q % 5 > 0, F.col("start") * 30).alias("start"), F.when(q % 3 > 0, F.col("speaker")).alias("speaker")
+    )
+    names = B.table(spark, d, "conversations").where("conv_id % 2 = 0 and role = 'user'").select(F.col("conv_id").alias("recording"), F.col("role").alias("speaker"), F.lit("Anna").alias("name")).distinct()
+    return _shown(renderings.plain_lines(w, _headers(spark, d), names))
+
+
+def w22_smooth_text(spark, d):
+    """The edited text of each conversation: every fifth turn is dropped, and some parts have a warning."""
+    c = B.table(spark, d, "conversations").where("text is not null")
+    part = F.floor(F.col("turn") / 3)
+    text = F.when((F.col("conv_id") + F.col("turn")) % 5 > 0, F.regexp_replace("text", "[:\\s]+", " ")).otherwise("")
+    t = c.select(F.col("conv_id").alias("recording"), part.alias("part"), F.col("turn").alias("number"), F.col("role").alias("speaker"), text.alias("text"))
+    warned = t.where((F.col("recording") + F.col("part")) % 4 == 0).select("recording", "part").distinct().withColumn("warning", F.lit("kept as spoken"))
+    return _shown(renderings.smooth_lines(t, _headers(spark, d), warned))
+
+
 def x15_learned_weights(spark, d):
     r = _readings(spark, d)
     weights = A.moved_weights(A.outcome_counters(B.review_outcomes(spark, d)))
@@ -218,6 +255,8 @@ q AS (SELECT *, rival IS NOT NULL AND (score - rival < 0.12 OR risky) AS unresol
 d AS (SELECT *, CASE WHEN unresolved THEN 'unresolved' WHEN strength >= 0.78 THEN 'high' WHEN strength >= 0.55 THEN 'review_suggested' WHEN strength >= 0.3 THEN 'review_required' ELSE 'unresolved' END AS category FROM q)"""
 _DEFAULT = "CASE provider WHEN 'openai' THEN 1.0 WHEN 'elevenlabs' THEN 0.95 ELSE 0.9 END::DOUBLE"
 
+_HEADERS = """, heads AS (SELECT conv_id AS recording, 'call ' || conv_id AS name, CASE WHEN conv_id % 4 <> 1 THEN (max(turn) * 300)::BIGINT END AS d FROM conversations GROUP BY 1)"""
+
 QUERIES = {
     "flagship": (flagship, _T + _SCORED.format(weight=_DEFAULT, join="") + _DECIDED + """, dim(category) AS (VALUES ('high'), ('review_suggested'), ('review_required'), ('unresolved')),
 g AS (SELECT r.recording, dim.category, count(d.category) AS n FROM (SELECT DISTINCT recording FROM d WHERE kept) r CROSS JOIN dim LEFT JOIN (SELECT * FROM d WHERE kept) d ON d.recording = r.recording AND d.category = dim.category GROUP BY 1, 2)
@@ -276,6 +315,24 @@ g AS (SELECT * FROM c UNION ALL SELECT recording, chunk, path || half, CASE half
   CASE half WHEN 0 THEN overlap ELSE least(3600, (z - a) / 4) END FROM g, (SELECT unnest([0, 1]) AS half) t WHERE (z - a) * (1 + recording % 7) > 1e6 AND z - a > 1)
 SELECT recording, row_number() OVER (PARTITION BY recording ORDER BY chunk, path) - 1 AS chunk, floor(a * 1000 + 0.5) / 1000 AS start, floor(z * 1000 + 0.5) / 1000 AS end, floor(overlap * 1000 + 0.5) / 1000 AS overlap, (z - a) * (1 + recording % 7) <= 1e6 AS fits
 FROM g WHERE NOT ((z - a) * (1 + recording % 7) > 1e6 AND z - a > 1)"""),
+    "w20_plain_text": (w20_plain_text, "WITH " + B.TURNS + _HEADERS + """, w AS (SELECT recording, seq, regexp_replace(word, ':$', '') AS text, CASE WHEN seq % 5 > 0 THEN "start" * 30 END AS s, CASE WHEN seq % 3 > 0 THEN speaker END AS who FROM turn_words),
+c AS (SELECT *, coalesce(who, last_value(who IGNORE NULLS) OVER (PARTITION BY recording ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS speaker FROM w),
+m AS (SELECT *, CASE WHEN row_number() OVER o = 1 OR speaker IS DISTINCT FROM lag(speaker) OVER o THEN 1 ELSE 0 END AS new FROM c WINDOW o AS (PARTITION BY recording ORDER BY seq)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY recording ORDER BY seq) AS turn FROM m),
+t AS (SELECT recording, turn, first(speaker ORDER BY seq) AS speaker, list(s ORDER BY seq)[1] AS s, string_agg(text, '' ORDER BY seq) AS body FROM n GROUP BY 1, 2),
+x AS (SELECT *, round_even(s, 0)::BIGINT AS r FROM t WHERE body <> ''),
+b AS (SELECT recording, count(*) AS n, string_agg('[' || CASE WHEN r IS NULL THEN '--:--' WHEN r >= 3600 THEN printf('%d:%02d:%02d', r // 3600, r % 3600 // 60, r % 60) ELSE printf('%d:%02d', r // 60, r % 60) END || '] '
+  || CASE WHEN speaker IS NULL THEN 'Unknown speaker' WHEN recording % 2 = 0 AND speaker = 'user' THEN 'Anna' ELSE 'Speaker ' || speaker END || ':' || body, '' ORDER BY turn) AS body FROM x GROUP BY 1)
+SELECT h.recording, coalesce(n, 0) AS n, md5(replace(replace('Recording: ' || name || coalesce('Length: ' || CASE WHEN d >= 3600 THEN printf('%d:%02d:%02d', d // 3600, d % 3600 // 60, d % 60) ELSE printf('%d:%02d', d // 60, d % 60) END, '')
+  || CASE WHEN h.recording % 4 = 2 THEN 'Transcribed: 17 August 2026 at 10:04' ELSE '' END || 'Services: ' || ['none', 'One', 'One and Two', 'One, Two and Three'][h.recording % 4 + 1]
+  || coalesce(body, CASE WHEN h.recording IN (SELECT recording FROM w) THEN '' ELSE 'This recording produced no words.' END), ' ', ''), '-', '')) AS words FROM heads h LEFT JOIN b ON h.recording = b.recording"""),
+    "w22_smooth_text": (w22_smooth_text, "WITH none AS (SELECT 1)" + _HEADERS + """, t AS (SELECT conv_id AS recording, turn // 3 AS part, turn, role, CASE WHEN (conv_id + turn) % 5 > 0 THEN regexp_replace(text, '[:\\s]+', ' ', 'g') ELSE '' END AS text FROM conversations WHERE text IS NOT NULL),
+a AS (SELECT recording, part, 1 AS k, turn, role, text FROM t WHERE text <> '' UNION ALL
+  SELECT DISTINCT recording, part, 0, 0, NULL, '[WARNING: kept as spoken]' FROM t WHERE (recording + part) % 4 = 0),
+b AS (SELECT *, k = 0 OR lag(k) OVER o IS DISTINCT FROM 1 OR role IS DISTINCT FROM lag(role) OVER o AS new FROM a WINDOW o AS (PARTITION BY recording ORDER BY part, k, turn)),
+c AS (SELECT recording, count(*) FILTER (new) AS n, string_agg(CASE WHEN new AND k = 1 THEN role || ':' ELSE '' END || text, '' ORDER BY part, k, turn) AS body FROM b GROUP BY 1)
+SELECT h.recording, coalesce(n, 0) AS n, md5(replace(replace('Recording: ' || name || 'Edited' || CASE WHEN h.recording % 4 = 3 THEN ' by m1' ELSE '' END || ' for easy reading. transcript.txt holds the literal words.' || coalesce(body, ''), ' ', ''), '-', '')) AS words
+FROM heads h LEFT JOIN c ON h.recording = c.recording"""),
     "x15_learned_weights": (x15_learned_weights, "WITH " + B.TOKENS + ", " + B.OUTCOMES + """, b AS (SELECT provider, greatest(0, sum(amount))::BIGINT AS chosen, sum(CASE WHEN corrected THEN amount ELSE 0 END)::BIGINT AS bad FROM outcomes GROUP BY 1),
 wt AS (SELECT provider AS p, """ + _DEFAULT + """ * ((chosen - greatest(0, least(bad, chosen)) + 45.0) / (chosen + 50)) / 0.9 AS w FROM b)""" + _SCORED.format(weight="w", join=" JOIN wt ON p = provider") + """
 SELECT a.recording, count(*) AS n, count(*) FILTER (coalesce(a.score - b.score < 0.12, false)) AS n_unresolved, round(sum(a.score), 6) AS score
