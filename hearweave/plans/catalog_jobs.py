@@ -140,8 +140,10 @@ def j12_rematch(spark, d):
 
 def x11_windows(spark, d):
     f = B.final_tokens(spark, d).where(C.category_for(F.col("strength")).isin("review_required", "unresolved"))
-    out = reconcile.escalation_windows(f.select("recording", F.col("pos").alias("dispute"), "start", "end", (F.col("pos") % 10 == 0).alias("third")))
-    return out.select("recording", F.col("window").cast("long").alias("window"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "n_disputes", "third")
+    windows = reconcile.escalation_windows(f.select("recording", F.col("pos").alias("dispute"), "start", "end", (F.col("pos") % 10 == 0).alias("third")))
+    enabled = B.table(spark, d, "documents").select(F.col("doc_id").alias("recording"), (F.col("doc_id") % 3 > 0).alias("enabled"))
+    out = reconcile.window_requests(windows, "primary", "fallback", enabled)
+    return out.select("recording", F.col("window").cast("long").alias("window"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "n_disputes", "third", "model", "strength")
 
 
 def x12_chunk_plan(spark, d):

@@ -126,6 +126,15 @@ def test_escalation_windows(spark):
     assert got == [(0.0, 14.0, 2, True), (25.0, 36.0, 1, False), (33.0, 100.0, 1, False)]
 
 
+def test_window_requests(spark):
+    rows = [(1, 0, True), (1, 1, False), (2, 0, True), (3, 0, True), (1, 2, None)]
+    on = spark.createDataFrame([(1, True), (1, True), (2, False)], "recording long, enabled boolean")
+    out = reconcile.window_requests(spark.createDataFrame(rows, "recording long, window long, third boolean"), "p", "f", on)
+    got = {(x["recording"], x["window"]): (x["model"], x["strength"]) for x in out.collect()}
+    decides = ("p", "deciding")
+    assert got == {(1, 0): ("f", "informing"), (1, 1): decides, (2, 0): decides, (3, 0): decides, (1, 2): decides} and out.count() == len(rows)
+
+
 def test_high_risk_is_never_settled(spark):
     rows = [(1, 0, "openai", "R500", "r500", 0.99, 1.0, True, "none", 1.0), (1, 0, "deepgram", "R600", "r600", 0.05, 0.1, False, "none", 1.0)]
     r = spark.createDataFrame(rows, "recording long, pos long, provider string, text string, form string, acoustic double, quality double, is_backbone boolean, vocabulary string, language_weight double")
