@@ -62,8 +62,8 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds BATCH_ROWS rows and about BATCH_BYTES of column at most
+def slices(batches: Iterable[pa.RecordBatch], column: str, most_rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each holds most_rows rows and about most_bytes of column at most
     (one row may be larger)."""
     for batch in batches:
         start, size = 0, 0
@@ -71,7 +71,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Record
         measure = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
         lengths = pc.fill_null(measure(values), 0).to_pylist()
         for k, n in enumerate(lengths):
-            if k > start and (size + n > BATCH_BYTES or k - start >= BATCH_ROWS):
+            if k > start and (size + n > most_bytes or k - start >= most_rows):
                 yield batch.slice(start, k - start)
                 start, size = k, 0
             size += n

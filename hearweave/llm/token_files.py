@@ -12,6 +12,7 @@ footer, numbers of blocks, escaped ids, documents and ids (uint64 each), MAGIC.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearweave.llm.common import BATCH_BYTES, new_path, slices, stored
+from hearweave.llm.common import new_path, slices, stored
 from hearweave.llm.token_counts import loaded
 from hearweave.llm.warc_zip import Ranges, opened
 
@@ -36,6 +37,8 @@ COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 240)
 BITS = (60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0)
 #: Ids of a block; a file is closed when it has this many ids; ids coded at a time, and decoded.
 BLOCK, FILE_IDS, WAITING, AT_ONCE = 4_096, 1 << 23, 1 << 20, 1 << 20
+#: Rows and bytes of text that are encoded at a time: the known parts are indexed anew each time.
+ENCODED_ROWS, ENCODED_BYTES = 10_000, 16 << 20
 #: Most tasks that read files.
 MOST_TASKS = 20_000
 #: Files that manifest rows are summed over before the sums are summed.
@@ -57,11 +60,13 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded[:whole, :BLOCK] = ids[: whole * BLOCK].reshape(whole, BLOCK)
     if whole < blocks:
         padded[whole, : n - whole * BLOCK] = ids[whole * BLOCK :]
+    # compared in as few bytes as they need
+    narrow = padded.astype(np.min_scalar_type(ids.max(initial=0)))
     best = np.zeros((blocks, BLOCK), np.uint8)
     # from the selector that holds least, so that those that hold more overwrite it; where one fits nowhere, none of the next does
     for s in range(14, -1, -1):
         s = s or 15
-        fits = padded < np.uint64(1 << BITS[s])
+        fits = narrow < 1 << BITS[s]
         span = 1
         while span < COUNTS[s]:
             step = min(span, COUNTS[s] - span)
@@ -70,7 +75,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         fits = fits[:, :BLOCK]
         if not fits.any():
             break
-        best[fits] = s
+        np.copyto(best, np.uint8(s), where=fits)
     # all blocks take their words side by side
     counts = np.array(COUNTS)[best].ravel()
     ends = np.full(blocks, BLOCK)
@@ -211,8 +216,13 @@ class Reader:
 
 # Tokens
 
-# one run of letters, and ASCII marks behind it: two matches of the GPT-2 pattern after a space
-_PLAIN, SPACE = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<marks>[!-/:-@\[-`{-~]*)$", "Ġ"
+# Letters, then ASCII marks, and more of both behind single line ends: each run, with the space before it, is a match of the GPT-2 pattern
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~"
+_PLAIN = rf"^[{_LETTERS}]+[{_MARKS}]*(\n[{_LETTERS}]+[{_MARKS}]*)*$"
+# bytes of such parts and of the spaces before them, and two of them that stand in different matches
+_BYTES, _ACROSS = rb"[A-Za-z\xc3-\xc9\x80-\xbf!-/:-@\[-`{-~\n ]*", rb"[A-Za-z\x80-\xbf][!-/:-@\[-`{-~\n ]|[!-/:-@\[-`{-~][\n ]|\n[A-Za-z\xc3-\xc9]"
+#: Plain parts that the model takes at once, as one text.
+TOGETHER = 64
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -252,45 +262,53 @@ class Known:
 class Ids:
     """The tokenizer library's ids of texts, each different part between single spaces encoded once for a while.
 
-    For byte-level BPE files with the GPT-2 pattern: their pre-tokens end before a space that follows no white space. Words of letters and
-    the marks behind them go straight to the library's model, all other parts to its whole encoder. Beyond bound parts all are dropped.
+    For byte-level BPE files with the GPT-2 pattern: their pre-tokens end before a space that follows no white space. Plain parts go
+    straight to the library's model, many at once: no token reaches from one match of the pattern into the next, as is checked of all
+    tokens. All other parts go to its whole encoder. Beyond bound parts all are dropped.
     """
 
-    def __init__(self, path: str, bound: int = 1_000_000):
+    def __init__(self, path: str, bound: int = 1_500_000):
+        from tokenizers import Tokenizer
+
         self.library, self.bound = loaded(path), bound
+        self.model = Tokenizer(self.library.model)
         # the printable stand-in of each byte, as byte-level files write it
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         more = iter(range(256, 512))
-        letters = [chr(b if b in printed else next(more)) for b in range(256)]
-        self.latin = {k: "".join(letters[b] for b in chr(k).encode()) for k in range(0xC0, 0x250)}
-        self.words, self.parts = Known(self._words), Known(self._parts)
-
-    def _words(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words (after a space), of marks, and of other parts (after a zero), which the whole encoder takes."""
-        names = names.to_pylist()
-        others = iter(self.library.encode_batch_fast([" " + x[1:] for x in names if x[:1] == "\0"], add_special_tokens=False))
-        made, tokenize = [], self.library.model.tokenize
-        for x in names:
-            if x[:1] == "\0":
-                made.append(next(others).ids)
-            elif x[:1] == " ":
-                made.append([t.id for t in tokenize(SPACE + (x[1:] if x.isascii() else x[1:].translate(self.latin)))])
-            else:
-                made.append([t.id for t in tokenize(x)] if x else [])
-        return np.fromiter(chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
+        self.printed = np.array([b if b in printed else next(more) for b in range(256)], "<u4")
+        back = {chr(x): b for b, x in enumerate(self.printed)}
+        tokens = self.library.get_vocab(with_added_tokens=False)
+        space = chr(self.printed[32])
+        self.leads = np.zeros(max(tokens.values(), default=0) + 1, bool)
+        self.leads[[k for x, k in tokens.items() if x[:1] == space]] = True
+        made = (bytes(map(back.__getitem__, x)) for x in tokens if all(c in back for c in x))
+        self.apart = not any(re.fullmatch(_BYTES, x) and re.search(_ACROSS, x) for x in made)
+        self.parts = Known(self._parts)
+
+    def _plain(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain parts, each after a space: a part's first id is that of a token with the space."""
+        if not len(names):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        _, offsets, data = pc.binary_join_element_wise(" ", names, "").buffers()
+        letters = self.printed[np.frombuffer(data, np.uint8)[: np.frombuffer(offsets, np.int32)[len(names)]]]
+        cuts = [*np.flatnonzero(letters == self.printed[32])[::TOGETHER].tolist(), len(letters)]
+        text = letters.tobytes().decode("utf-32-le")
+        made = self.model.encode_batch_fast([text[a:b] for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(x.ids for x in made), np.uint32)
+        return flat, np.diff(np.append(np.flatnonzero(self.leads[flat]), len(flat)))
 
     def _parts(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of parts, each after a space: those of a word and of its marks."""
-        cut = pc.extract_regex(names, _PLAIN)
-        plain = cut.is_valid()
-        words = pc.if_else(plain, pc.binary_join_element_wise(" ", pc.struct_field(cut, "word"), ""), pc.binary_join_element_wise("\0", names, ""))
-        marks = pc.if_else(plain, pc.struct_field(cut, "marks"), "")
-        rows = []
-        for each in (words, marks):
-            coded = each.dictionary_encode()
-            rows.append(self.words.rows(coded.dictionary)[coded.indices.to_numpy()])
-        flat, sizes = self.words.ids(np.stack(rows, axis=1).ravel())
-        return flat, sizes.reshape(-1, 2).sum(axis=1)
+        """Ids of parts, each after a space."""
+        plain = pc.match_substring_regex(names, _PLAIN) if self.apart else pa.array(np.zeros(len(names), bool))
+        others = names.filter(pc.invert(plain)).to_pylist()
+        made = [x.ids for x in self.library.encode_batch_fast([" " + x for x in others], add_special_tokens=False)]
+        flat, sizes = self._plain(names.filter(plain))
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(made), np.uint32)])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, made), np.int64, len(made))])
+        # back to the order of names
+        chosen = plain.to_numpy(zero_copy_only=False)
+        order = np.argsort(np.concatenate([np.flatnonzero(chosen), np.flatnonzero(~chosen)]))
+        return gathered(flat, (np.cumsum(sizes) - sizes)[order], sizes[order]), sizes[order]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
@@ -302,19 +320,16 @@ class Ids:
         heads = pc.if_else(pa.array(whole), texts, pc.list_element(parts, 0)).to_pylist()
         head_ids = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(heads, add_special_tokens=False)]
         counts = pc.list_value_length(parts).to_numpy()
-        first = np.concatenate([[0], np.cumsum(counts)])
         # parts that are asked for: neither first ones nor those of texts that are encoded whole
-        asked = np.ones(first[-1], bool)
-        asked[first[:-1]] = False
-        asked[np.repeat(whole, counts)] = False
+        asked = np.ones(counts.sum(), bool)
+        asked[np.cumsum(counts) - counts] = False
+        if whole.any():
+            asked[np.repeat(whole, counts)] = False
         coded = parts.flatten().filter(pa.array(asked)).dictionary_encode()
         if len(self.parts.names) + len(coded.dictionary) > self.bound:
             self.parts.clear()
-            self.words.clear()
         flat, own = self.parts.ids(self.parts.rows(coded.dictionary)[coded.indices.to_numpy()])
-        sizes = np.zeros(len(asked), np.int64)
-        sizes[asked] = own
-        at = np.concatenate([[0], np.cumsum(sizes)])[first]
+        at = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(np.where(whole, 0, counts - 1))])]
         return [np.concatenate([h, flat[a:b]]) for h, a, b in zip(head_ids, at[:-1], at[1:])]
 
 
@@ -351,7 +366,7 @@ def write_files(docs: DataFrame, folder: str, make: Callable[[], Callable[[pa.Ar
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values.values(), kinds)], names=list(values))
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODED_ROWS, ENCODED_BYTES):
             keys = batch.column("key").to_pylist()
             for key_, ids in zip(keys, tokens(batch.column("text"))):
                 if writer is None:
