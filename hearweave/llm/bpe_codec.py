@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import re
-from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 from itertools import chain
@@ -22,18 +21,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearweave.llm.common import with_columns
+from hearweave.llm.common import Known, gathered, with_columns
 
 #: Bytes that are merged directly; longer pieces are halved.
 LEAF = 6
-#: Encoded parts that a worker keeps, the letters of the longest of them, and their ids: beyond these
-#: bounds all are dropped. With them a worker's tables take about 80 MB.
-CACHE, KEPT, IDS = 200_000, 48, 1_500_000
+#: Encoded parts that a worker keeps, and pieces of them, in tables of KNOWN_BYTES at most; beyond these bounds all are dropped.
+CACHE = 1_000_000
+#: Leaves and windows, and pairs of neighbours, that a worker keeps: each of two generations.
+LEAVES = 200_000
 #: Ids that are decoded at once; longer lists are halved.
 HALF = 1 << 18
 
 #: Whitespace right before a space: then text can't be cut in front of that space.
 _SPACES = re.compile(r"\s ")
+# all white space, as a set of Arrow's patterns
+_SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,7 +56,7 @@ def parts_of(text: str) -> list[str] | None:
 class Cache(dict):
     """A dict that makes missing values. At its bound the older of two generations goes."""
 
-    def __init__(self, make: Callable, bound: int = CACHE):
+    def __init__(self, make: Callable, bound: int = 200_000):
         super().__init__()
         self.make, self.bound, self.old = make, bound, {}
 
@@ -69,38 +71,16 @@ class Cache(dict):
         return value
 
 
-class Rows(dict):
-    """Text to the number of the row of a codec's table that holds its ids; encodes what is missing."""
-
-    def __init__(self, add: Callable[[str], int]):
-        super().__init__()
-        self.add = add
-
-    def __missing__(self, key: str) -> int:
-        row = self.add(key)
-        if len(key) <= KEPT:
-            self[key] = row
-        return row
-
-
 class BpeCodec:
     """Encodes pieces by ranks, as greedy merging of the lowest rank does, by tree reduction."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, bound: int = CACHE):
+        self.ranks, self.bound = ranks, bound
         self.bytes = {v: k for k, v in ranks.items()}
         self.tokens = pa.array([self.bytes.get(k) for k in range(max(self.bytes, default=0) + 1)], pa.binary())
         self.find = regex.compile(pattern).findall
-        self.leaves = Cache(self.merged, CACHE // 4)
-        self.pairs = Cache(self._fit, CACHE // 4)
-        self.pieces, self.rest = Rows(self._piece), Rows(self._part)
-        self._empty()
-
-    def _empty(self) -> None:
-        """The table of encoded parts: row k has the ids from starts[k] to starts[k + 1]."""
-        self.pieces.clear()
-        self.rest.clear()
-        self.ids, self.starts = array("i"), array("q", [0])
+        self.leaves, self.pairs = Cache(self.merged, LEAVES), Cache(self._pair, LEAVES)
+        self.pieces, self.rest = Known(self._pieces), Known(self._parts)
 
     def merged(self, data: bytes) -> tuple[int, ...]:
         """Merges neighbours of the lowest rank, the leftmost first, until none is left."""
@@ -119,19 +99,24 @@ class BpeCodec:
                 pairs[k - 1] = ranks.get(parts[k - 1] + parts[k], 1 << 30)
         return tuple(ranks[x] for x in parts)
 
-    def _fit(self, pair: tuple[int, int]) -> bool:
-        return self.merged(self.bytes[pair[0]] + self.bytes[pair[1]]) == pair
+    def _pair(self, pair: tuple[int, int]) -> tuple[int, ...]:
+        """The encoding of two tokens' bytes: the pair itself, if they fit."""
+        return self.merged(self.bytes[pair[0]] + self.bytes[pair[1]])
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of both, from the encodings of each."""
-        if not left or not right or self.pairs[left[-1], right[0]]:
+        if not left or not right:
+            return left + right
+        window = self.pairs[pair := (left[-1], right[0])]
+        if window == pair:
             return left + right
         reach = 1
         while True:
             a, b = max(0, len(left) - reach), min(len(right), reach)
-            data = b"".join(map(self.bytes.__getitem__, left[a:] + right[:b]))
-            window = self.leaves[data] if len(data) <= 2 * LEAF else self.merged(data)
-            if (not a or self.pairs[left[a - 1], window[0]]) and (b == len(right) or self.pairs[window[-1], right[b]]):
+            if reach > 1:
+                data = b"".join(map(self.bytes.__getitem__, left[a:] + right[:b]))
+                window = self.leaves[data] if len(data) <= 2 * LEAF else self.merged(data)
+            if (not a or self.pairs[pair := (left[a - 1], window[0])] == pair) and (b == len(right) or self.pairs[pair := (window[-1], right[b])] == pair):
                 return left[:a] + window + right[b:]
             reach *= 2
 
@@ -147,47 +132,60 @@ class BpeCodec:
             return self.join(self.leaves[left], self.leaves[right])
         return self.join(self.encode(left), self.encode(right))
 
-    def _row(self, ids: Iterable[int]) -> int:
-        self.ids.extend(ids)
-        self.starts.append(len(self.ids))
-        return len(self.starts) - 2
-
-    def _piece(self, piece: str) -> int:
-        return self._row(self.encode(piece.encode()))
-
-    def _part(self, part: str) -> int:
-        """The row of a part after its space: its pieces' ids, between which nothing merges, one after
-        the other. Letters alone, or before one mark, need no pattern search."""
-        if part.isalpha():
-            return self._piece(" " + part)
-        if part[:-1].isalpha() and part[-1] in ".,;:":
-            return self._row((*self.encode((" " + part[:-1]).encode()), *self.encode(part[-1].encode())))
-        return self._row(chain.from_iterable(self.encode(x.encode()) for x in self.find(" " + part)))
-
-    def encode_texts(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and where each begins (and the last ends)."""
-        if len(self.pieces) + len(self.rest) > CACHE or len(self.ids) > IDS:
-            self._empty()
-        rows: list[int] = []
-        ends = [0]
-        piece, rest = self.pieces.__getitem__, self.rest.__getitem__
-        for text in texts:
-            parts = parts_of(text)
-            if parts is None:
-                rows += map(piece, self.find(text))
-            else:
-                rows += map(piece, self.find(parts[0]))
-                rows += map(rest, parts[1:])
-            ends.append(len(rows))
-        ids, starts = np.frombuffer(self.ids, np.int32) if self.ids else np.zeros(0, np.int32), np.frombuffer(self.starts, np.int64)
-        which = np.array(rows, np.int64)
-        begin, sizes = starts[which], starts[which + 1] - starts[which]
-        until = np.concatenate([[0], np.cumsum(sizes)])
-        values = ids[np.repeat(begin - until[:-1], sizes) + np.arange(until[-1])]
-        return values, until[ends]
+    def _pieces(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has."""
+        made = [self.encode(x) for x in names.cast(pa.binary()).to_pylist()]
+        return np.fromiter(chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
+
+    def _piece_rows(self, found: list[str]) -> np.ndarray:
+        coded = pa.array(found, pa.string()).dictionary_encode()
+        return self.pieces.rows(coded.dictionary)[coded.indices.to_numpy()]
+
+    def _parts(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts after their spaces: those of their pieces, between which nothing merges, one after the other.
+
+        Parts that end in no white space are searched as one text; a piece with a space in front begins a part.
+        """
+        alone = pc.match_substring_regex(names, rf"^$|[{_SPACE}]$")
+        found = self.find(" " + " ".join(names.filter(pc.invert(alone)).to_pylist())) if not pc.all(alone).as_py() else []
+        begins = [k for k, x in enumerate(found) if x[0] == " "]
+        for x in names.filter(alone).to_pylist():
+            begins.append(len(found))
+            found += self.find(" " + x)
+        flat, sizes = self.pieces.ids(self._piece_rows(found))
+        sizes = np.add.reduceat(sizes, begins)
+        # back to the order of names
+        last = alone.to_numpy(zero_copy_only=False)
+        order = np.argsort(np.concatenate([np.flatnonzero(~last), np.flatnonzero(last)]))
+        return gathered(flat, (np.cumsum(sizes) - sizes)[order], sizes[order]), sizes[order]
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each begins (and the last ends). Null is empty."""
+        self.pieces.bounded(self.bound)
+        self.rest.bounded(self.bound)
+        texts = pc.fill_null(texts, "")
+        parts = pc.split_pattern(texts, " ")
+        counts = pc.list_value_length(parts).to_numpy()
+        # texts that are searched whole, and the first parts of the others, which have no space before them
+        whole = pc.match_substring_regex(texts, rf"[{_SPACE}] ").to_numpy(zero_copy_only=False)
+        asked = np.ones(counts.sum(), bool)
+        asked[np.cumsum(counts) - counts] = False
+        if whole.any():
+            asked[np.repeat(whole, counts)] = False
+        heads = pc.if_else(pa.array(whole), texts, pc.list_element(parts, 0)) if len(texts) else texts
+        found = [self.find(x) for x in heads.to_pylist()]
+        head, head_sizes = self.pieces.ids(self._piece_rows(list(chain.from_iterable(found))))
+        head_ends = np.concatenate([[0], np.cumsum(head_sizes)])[np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])]
+        coded = parts.flatten().filter(pa.array(asked)).dictionary_encode()
+        rest, sizes = self.rest.ids(self.rest.rows(coded.dictionary)[coded.indices.to_numpy()])
+        rest_ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(np.where(whole, 0, counts - 1))])]
+        # a text's first part before its others
+        starts = np.stack([head_ends[:-1], len(head) + rest_ends[:-1]], axis=1).ravel()
+        values = gathered(np.concatenate([head, rest]), starts, np.stack([np.diff(head_ends), np.diff(rest_ends)], axis=1).ravel())
+        return values.astype(np.int32), head_ends + rest_ends
 
     def encode_text(self, text: str) -> list[int]:
-        return self.encode_texts([text])[0].tolist()
+        return self.encode_texts(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return bytes(memoryview(self.decoded(pa.array(ids, pa.int32()))[0]))
@@ -221,9 +219,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
 
     def make():
         codec = codec_of(ranks_path, pattern)
-        return lambda texts: {to: _lists(*codec.encode_texts(x or "" for x in texts))}
+        return lambda texts: {to: _lists(*codec.encode_texts(texts))}
 
-    return with_columns(docs, text, make, f"`{to}` array<int>")
+    return with_columns(docs, text, make, f"`{to}` array<int>", arrow=True)
 
 
 def decode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -245,13 +243,13 @@ def round_trip(
     def make():
         codec = codec_of(ranks_path, pattern)
 
-        def run(texts: list[str | None]) -> dict:
-            lists = _lists(*codec.encode_texts(x or "" for x in texts))
+        def run(texts: pa.Array) -> dict:
+            lists = _lists(*codec.encode_texts(texts))
             return {ids: lists, decoded: _decoded(codec, lists)}
 
         return run
 
-    return with_columns(docs, text, make, f"`{ids}` array<int>, `{decoded}` binary")
+    return with_columns(docs, text, make, f"`{ids}` array<int>, `{decoded}` binary", arrow=True)
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:

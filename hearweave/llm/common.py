@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes of text that a Python worker handles at a time.
 BATCH_ROWS = 2_000
 BATCH_BYTES = 8 << 20
+#: Bytes of encoded texts and their ids that a worker keeps before it encodes more.
+KNOWN_BYTES = 96 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -112,3 +115,42 @@ def with_columns(
             yield appended(batch, gone, {n: arrays[n] for n in fields.names})
 
     return df.mapInArrow(run, out)
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of flat at starts, of sizes, one after the other."""
+    after = np.cumsum(sizes)
+    return flat[np.arange(after[-1] if len(after) else 0) + np.repeat(starts - (after - sizes), sizes)]
+
+
+class Known:
+    """Texts that have been encoded, and their ids in one table; make gives ids and their numbers for new texts."""
+
+    def __init__(self, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        self.make = make
+        self.clear()
+
+    def clear(self) -> None:
+        self.names, self.flat, self.ends = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def bounded(self, most: int) -> None:
+        """Drops all, if there are more than most texts or KNOWN_BYTES of them and their ids."""
+        if len(self.names) > most or self.names.nbytes + self.flat.nbytes > KNOWN_BYTES:
+            self.clear()
+
+    def rows(self, names: pa.Array) -> np.ndarray:
+        """The row of each of names, which are all different."""
+        found = pc.index_in(names, value_set=self.names)
+        new = names.filter(found.is_null())
+        if len(new):
+            flat, sizes = self.make(new)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+            self.names = pa.concat_arrays([self.names, new])
+        rows = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        rows[rows < 0] = np.arange(len(self.names) - len(new), len(self.names))
+        return rows
+
+    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.ends[rows + 1] - self.ends[rows]
+        return gathered(self.flat, self.ends[rows], sizes), sizes

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearweave.llm.common import new_path, slices, stored
+from hearweave.llm.common import Known, gathered, new_path, slices, stored
 from hearweave.llm.token_counts import loaded
 from hearweave.llm.warc_zip import Ranges, opened
 
@@ -225,40 +225,6 @@ _BYTES, _ACROSS = rb"[A-Za-z\xc3-\xc9\x80-\xbf!-/:-@\[-`{-~\n ]*", rb"[A-Za-z\x8
 TOGETHER = 64
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The pieces of flat at starts, of sizes, one after the other."""
-    after = np.cumsum(sizes)
-    return flat[np.arange(after[-1] if len(after) else 0) + np.repeat(starts - (after - sizes), sizes)]
-
-
-class Known:
-    """Texts that have been encoded, and their ids in one table; make gives ids and their numbers for new texts."""
-
-    def __init__(self, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
-        self.make = make
-        self.clear()
-
-    def clear(self) -> None:
-        self.names, self.flat, self.ends = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def rows(self, names: pa.Array) -> np.ndarray:
-        """The row of each of names, which are all different."""
-        found = pc.index_in(names, value_set=self.names)
-        new = names.filter(found.is_null())
-        if len(new):
-            flat, sizes = self.make(new)
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
-            self.names = pa.concat_arrays([self.names, new])
-        rows = pc.fill_null(found, -1).to_numpy().astype(np.int64)
-        rows[rows < 0] = np.arange(len(self.names) - len(new), len(self.names))
-        return rows
-
-    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = self.ends[rows + 1] - self.ends[rows]
-        return gathered(self.flat, self.ends[rows], sizes), sizes
-
-
 class Ids:
     """The tokenizer library's ids of texts, each different part between single spaces encoded once for a while.
 
@@ -326,8 +292,7 @@ class Ids:
         if whole.any():
             asked[np.repeat(whole, counts)] = False
         coded = parts.flatten().filter(pa.array(asked)).dictionary_encode()
-        if len(self.parts.names) + len(coded.dictionary) > self.bound:
-            self.parts.clear()
+        self.parts.bounded(self.bound - len(coded.dictionary))
         flat, own = self.parts.ids(self.parts.rows(coded.dictionary)[coded.indices.to_numpy()])
         at = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(np.where(whole, 0, counts - 1))])]
         return [np.concatenate([h, flat[a:b]]) for h, a, b in zip(head_ids, at[:-1], at[1:])]

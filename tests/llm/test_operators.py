@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 tiktoken = pytest.importorskip("tiktoken")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from hearweave.llm import bpe_codec, decontaminate, jaccard_join, nearest, ordinal_quality, secret_scan, token_counts, toxicity, url_filter, warc_zip  # noqa: E402
+from hearweave.llm import bpe_codec, common, decontaminate, jaccard_join, nearest, ordinal_quality, secret_scan, token_counts, toxicity, url_filter, warc_zip  # noqa: E402
 from hearweave.llm.queries import RULES, pattern, tokenizer  # noqa: E402
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -61,6 +61,35 @@ def test_bpe_matches_library(spark):
         assert rows[k]["decoded_sha256"] == hashlib.sha256((x or "").encode()).hexdigest()
 
 
+def test_bpe_in_slices():
+    # many texts at once, with tables that are dropped again and again
+    ranks = bpe_codec.read_ranks(tokenizer("byte_bpe_50k.tiktoken"))
+    known = tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=ranks, special_tokens={})
+    codec = bpe_codec.BpeCodec(ranks, pattern(), bound=300)
+    r = random.Random(3)
+    odd = ["a", "it's", "'s", "x'll", "12", "a1", "\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "...", "<|endoftext|>", "漢字", "🙂", "é", "", "a\nb", "\na", "a\n", "Wort.\nNext", "\r\n", "_x", "\u200b", "\0"]
+    many = [None, "", " ", "  ", " a", "a ", "a  b", "\n a"] + ["".join(r.choice(odd) + r.choice(["", " ", " ", " "]) for _ in range(r.randint(1, 30))) for _ in range(2000)]
+    for a in range(0, len(many), 150):
+        part = many[a : a + 150]
+        ids, ends = codec.encode_texts(pa.array(part, pa.string()))
+        assert [ids[x:y].tolist() for x, y in zip(ends, ends[1:])] == [known.encode_ordinary(x or "") for x in part]
+    assert codec.encode_texts(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_bpe_encodes_a_word_once(monkeypatch):
+    # whatever marks and lines stand beside it
+    codec = bpe_codec.BpeCodec(bpe_codec.read_ranks(tokenizer("byte_bpe_50k.tiktoken")), pattern())
+    encoded, encode = [], codec.encode
+    monkeypatch.setattr(codec, "encode", lambda data: encoded.append(data) or encode(data))
+    codec.encode_text("x " + " ".join(f"{w}{m}" for w in ("ernhat", "ouandi", "thesti") for m in ("", ".", ",", "!?", "...", ".\nNext", "\nLast")))
+    assert len(encoded) == len(set(encoded))
+    # long texts are not kept beyond the bound of bytes
+    monkeypatch.setattr(common, "KNOWN_BYTES", 1000)
+    for k in range(5):
+        codec.encode_text("a " + f"{k}ab" * 1000)
+    assert len(codec.rest.names) == 1
+
+
 def test_bpe_join_is_associative():
     codec = bpe_codec.BpeCodec(bpe_codec.read_ranks(tokenizer("byte_bpe_50k.tiktoken")), pattern())
     r = random.Random(2)
