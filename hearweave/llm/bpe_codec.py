@@ -204,7 +204,8 @@ class BpeCodec:
 
 @lru_cache(maxsize=1)
 def codec_of(ranks_path: str, pattern: str) -> BpeCodec:
-    """The codec of a worker, with its caches: later tasks of the same worker go on with them."""
+    """The codec of a worker, with its caches: later tasks of the same worker go on with them, until tasks of other
+    operators let it go."""
     return BpeCodec(read_ranks(ranks_path), pattern)
 
 
@@ -221,7 +222,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
         codec = codec_of(ranks_path, pattern)
         return lambda texts: {to: _lists(*codec.encode_texts(texts))}
 
-    return with_columns(docs, text, make, f"`{to}` array<int>", arrow=True)
+    return with_columns(docs, text, make, f"`{to}` array<int>", arrow=True, keeps=codec_of)
 
 
 def decode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -232,7 +233,7 @@ def decode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: str =
         codec = codec_of(ranks_path, pattern)
         return lambda lists: {to: _decoded(codec, lists)}
 
-    return with_columns(docs, ids, make, f"`{to}` binary", arrow=True)
+    return with_columns(docs, ids, make, f"`{to}` binary", arrow=True, keeps=codec_of)
 
 
 def round_trip(
@@ -249,7 +250,7 @@ def round_trip(
 
         return run
 
-    return with_columns(docs, text, make, f"`{ids}` array<int>, `{decoded}` binary", arrow=True)
+    return with_columns(docs, text, make, f"`{ids}` array<int>, `{decoded}` binary", arrow=True, keeps=codec_of)
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:

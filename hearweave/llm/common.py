@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,6 +19,10 @@ BATCH_ROWS = 2_000
 BATCH_BYTES = 8 << 20
 #: Bytes of encoded texts and their ids that a worker keeps before it encodes more.
 KNOWN_BYTES = 96 << 20
+#: Seconds without a task of an operator, after which tasks of others drop what it keeps in a worker.
+IDLE_S = 10
+#: Functions whose last result this worker keeps for later tasks (of lru_cache), and when a task last used it.
+_used: dict[Callable, float] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,10 +72,30 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most_rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+def let_go(but: Callable | None = None) -> None:
+    """Drops what this worker keeps for operators that have had no task here for IDLE_S, and returns the memory to
+    the system. but is in use: what it keeps stays."""
+    now = time.monotonic()
+    if but is not None:
+        _used[but] = now
+    idle = [f for f, at in _used.items() if f is not but and now - at >= IDLE_S]
+    for f in idle:
+        f.cache_clear()
+        del _used[f]
+    if idle:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
+def slices(
+    batches: Iterable[pa.RecordBatch], column: str, most_rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES, keeps: Callable | None = None
+) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds most_rows rows and about most_bytes of column at most
-    (one row may be larger)."""
+    (one row may be larger). keeps: see let_go."""
     for batch in batches:
+        let_go(keeps)
         start, size = 0, 0
         values = batch.column(column)
         measure = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
@@ -92,12 +119,13 @@ def appended(batch: pa.RecordBatch, drop: Iterable[str], new: dict[str, pa.Array
 
 
 def with_columns(
-    df: DataFrame, text: str, make: Callable[[], Callable], schema: str, drop: tuple[str, ...] = (), arrow: bool = False
+    df: DataFrame, text: str, make: Callable[[], Callable], schema: str, drop: tuple[str, ...] = (), arrow: bool = False, keeps: Callable | None = None
 ) -> DataFrame:
     """df with columns made from text by a function over lists of values (with arrow: over Arrow arrays).
 
     make() runs once in each task and returns the function: values (str, bytes or None) to
     {name: list or Arrow array}, as named in schema. Columns of df with these names are replaced.
+    keeps: the function whose result make() uses and later tasks of the worker go on with, if any.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -109,8 +137,9 @@ def with_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, keeps=keeps):
             made = function(batch.column(text) if arrow else batch.column(text).to_pylist())
+            let_go(keeps)
             arrays = {n: v if isinstance(v, pa.Array) else pa.array(v, types[n]) for n, v in made.items()}
             yield appended(batch, gone, {n: arrays[n] for n in fields.names})
 

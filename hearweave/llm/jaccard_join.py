@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearweave.llm.common import removed, slices, stored, with_columns
+from hearweave.llm.common import let_go, removed, slices, stored, with_columns
 from hearweave.llm.url_filter import possible
 
 #: Classes of a block of a group; of a block of a bucket: those asking, and those answering.
@@ -257,6 +257,7 @@ def _in_groups(df: DataFrame, keys: tuple[str, ...], work: Callable[[pa.Table],
             columns = work(pa.concat_tables(tables).combine_chunks())
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, names)], names=[f.name for f in names])
 
+        let_go()
         held: list[pa.Table] = []
         last = None
         for batch in batches:
@@ -487,6 +488,7 @@ def _bucket_pairs(rows: DataFrame, num: int, den: int, limit: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["tok", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held: list[pa.Table] = []
         for batch in chain(batches, [None]):
             if batch is not None:

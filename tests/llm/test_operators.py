@@ -8,6 +8,7 @@ import io
 import math
 import random
 import re
+import weakref
 import zipfile
 import zlib
 
@@ -76,6 +77,24 @@ def test_bpe_in_slices():
     assert codec.encode_texts(pa.array([], pa.string()))[1].tolist() == [0]
 
 
+def test_codec_leaves_a_worker_that_other_operators_use(monkeypatch):
+    """As in a pipeline, where the encoder's tables stood in each worker while later tasks needed the memory."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["alpha beta", None])], names=["text"])
+    ask = lambda: bpe_codec.codec_of(tokenizer("byte_bpe_50k.tiktoken"), pattern())
+    kept = lambda: bpe_codec.codec_of.cache_info().currsize
+    ask().encode_texts(batch.column("text"))
+    gone = weakref.ref(ask())
+    assert [x.num_rows for x in common.slices([batch], "text", keeps=bpe_codec.codec_of)] == [2] and kept() == 1
+    list(common.slices([batch], "text"))  # used just now: a plan may have tasks of both
+    assert kept() == 1 and gone() is ask()
+    monkeypatch.setattr(common, "IDLE_S", 0)
+    list(common.slices([batch], "text", keeps=bpe_codec.codec_of))  # a task of its own operator
+    assert kept() == 1 and gone() is ask()
+    list(common.slices([batch], "text"))
+    assert kept() == 0 and gone() is None
+    assert ask().encode_text("alpha beta")
+
+
 def test_bpe_encodes_a_word_once(monkeypatch):
     # whatever marks and lines stand beside it
     codec = bpe_codec.BpeCodec(bpe_codec.read_ranks(tokenizer("byte_bpe_50k.tiktoken")), pattern())
