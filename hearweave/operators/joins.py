@@ -66,6 +66,12 @@ def heard(words: DataFrame, tokens: DataFrame, order: tuple[str, ...] = C.PROVID
     return words.join(lines, ["recording", "pos"], "left").withColumn("heard", said).drop("_l")
 
 
+def heard_here(order: tuple[str, ...] = C.PROVIDERS) -> Column:
+    """heard of a row that has a column of text for each service of order, null if it heard nothing."""
+    lines = [F.when(F.col(name).isNotNull(), F.concat_ws(": ", F.lit(name), name)) for name in order]
+    return F.when(F.coalesce(*lines).isNotNull(), F.concat_ws("; ", *lines))
+
+
 def vocabulary_match(words: DataFrame, terms: DataFrame) -> DataFrame:
     """Each word with the first term of its form: match (exact, equivalent, misrecognition or none) and term.
 

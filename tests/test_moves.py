@@ -33,7 +33,7 @@ def _dealt(df):
     return re.findall(r"Exchange hashpartitioning\((.*?), \d+\), ENSURE_REQUIREMENTS", _plan(df))
 
 
-@pytest.mark.parametrize("name", ["flagship", "x5_reconcile", "x15_learned_weights", "k2_winners", "g17_combined"])
+@pytest.mark.parametrize("name", ["flagship", "x5_reconcile", "x15_learned_weights", "k2_winners", "g17_combined", "j1_heard"])
 def test_places_are_not_gathered(spark, tables, name):
     assert not [x for x in _dealt(__spark_entry__.queries()[name](spark, tables)) if "pos" in x]
 
@@ -63,3 +63,8 @@ def test_vote_in_a_row_is_the_vote_over_rows(spark):
 
 def test_rounding():
     assert reconcile.half_up(reconcile.np.array([0.1234565, 0.1234575, 0.12345649, 1.0, 0.0]), 6).tolist() == [0.123457, 0.123458, 0.123456, 1.0, 0.0]
+
+
+def test_heard_here(spark):
+    df = spark.createDataFrame([("a", None, "b"), (None, None, None)], "elevenlabs string, openai string, microsoft string")
+    assert [x["h"] for x in df.select(joins.heard_here(("elevenlabs", "openai", "microsoft")).alias("h")).collect()] == ["elevenlabs: a; microsoft: b", None]
