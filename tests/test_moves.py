@@ -33,7 +33,7 @@ def _dealt(df):
     return re.findall(r"Exchange hashpartitioning\((.*?), \d+\), ENSURE_REQUIREMENTS", _plan(df))
 
 
-@pytest.mark.parametrize("name", ["flagship", "x5_reconcile", "x15_learned_weights", "k2_winners", "g17_combined", "j1_heard", "n6_equivalence"])
+@pytest.mark.parametrize("name", ["flagship", "x5_reconcile", "x15_learned_weights", "k2_winners", "g17_combined", "j1_heard", "n6_equivalence", "g18_readings"])
 def test_places_are_not_gathered(spark, tables, name):
     assert not [x for x in _dealt(__spark_entry__.queries()[name](spark, tables)) if "pos" in x]
 
@@ -73,6 +73,12 @@ def test_same_but_for_case(spark):
     assert [x["x"] for x in df.collect()] == [True, True, False, True, False, True, False]
 
 
+def test_groups_of_different_texts(spark):
+    said = [["Jurgen", "Jürgen", "Juergen"], ["Juergen", None, "Jürgen"], ["cat", "cot", None]]
+    out = reconcile.equivalent_groups(spark.createDataFrame([(x,) for x in said], "texts array<string>")).collect()
+    assert {tuple(x["texts"]): x["groups"] for x in out} == {tuple(said[0]): 2, tuple(said[1]): 1, tuple(said[2]): 2}
+
+
 def test_heard_here(spark):
     df = spark.createDataFrame([("a", None, "b"), (None, None, None)], "elevenlabs string, openai string, microsoft string")
     assert [x["h"] for x in df.select(joins.heard_here(("elevenlabs", "openai", "microsoft")).alias("h")).collect()] == ["elevenlabs: a; microsoft: b", None]
