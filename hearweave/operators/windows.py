@@ -25,6 +25,12 @@ def following(w: Window) -> Window:
     return w.rowsBetween(0, Window.unboundedFollowing)
 
 
+def next_known(value: str, keys: tuple[str, ...], order: tuple[str, ...] = ("pos",)) -> Column:
+    """The first value that is known in the rows behind. A frame of all rows behind is read anew for each row; this passes each once."""
+    names = lambda cols: ", ".join(f"`{c}`" for c in cols)
+    return F.expr(f"lead(`{value}`) IGNORE NULLS OVER (PARTITION BY {names(keys)} ORDER BY {names(order)})")
+
+
 def islands(change: Column, w: Window) -> Column:
     """Numbers runs: a new one wherever change holds."""
     return F.sum(F.when(change, 1).otherwise(0)).over(until(w)).cast("long")
@@ -127,10 +133,11 @@ def short_turns(runs: DataFrame, keys: tuple[str, ...], least: float = 1.0, many
 def context_words(df: DataFrame, keys: tuple[str, ...], reach: int = 4) -> DataFrame:
     """before and after: the words within reach on each side, joined."""
     w = by(*keys)
+    # missing words are left out
     return df.withColumns(
         {
-            "before": F.array_join(F.collect_list("text").over(w.rowsBetween(-reach, -1)), " "),
-            "after": F.array_join(F.collect_list("text").over(w.rowsBetween(1, reach)), " "),
+            "before": F.concat_ws(" ", *(F.lag("text", k).over(w) for k in range(reach, 0, -1))),
+            "after": F.concat_ws(" ", *(F.lead("text", k).over(w) for k in range(1, reach + 1))),
         }
     )
 
@@ -154,12 +161,11 @@ def present_near(df: DataFrame, keys: tuple[str, ...], flag: str, to: str, reach
 
 def repeated_beside(df: DataFrame, keys: tuple[str, ...], form: str) -> DataFrame:
     """repeated: the nearest word with a form on either side has this form."""
-    w = by(*keys)
-    full = F.when(F.col(form) != "", F.col(form))
-    left = F.last(full, ignorenulls=True).over(before(w))
-    right = F.first(full, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    full = df.withColumn("_full", F.when(F.col(form) != "", F.col(form)))
+    left = F.last("_full", ignorenulls=True).over(before(by(*keys)))
+    right = next_known("_full", keys)
     same = F.coalesce(left == F.col(form), F.lit(False)) | F.coalesce(right == F.col(form), F.lit(False))
-    return df.withColumn("repeated", same & (F.col(form) != ""))
+    return full.withColumn("repeated", same & (F.col(form) != "")).drop("_full")
 
 
 def sentence_starts(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -244,7 +250,6 @@ def word_budget_parts(runs: DataFrame, keys: tuple[str, ...], budget: int = 2000
 def known_span(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """gap_start and gap_end of words without time: the last known end before, the first known start
     after; where one is missing the other stands for both."""
-    w = by(*keys)
-    a = F.last("end", ignorenulls=True).over(before(w))
-    b = F.first("start", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    a = F.last("end", ignorenulls=True).over(before(by(*keys)))
+    b = next_known("start", keys)
     return df.withColumns({"gap_start": F.coalesce(a, b), "gap_end": F.coalesce(b, a)})

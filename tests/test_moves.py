@@ -38,6 +38,22 @@ def test_places_are_not_gathered(spark, tables, name):
     assert not [x for x in _dealt(__spark_entry__.queries()[name](spark, tables)) if "pos" in x]
 
 
+@pytest.mark.parametrize("name", ["j13_known_span"])
+def test_words_are_not_dealt(spark, tables, name):
+    df = __spark_entry__.queries()[name](spark, tables)
+    assert "REPARTITION_BY_COL" in _plan(df) and "SortMergeJoin" not in _plan(df)
+    # what is summed up at the end moves sums
+    assert len(_dealt(df)) <= (name in ("s8_documents", "n18_risk_here", "j12_rematch")), _dealt(df)
+
+
+def test_no_frame_is_read_anew(spark):
+    df = spark.createDataFrame([(1, 0, None, None, "a"), (1, 1, 2.0, 3.0, ""), (1, 2, None, None, "a"), (1, 3, None, None, "b")], "recording long, pos long, start double, end double, f string")
+    spans, beside = windows.known_span(df, ("recording",)), windows.repeated_beside(df, ("recording",), "f")
+    assert not any("unboundedfollowing" in _plan(x).lower() for x in (spans, beside))
+    assert [(x["gap_start"], x["gap_end"]) for x in spans.orderBy("pos").collect()] == [(2.0, 2.0), (None, None), (3.0, 3.0), (3.0, 3.0)]
+    assert [x["repeated"] for x in beside.orderBy("pos").collect()] == [True, False, True, False]
+
+
 def test_vote_in_a_row_is_the_vote_over_rows(spark):
     r = random.Random(4)
     names = ("deepgram", "openai", "elevenlabs", "microsoft")
