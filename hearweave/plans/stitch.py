@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,19 +60,23 @@ def text_seam(before: list[str], after: list[str], overlap: float) -> tuple[int,
 def by_text(tokens: DataFrame, chunks: DataFrame) -> DataFrame:
     """seam log of untimed chunks: recording, provider, chunk, skipped, how. Each seam sees only the last
     and first words that its overlap can hold. tokens: recording, provider, chunk, token_index, form."""
-    s = seams(chunks).where("seam = 'overlapping'").select("recording", "provider", "chunk", "overlap")
-    most = F.ceil(F.col("overlap") * WORDS_A_SECOND) * 2
-    n = F.count("*").over(Window.partitionBy("recording", "provider", "chunk"))
-    later = tokens.join(s, ["recording", "provider", "chunk"]).where(F.col("token_index") < most).withColumn("side", F.lit("after"))
-    earlier = tokens.withColumn("_n", n).withColumn("chunk", F.col("chunk") + 1).join(s, ["recording", "provider", "chunk"])
-    earlier = earlier.where(F.col("token_index") >= F.col("_n") - most).drop("_n").withColumn("side", F.lit("before"))
-    cols = ["recording", "provider", "chunk", "overlap", "side", "token_index", "form"]
+    s = seams(chunks).where("seam = 'overlapping'").select(F.col("recording").alias("_recording"), F.col("provider").alias("_provider"), F.col("chunk").alias("_chunk"), "overlap")
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("token_index")
-        a, b = (pdf.loc[pdf["side"] == x, "form"].tolist() for x in ("before", "after"))
-        _, skip, how = text_seam(a, b, float(pdf["overlap"].iloc[0]))
-        key = pdf[["recording", "provider", "chunk"]].iloc[0].tolist()
-        return pd.DataFrame([(*key, skip, how)], columns=["recording", "provider", "chunk", "skipped", "how"])
+    def join(words: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for provider, seen in met.sort_values("_chunk").groupby("_provider"):
+            own = words[words["provider"] == provider].sort_values(["chunk", "token_index"])
+            chunk, index, form = own["chunk"].to_numpy(), own["token_index"].to_numpy(), own["form"].tolist()
+            for k, overlap in zip(seen["_chunk"].tolist(), seen["overlap"].tolist()):
+                low, mid, high = np.searchsorted(chunk, (k - 1, k, k + 1)).tolist()
+                most = math.ceil(overlap * WORDS_A_SECOND) * 2
+                first = low + int(np.searchsorted(index[low:mid], mid - low - most))
+                last = mid + int(np.searchsorted(index[mid:high], most))
+                if first < mid or mid < last:
+                    _, skip, how = text_seam(form[first:mid], form[mid:last], overlap)
+                    rows.append((met["_recording"].iloc[0], provider, k, skip, how))
+        return pd.DataFrame(rows, columns=["recording", "provider", "chunk", "skipped", "how"])
 
-    return later.select(*cols).unionByName(earlier.select(*cols)).groupBy("recording", "provider", "chunk").applyInPandas(join, "recording long, provider string, chunk long, skipped long, how string")
+    # all words and seams of a recording meet in one call, so words are dealt by recording alone
+    own = tokens.select("recording", "provider", "chunk", "token_index", "form").groupBy("recording")
+    return own.cogroup(s.groupBy("_recording")).applyInPandas(join, "recording long, provider string, chunk long, skipped long, how string")

@@ -46,6 +46,11 @@ def test_words_are_not_dealt(spark, tables, name):
     assert len(_dealt(df)) <= (name in ("s8_documents", "n18_risk_here", "j12_rematch")), _dealt(df)
 
 
+def test_seams_do_not_deal_words(spark, tables):
+    df = __spark_entry__.queries()["x1_text_seams"](spark, tables)
+    assert all("recording" not in x for x in _dealt(df)) and "Join" not in _plan(df)
+
+
 def test_no_frame_is_read_anew(spark):
     df = spark.createDataFrame([(1, 0, None, None, "a"), (1, 1, 2.0, 3.0, ""), (1, 2, None, None, "a"), (1, 3, None, None, "b")], "recording long, pos long, start double, end double, f string")
     spans, beside = windows.known_span(df, ("recording",)), windows.repeated_beside(df, ("recording",), "f")
@@ -98,3 +103,14 @@ def test_groups_of_different_texts(spark):
 def test_heard_here(spark):
     df = spark.createDataFrame([("a", None, "b"), (None, None, None)], "elevenlabs string, openai string, microsoft string")
     assert [x["h"] for x in df.select(joins.heard_here(("elevenlabs", "openai", "microsoft")).alias("h")).collect()] == ["elevenlabs: a; microsoft: b", None]
+
+
+def test_seams_of_two_services(spark):
+    said = {("a", 0): "x y one two three", ("a", 1): "one two three z", ("b", 0): "p q r", ("b", 1): "s t u"}
+    tokens = [(7, p, c, k, w) for (p, c), t in said.items() for k, w in enumerate(t.split())]
+    chunks = [(7, p, c, c * 10.0, c * 10.0 + 12) for p, c in said]
+    out = stitch.by_text(
+        spark.createDataFrame(tokens, "recording long, provider string, chunk long, token_index long, form string"), spark.createDataFrame(chunks, "recording long, provider string, chunk long, start double, end double")
+    )
+    want = {(p, 1): stitch.text_seam(said[p, 0].split(), said[p, 1].split(), 2.0)[1:] for p in "ab"}
+    assert {(x["provider"], x["chunk"]): (x["skipped"], x["how"]) for x in out.collect()} == want
