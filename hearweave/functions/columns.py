@@ -284,6 +284,11 @@ def has_ambiguous_separator(clean: Column) -> Column:
     return (F.size(parts) > 1) & (number | _written_date(clean))
 
 
+def shows_risk(text: Column) -> Column:
+    """Whether a text, cleaned or not, can show a risk by itself: every shape has one of these, and few words do."""
+    return text.rlike("[0-9%" + "".join(CURRENCIES) + "]")
+
+
 def risk_categories(text: Column) -> Column:
     """Categories that a cleaned word shows by itself; a product code only if nothing else fits."""
     clock = F.split(text, "[:h.]")
@@ -308,10 +313,10 @@ def risk_categories(text: Column) -> Column:
     )
     found = F.array_compact(F.array(*(F.when(holds, name) for name, holds in kinds)))
     code = F.forall(F.split(text, "[-/]"), lambda x: x.rlike("^[a-z0-9]+$")) & text.rlike("[a-z]") & text.rlike("\\d")
-    # every shape has one of these, and few words do
-    shown = text.rlike("[0-9%" + "".join(CURRENCIES) + "]")
-    kind = F.when(F.size(found) > 0, found).when(code, F.array(F.lit("product_code")))
-    return F.when(shown, F.coalesce(kind, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    # the first that is not empty; named once each, as an expression is computed wherever it is named
+    kind = F.flatten(F.slice(F.filter(F.array(found, F.when(code, F.array(F.lit("product_code"))).otherwise(none)), lambda x: F.size(x) > 0), 1, 1))
+    return F.when(shows_risk(text), kind).otherwise(none)
 
 
 def numbers_disagree(first: Column, second: Column, first_value: Column, second_value: Column) -> Column:

@@ -59,6 +59,10 @@ def test_no_frame_is_read_anew(spark):
     assert [x["repeated"] for x in beside.orderBy("pos").collect()] == [True, False, True, False]
 
 
+def test_only_signs_are_cleaned(spark, tables):
+    assert re.search(r"Filter [^\n]*RLIKE", _plan(__spark_entry__.queries()["n15_risk_shapes"](spark, tables)))
+
+
 def test_vote_in_a_row_is_the_vote_over_rows(spark):
     r = random.Random(4)
     names = ("deepgram", "openai", "elevenlabs", "microsoft")
