@@ -38,7 +38,7 @@ def test_places_are_not_gathered(spark, tables, name):
     assert not [x for x in _dealt(__spark_entry__.queries()[name](spark, tables)) if "pos" in x]
 
 
-@pytest.mark.parametrize("name", ["j13_known_span", "w13_repeated_beside", "j12_rematch", "s8_documents", "x8_speakers"])
+@pytest.mark.parametrize("name", ["j13_known_span", "w13_repeated_beside", "j12_rematch", "s8_documents", "x8_speakers", "n18_risk_here"])
 def test_words_are_not_dealt(spark, tables, name):
     df = __spark_entry__.queries()[name](spark, tables)
     assert "REPARTITION_BY_COL" in _plan(df) and "SortMergeJoin" not in _plan(df)
