@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +44,15 @@ def text_seam(before: list[str], after: list[str], overlap: float) -> tuple[int,
     """
     reach = min(len(after), math.ceil(overlap * WORDS_A_SECOND))
     best = (0, 0)
-    for start in range(reach):
+    # a run ends with the last word of before
+    ends = [k for k, word in enumerate(after) if before and word == before[-1]]
+    for start in range(reach if ends else 0):
         n = 0
-        most = min(len(before), len(after) - start)
-        for length in range(most, LEAST_RUN - 1, -1):
-            if before[-length:] == after[start : start + length]:
+        for end in reversed(ends):
+            length = end - start + 1
+            if length < LEAST_RUN:
+                break
+            if length <= len(before) and before[-length:] == after[start : end + 1]:
                 n = length
                 break
         if n > best[0]:
@@ -62,21 +67,24 @@ def by_text(tokens: DataFrame, chunks: DataFrame) -> DataFrame:
     and first words that its overlap can hold. tokens: recording, provider, chunk, token_index, form."""
     s = seams(chunks).where("seam = 'overlapping'").select(F.col("recording").alias("_recording"), F.col("provider").alias("_provider"), F.col("chunk").alias("_chunk"), "overlap")
 
-    def join(words: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for provider, seen in met.sort_values("_chunk").groupby("_provider"):
-            own = words[words["provider"] == provider].sort_values(["chunk", "token_index"])
-            chunk, index, form = own["chunk"].to_numpy(), own["token_index"].to_numpy(), own["form"].tolist()
-            for k, overlap in zip(seen["_chunk"].tolist(), seen["overlap"].tolist()):
+    def join(words: pa.Table, met: pa.Table) -> pa.Table:
+        found: dict[str, list] = {name: [] for name in schema.names}
+        for provider in pc.unique(met["_provider"]).to_pylist():
+            seen = met.filter(pc.equal(met["_provider"], provider)).sort_by("_chunk")
+            own = words.filter(pc.equal(words["provider"], provider)).sort_by([("chunk", "ascending"), ("token_index", "ascending")])
+            chunk, index, form = own["chunk"].to_numpy(), own["token_index"].to_numpy(), own["form"].to_pylist()
+            for k, overlap in zip(seen["_chunk"].to_pylist(), seen["overlap"].to_pylist()):
                 low, mid, high = np.searchsorted(chunk, (k - 1, k, k + 1)).tolist()
                 most = math.ceil(overlap * WORDS_A_SECOND) * 2
                 first = low + int(np.searchsorted(index[low:mid], mid - low - most))
                 last = mid + int(np.searchsorted(index[mid:high], most))
                 if first < mid or mid < last:
                     _, skip, how = text_seam(form[first:mid], form[mid:last], overlap)
-                    rows.append((met["_recording"].iloc[0], provider, k, skip, how))
-        return pd.DataFrame(rows, columns=["recording", "provider", "chunk", "skipped", "how"])
+                    for name, value in zip(schema.names, (met["_recording"][0].as_py(), provider, k, skip, how)):
+                        found[name].append(value)
+        return pa.table(found, schema=schema)
 
+    schema = pa.schema([("recording", pa.int64()), ("provider", pa.string()), ("chunk", pa.int64()), ("skipped", pa.int64()), ("how", pa.string())])
     # all words and seams of a recording meet in one call, so words are dealt by recording alone
     own = tokens.select("recording", "provider", "chunk", "token_index", "form").groupBy("recording")
-    return own.cogroup(s.groupBy("_recording")).applyInPandas(join, "recording long, provider string, chunk long, skipped long, how string")
+    return own.cogroup(s.groupBy("_recording")).applyInArrow(join, "recording long, provider string, chunk long, skipped long, how string")

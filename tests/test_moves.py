@@ -118,3 +118,21 @@ def test_seams_of_two_services(spark):
     )
     want = {(p, 1): stitch.text_seam(said[p, 0].split(), said[p, 1].split(), 2.0)[1:] for p in "ab"}
     assert {(x["provider"], x["chunk"]): (x["skipped"], x["how"]) for x in out.collect()} == want
+
+
+def test_seams_are_those_of_all_runs():
+    def plain(before, after, overlap):
+        reach = min(len(after), stitch.math.ceil(overlap * stitch.WORDS_A_SECOND))
+        runs = [(n, -k) for k in range(reach) for n in range(stitch.LEAST_RUN, min(len(before), len(after) - k) + 1) if before[-n:] == after[k : k + n]]
+        if not runs:
+            return len(before), min(len(after), round(reach / 2)), "uncertain"
+        return len(before), max(runs)[0] - max(runs)[1], "matched"
+
+    r = random.Random(3)
+    for _ in range(5000):
+        a, b = ([r.choice("ab" if r.random() < 0.5 else "abc") for _ in range(r.randrange(14))] for _ in range(2))
+        overlap = r.choice((0.0, 0.5, 2.0))
+        assert stitch.text_seam(a, b, overlap) == plain(a, b, overlap)
+    # a run of thousands is found without trying each length
+    long = [str(k) for k in range(6000)]
+    assert stitch.text_seam(long, long, 1000.0) == (6000, 6000, "matched")
